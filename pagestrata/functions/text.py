@@ -16,6 +16,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def record(**fields: Column) -> Column:
+    """A struct with explicit field names; unlike aliases they also survive next to a generator."""
+    return F.named_struct(*[part for name, value in fields.items() for part in (F.lit(name), value)])
+
+
 def trim_spaces(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
 

@@ -6,11 +6,14 @@ expression; the rules are those of the public URL standard for http(s).
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagestrata import constants as C
-from pagestrata.functions.text import clean_text, let
+from pagestrata.functions.text import clean_text, let, record
 
 _SEPARATOR = "\u0001"
 _ABSOLUTE = (
@@ -71,10 +74,9 @@ def _canonical_query(query: Column) -> Column:
     pairs = F.filter(F.split(F.substring(query, 2, 1 << 30), "&"), lambda p: p != "")
     named = F.transform(
         pairs,
-        lambda p, i: F.struct(
-            _form_text(F.substring_index(p, "=", 1)).alias("name"),
-            i.alias("at"),
-            _form_text(F.when(F.instr(p, "=") > 0, F.regexp_replace(p, r"\A[^=]*=", "")).otherwise("")).alias("value"),
+        lambda p, i: record(
+            name=_form_text(F.substring_index(p, "=", 1)), at=i,
+            value=_form_text(F.when(F.instr(p, "=") > 0, F.regexp_replace(p, r"\A[^=]*=", "")).otherwise("")),
         ),
     )
     kept = F.filter(
@@ -85,20 +87,12 @@ def _canonical_query(query: Column) -> Column:
     return F.when((query == "") | (text == ""), "").otherwise(F.concat(F.lit("?"), text))
 
 
-def _ascii_host(host: Column) -> Column:
-    """Lower-case host; other scripts become their ASCII form."""
-    lowered = F.lower(host)
-    return F.when(lowered.rlike(r"\A[\x00-\x7f]*\z"), lowered).otherwise(
-        F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), lowered)
-    )
-
-
 def _rebuild(parts: Column) -> Column:
     scheme, authority = F.lower(parts[0]), parts[1]
     user = F.regexp_extract(authority, r"(?s)\A(.*@)", 1)
     server = F.regexp_replace(authority, r"(?s)\A.*@", "")
     port = F.regexp_extract(server, r":0*([0-9]*)\z", 1)
-    host = _ascii_host(F.regexp_replace(server, r":[0-9]*\z", ""))
+    host = F.lower(F.regexp_replace(server, r":[0-9]*\z", ""))
     plain_port = (port == "") | ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80"))
     web = F.when(
         (host != "") & ~host.rlike(_BAD_HOST),
@@ -112,6 +106,24 @@ def _rebuild(parts: Column) -> Column:
     return F.when(F.size(parts) < 4, None).when(scheme.isin(_WEB), web).otherwise(other)
 
 
+def ascii_hosts(url: Column) -> Column:
+    """URLs with the host name in its ASCII form, on Arrow batches.
+
+    A step for sources with hosts in other scripts; the canonical form itself stays in the JVM and
+    leaves such a host as it is, in lower case.
+    """
+    def host(match: re.Match) -> str:
+        try:
+            return match.group(1) + match.group(2).encode("idna").decode("ascii")
+        except UnicodeError:
+            return match.group(0)
+
+    def run(urls: pd.Series) -> pd.Series:
+        return urls.map(lambda u: None if u is None else re.sub(r"^([A-Za-z][^:]*:/*(?:[^/?#@]*@)?)([^/?#:]+)", host, u))
+
+    return F.pandas_udf(run, "string")(url)
+
+
 def canonical_url(url: Column) -> Column:
     """The identity of a page: no fragment, lower-case host, no tracking parameters, the other
     parameters sorted by name, no trailing slash except for the root. Invalid input is null."""

@@ -92,6 +92,10 @@ def page_archive_sources(pages: DataFrame, observed_at: Column) -> DataFrame:
         pages.withColumn("_selected", selected)
         .withColumn("snapshots", F.transform(F.when(archive, sources).otherwise(none), describe))
         .withColumn("archive_selected_source", F.when(archive, F.col("_selected")))
+        .withColumn(
+            "source_disagreement",
+            F.coalesce("source_disagreement", F.lit(False)) if "source_disagreement" in pages.columns else F.lit(False),
+        )
         .drop("_selected")
     )
 

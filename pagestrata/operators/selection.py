@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.constants import DEFAULT_LIMITS
 from pagestrata.functions import scores as S
+from pagestrata.functions.text import let, record
 from pagestrata.operators.skew import key_counts, split_join, top_k
 from pagestrata.session import cut_lineage
 
@@ -52,16 +53,16 @@ KEY_TYPE = "struct<_tier:double,_combined:double,_strategic:double,_evidence:dou
 
 def _walk(window: DataFrame, left: Column, picks: Column) -> DataFrame:
     """Greedy pass over one bounded window per site: take what fits, step over what does not."""
-    start = F.struct(
-        left.cast("long").alias("left"), picks.cast("int").alias("picks"),
-        F.array().cast("array<string>").alias("urls"), F.lit(None).cast(KEY_TYPE).alias("stop"),
+    start = record(
+        left=left.cast("long"), picks=picks.cast("int"),
+        urls=F.array().cast("array<string>"), stop=F.lit(None).cast(KEY_TYPE),
     )
 
     def step(state: Column, page: Column) -> Column:
         fits = (state["picks"] > 0) & (page["chars"] <= state["left"])
-        taken = F.struct(
-            (state["left"] - page["chars"]).alias("left"), (state["picks"] - 1).alias("picks"),
-            F.concat(state["urls"], F.array(page["key"]["url"])).alias("urls"), page["key"].alias("stop"),
+        taken = record(
+            left=state["left"] - page["chars"], picks=state["picks"] - 1,
+            urls=F.concat(state["urls"], F.array(page["key"]["url"])), stop=page["key"],
         )
         return F.when(fits, taken).otherwise(state)
 
@@ -146,24 +147,20 @@ def truncate_sections(sections: Column, limit: int = DEFAULT_LIMITS.page_charact
 
     Sections are kept while the page stays within the limit; the first one beyond it ends the page.
     """
-    start = F.struct(
-        F.lit(0).cast("long").alias("chars"), F.lit(0).alias("kept"), F.lit(False).alias("cut")
-    )
+    start = record(chars=F.lit(0).cast("long"), kept=F.lit(0), cut=F.lit(False))
 
     def step(state: Column, section: Column) -> Column:
         chars = state["chars"] + F.length(section["text"])
         fits = ~state["cut"] & (chars <= limit)
-        return F.struct(
-            F.when(fits, chars).otherwise(state["chars"]).alias("chars"),
-            F.when(fits, state["kept"] + 1).otherwise(state["kept"]).alias("kept"),
-            (~fits).alias("cut"),
+        return record(
+            chars=F.when(fits, chars).otherwise(state["chars"]),
+            kept=F.when(fits, state["kept"] + 1).otherwise(state["kept"]), cut=~fits,
         )
 
     end = F.aggregate(sections, start, step)
-    return F.struct(
-        F.slice(sections, F.lit(1), end["kept"]).alias("sections"),
-        end["chars"].alias("character_count"), end["cut"].alias("truncated"),
-    )
+    return let(end, lambda e: record(
+        sections=F.slice(sections, F.lit(1), e["kept"]), character_count=e["chars"], truncated=e["cut"]
+    ))
 
 
 def pack_batches(
@@ -182,9 +179,8 @@ def pack_batches(
     """
     item = F.struct(*order, "url", F.col("character_count").cast("long").alias("_chars"))
     grouped = selected.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_pages"))
-    start = F.struct(
-        F.lit(0).alias("batch"), F.lit(0).alias("pages"), F.lit(0).cast("long").alias("chars"),
-        F.array().cast("array<int>").alias("batches"),
+    start = record(
+        batch=F.lit(0), pages=F.lit(0), chars=F.lit(0).cast("long"), batches=F.array().cast("array<int>")
     )
 
     def step(state: Column, page: Column) -> Column:
@@ -192,16 +188,18 @@ def pack_batches(
             (state["pages"] >= max_pages) | (state["chars"] + page["_chars"] > max_characters)
         )
         number = state["batch"] + F.when(full, 1).otherwise(0)
-        return F.struct(
-            number.alias("batch"), F.when(full, 1).otherwise(state["pages"] + 1).alias("pages"),
-            F.when(full, page["_chars"]).otherwise(state["chars"] + page["_chars"]).alias("chars"),
-            F.concat(state["batches"], F.array(number)).alias("batches"),
+        return record(
+            batch=number, pages=F.when(full, 1).otherwise(state["pages"] + 1),
+            chars=F.when(full, page["_chars"]).otherwise(state["chars"] + page["_chars"]),
+            batches=F.concat(state["batches"], F.array(number)),
         )
 
-    numbers = F.aggregate("_pages", start, step)["batches"]
-    numbered = grouped.select(
-        *keys, F.explode(F.arrays_zip(F.col("_pages.url").alias("url"), numbers.alias("batch"))).alias("_z")
-    ).select(*keys, F.col("_z.url").alias("url"), F.col("_z.batch").alias(batch))
+    numbered = (
+        grouped.withColumn("_batches", F.aggregate("_pages", start, step)["batches"])
+        .withColumn("_urls", F.col("_pages.url"))
+        .select(*keys, F.explode(F.arrays_zip("_urls", "_batches")).alias("_z"))
+        .select(*keys, F.col("_z._urls").alias("url"), F.col("_z._batches").alias(batch))
+    )
     return selected.join(numbered, [*keys, "url"])
 
 
