@@ -13,97 +13,73 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagestrata import constants as C
-from pagestrata.functions.text import clean_text, let, record
+from pagestrata.functions.text import clean_text
 
-_SEPARATOR = "\u0001"
-_ABSOLUTE = (
-    r"(?s)\A([A-Za-z][A-Za-z0-9+.\-]*):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
-)
 _SCHEME = r"\A[A-Za-z][A-Za-z0-9+.\-]*:"
 _WEB = ["http", "https"]
-# Path characters that stay as they are; the rest is percent-encoded as UTF-8.
-_PATH_SAFE = r"\A[!$%&'()*+,\-./0-9:;=@A-Z\[\\\]^_a-z|~]*\z"
-_BAD_HOST = r"[\x00-\x20#%/<>?@\\^|]"
 # Edge between an ASCII word character and anything else.
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
-def _split(url: Column) -> Column:
-    """[scheme, authority, path, query] of an absolute URL, else an array of one."""
-    bare = F.regexp_replace(F.regexp_replace(url, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
-    joined = F.regexp_replace(bare, _ABSOLUTE, "$1" + _SEPARATOR + "$2" + _SEPARATOR + "$3" + _SEPARATOR + "$4")
-    return F.split(joined, _SEPARATOR)
-
-
-def _remove_dots(path: Column) -> Column:
-    def step(done: Column, segment: Column) -> Column:
-        parent = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
-        up = segment.rlike(r"(?i)\A(\.|%2e){2}\z")
-        here = segment.rlike(r"(?i)\A(\.|%2e)\z")
-        return F.when(up, parent).when(here, done).otherwise(F.concat(done, F.array(segment)))
-
-    segments = F.split(path, "/")
-    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
-    ends_in_dots = path.rlike(r"(?i)/(\.|%2e){1,2}\z")
-    return F.concat(F.array_join(kept, "/"), F.when(ends_in_dots, "/").otherwise(""))
-
-
-def _encode_path(path: Column) -> Column:
-    pieces = F.transform(
-        F.split(path, ""),
-        lambda c: F.when(c.rlike(_PATH_SAFE), c).when(c == " ", "%20").otherwise(F.url_encode(c)),
-    )
-    return F.when(path.rlike(_PATH_SAFE), path).otherwise(F.array_join(pieces, ""))
-
-
-def _normal_path(path: Column) -> Column:
-    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
-    rooted = F.when(slashed.startswith("/"), slashed).otherwise(F.concat(F.lit("/"), slashed))
-    dotted = F.when(rooted.rlike(r"(?i)/(\.|%2e){1,2}(/|\z)"), _remove_dots(rooted)).otherwise(rooted)
-    trimmed = F.regexp_replace(_encode_path(dotted), r"/+\z", "")
-    return F.when(trimmed == "", "/").otherwise(trimmed)
-
-
-def _form_text(text: Column) -> Column:
-    """Decode and re-encode one name or value the way a form serializer does."""
-    whole = F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25")
-    return F.url_encode(F.url_decode(whole))
-
-
-def _canonical_query(query: Column) -> Column:
-    pairs = F.filter(F.split(F.substring(query, 2, 1 << 30), "&"), lambda p: p != "")
-    named = F.transform(
-        pairs,
-        lambda p, i: record(
-            name=_form_text(F.substring_index(p, "=", 1)), at=i,
-            value=_form_text(F.when(F.instr(p, "=") > 0, F.regexp_replace(p, r"\A[^=]*=", "")).otherwise("")),
-        ),
-    )
-    kept = F.filter(
-        named,
-        lambda p: ~(F.lower(p["name"]).startswith(C.TRACKING_PREFIX) | F.lower(p["name"]).isin(C.TRACKING_PARAMETERS)),
-    )
-    text = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
-    return F.when((query == "") | (text == ""), "").otherwise(F.concat(F.lit("?"), text))
-
-
-def _rebuild(parts: Column) -> Column:
-    scheme, authority = F.lower(parts[0]), parts[1]
-    user = F.regexp_extract(authority, r"(?s)\A(.*@)", 1)
-    server = F.regexp_replace(authority, r"(?s)\A.*@", "")
-    port = F.regexp_extract(server, r":0*([0-9]*)\z", 1)
-    host = F.lower(F.regexp_replace(server, r":[0-9]*\z", ""))
-    plain_port = (port == "") | ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80"))
-    web = F.when(
-        (host != "") & ~host.rlike(_BAD_HOST),
-        F.concat(
-            scheme, F.lit("://"), user, host,
-            F.when(plain_port, "").otherwise(F.concat(F.lit(":"), port)),
-            _normal_path(parts[2]), _canonical_query(parts[3]),
-        ),
-    )
-    other = F.concat(scheme, F.lit(":"), authority, parts[2], parts[3])
-    return F.when(F.size(parts) < 4, None).when(scheme.isin(_WEB), web).otherwise(other)
+# The canonical form as SQL text: every step names what it binds, from the raw text to the result.
+# ``let`` steps are one-element transforms, so a part is worked out once and used many times.
+_STEPS = {
+    # Control characters and spaces around the URL, tabs and line ends inside it do not count.
+    "bare": r"regexp_replace(regexp_replace(url, r'\A[\x00-\x20]+|[\x00-\x20]+\z', ''), r'[\t\n\r]', '')",
+    # [scheme, authority, path, query] of an absolute URL, else an array of one.
+    "p": r"""split(regexp_replace(bare,
+        r'(?s)\A([A-Za-z][A-Za-z0-9+.\-]*):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z',
+        '$1\u0001$2\u0001$3\u0001$4'), '\u0001')""",
+    "scheme": "lower(p[0])",
+    "server": r"regexp_replace(get(p, 1), r'(?s)\A.*@', '')",
+    "host": r"lower(regexp_replace(server, r':[0-9]*\z', ''))",
+    "port": r"regexp_extract(server, r':0*([0-9]*)\z', 1)",
+    # Backslashes are slashes, and a path begins with one.
+    "rooted": r"""regexp_replace(replace(get(p, 2), r'\', '/'), r'\A(?!/)', '/')""",
+    # Dot segments are resolved from the left.
+    "dotted": r"""if(rooted rlike r'(?i)/(\.|%2e){1,2}(/|\z)',
+        concat(
+            array_join(aggregate(split(rooted, '/'), cast(array() as array<string>), (done, s) ->
+                case when s rlike r'(?i)\A(\.|%2e){2}\z' then slice(done, 1, greatest(size(done) - 1, 1))
+                     when s rlike r'(?i)\A(\.|%2e)\z' then done
+                     else concat(done, array(s)) end), '/'),
+            if(rooted rlike r'(?i)/(\.|%2e){1,2}\z', '/', '')),
+        rooted)""",
+    # Characters a path cannot hold are percent-encoded as UTF-8.
+    "encoded": r"""if(dotted rlike r"\A[!$%&'()*+,\-./0-9:;=@A-Z\[\\\]^_a-z|~]*\z", dotted,
+        array_join(transform(split(dotted, ''), c ->
+            case when c rlike r"\A[!$%&'()*+,\-./0-9:;=@A-Z\[\\\]^_a-z|~]*\z" then c
+                 when c = ' ' then '%20' else url_encode(c) end), ''))""",
+    "path": r"regexp_replace(encoded, r'/+\z', '')",
+    # Query pairs are decoded and encoded again the way a form is sent; stray percent signs are text.
+    "pairs": r"""transform(filter(split(substring(get(p, 3), 2), '&'), q -> q != ''), (q, i) -> named_struct(
+        'name', url_encode(url_decode(regexp_replace(substring_index(q, '=', 1), r'%(?![0-9A-Fa-f]{2})', '%25'))),
+        'at', i,
+        'value', url_encode(url_decode(regexp_replace(
+            if(instr(q, '=') > 0, regexp_replace(q, r'\A[^=]*=', ''), ''), r'%(?![0-9A-Fa-f]{2})', '%25')))))""",
+    # Tracking parameters go; the rest is sorted by name and keeps its order among equal names.
+    "query": """array_join(transform(array_sort(filter(pairs, q ->
+        not startswith(lower(q.name), '{prefix}') and lower(q.name) not in ({tracking}))),
+        q -> concat(q.name, '=', q.value)), '&')""".format(
+            prefix=C.TRACKING_PREFIX, tracking=", ".join(f"'{t}'" for t in C.TRACKING_PARAMETERS)),
+}
+_RESULT = r"""case
+    when size(p) < 4 then null
+    when scheme not in ('http', 'https') then concat(scheme, ':', p[1], p[2], p[3])
+    when host = '' or host rlike r'[\x00-\x20#%/<>?@\\^|]' then null
+    else concat(scheme, '://', regexp_extract(p[1], r'(?s)\A(.*@)', 1), host,
+        if(port = '' or (scheme = 'https' and port = '443') or (scheme = 'http' and port = '80'), '', concat(':', port)),
+        if(path = '', '/', path), if(query = '', '', concat('?', query))) end"""
+
+
+def _canonical_lambda() -> str:
+    body = _RESULT
+    for name, value in reversed(_STEPS.items()):
+        body = f"get(transform(array({value}), {name} -> {body}), 0)"
+    return f"url -> {body}"
+
+
+_CANONICAL = _canonical_lambda()
 
 
 def ascii_hosts(url: Column) -> Column:
@@ -127,7 +103,7 @@ def ascii_hosts(url: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """The identity of a page: no fragment, lower-case host, no tracking parameters, the other
     parameters sorted by name, no trailing slash except for the root. Invalid input is null."""
-    return let(_split(url), _rebuild)
+    return F.get(F.call_function("transform", F.array(url), F.expr(_CANONICAL)), F.lit(0))
 
 
 def resolve_url(href: Column, base: Column) -> Column:

@@ -65,7 +65,7 @@ def robots_rules(lines: DataFrame, user_agent: str = USER_AGENT, key: str = "sit
 def is_allowed(target: Column, rules: Column) -> Column:
     """Whether an array of rules allows a path with query: the longest match decides, allow wins ties."""
     matches = F.transform(
-        F.filter(rules, lambda r: target.rlike(r["pattern"])),
+        F.filter(rules, lambda r: F.rlike(target, r["pattern"])),
         lambda r: F.struct(F.length(r["value"]).alias("length"), (r["rule"] == "allow").alias("allow")),
     )
     return F.coalesce(F.array_max(matches)["allow"], F.lit(True))
