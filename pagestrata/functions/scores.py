@@ -16,10 +16,9 @@ def _any_of(values: Column, wanted: list[str]) -> Column:
 
 
 def page_type_score(kind: Column) -> Column:
-    score = F
-    for name, value in C.PAGE_TYPE_SCORES.items():
-        score = score.when(kind == name, float(value))
-    return score.otherwise(float(C.DEFAULT_PAGE_TYPE_SCORE))
+    """Strategic score of a page type. One map lookup, so ``kind`` is worked out once."""
+    scores = F.create_map(*[F.lit(v) for name, value in C.PAGE_TYPE_SCORES.items() for v in (name, float(value))])
+    return F.coalesce(F.try_element_at(scores, kind), F.lit(float(C.DEFAULT_PAGE_TYPE_SCORE)))
 
 
 def placement_base(placements: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagestrata import constants as C
-from pagestrata.functions.text import clean_text
+from pagestrata.functions.text import clean_text, let, record
 
 _SCHEME = r"\A[A-Za-z][A-Za-z0-9+.\-]*:"
 _WEB = ["http", "https"]
@@ -163,32 +163,34 @@ def same_host_canonical(value: Column, fallback: Column, host: Column) -> Column
 
 def exclusion_reason(url: Column) -> Column:
     """Why a page is left out by default, or null."""
-    path, query = url_path(url), url_query(url)
-    reason = F
-    for pattern, name in C.EXCLUDED_PATHS:
-        reason = reason.when(path.rlike("(?i)" + pattern), name)
-    reason = reason.when(query.rlike("(?i)" + C.PAGINATION_QUERY), "pagination")
-    return reason.when(path.rlike("(?i)" + C.NON_HTML_SUFFIX), "non-html")
+    def decide(v: Column) -> Column:
+        reason = F
+        for pattern, name in C.EXCLUDED_PATHS:
+            reason = reason.when(v["path"].rlike("(?i)" + pattern), name)
+        reason = reason.when(v["query"].rlike("(?i)" + C.PAGINATION_QUERY), "pagination")
+        return reason.when(v["path"].rlike("(?i)" + C.NON_HTML_SUFFIX), "non-html")
+
+    return let(record(path=url_path(url), query=url_query(url)), decide)
 
 
 def page_type(url: Column, is_homepage: Column, title: Column | None = None, headings: Column | None = None) -> Column:
     """Kind of page by its path, title and headings; the first rule that matches decides."""
-    path = url_path(url)
-    words = F.lower(
-        F.concat(
-            path, F.lit(" "), F.coalesce(title, F.lit("")) if title is not None else F.lit(""),
-            F.lit(" "), F.coalesce(F.array_join(headings, " "), F.lit("")) if headings is not None else F.lit(""),
+    title = F.lit("") if title is None else F.coalesce(title, F.lit(""))
+    headings = F.lit("") if headings is None else F.coalesce(F.array_join(headings, " "), F.lit(""))
+
+    def decide(v: Column) -> Column:
+        path = v["path"]
+        kind = (
+            F.when(path.rlike(r"(?i)\A/ai/?\z"), "product")
+            .when(path.rlike(r"(?i)/(blog|articles?|insights?|guides?)/."), "article")
+            .when(path.rlike(r"(?i)\A/(blog|articles?|insights?|guides?)/?\z"), "resource")
         )
-    )
-    kind = (
-        F.when(is_homepage, "homepage")
-        .when(path.rlike(r"(?i)\A/ai/?\z"), "product")
-        .when(path.rlike(r"(?i)/(blog|articles?|insights?|guides?)/."), "article")
-        .when(path.rlike(r"(?i)\A/(blog|articles?|insights?|guides?)/?\z"), "resource")
-    )
-    for name, pattern in C.PAGE_TYPE_WORDS:
-        kind = kind.when(words.rlike(pattern.replace(r"\b", _EDGE)), name)
-    return kind.otherwise("other")
+        for name, pattern in C.PAGE_TYPE_WORDS:
+            kind = kind.when(v["words"].rlike(pattern.replace(r"\b", _EDGE)), name)
+        return kind.otherwise("other")
+
+    words = let(url_path(url), lambda path: record(path=path, words=F.lower(F.concat_ws(" ", path, title, headings))))
+    return F.when(is_homepage, "homepage").otherwise(let(words, decide))
 
 
 def robots_pattern(value: Column) -> Column:

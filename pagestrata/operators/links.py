@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagestrata import constants as C
 from pagestrata.functions import urls as U
+from pagestrata.functions.text import record
 from pagestrata.operators.skew import key_counts, split_join
 from pagestrata.session import cut_lineage
 
@@ -17,21 +18,21 @@ def page_links(pages: DataFrame) -> DataFrame:
     ``pages`` has site, url, is_homepage and links(href, text, placement). Body links of a homepage
     are homepage modules; unknown placements count as body.
     """
-    exploded = pages.select("site", F.col("url").alias("source"), "is_homepage", F.posexplode("links").alias("at", "_l"))
-    known = F.when(F.col("_l.placement").isin(C.LINK_PLACEMENTS), F.col("_l.placement")).otherwise("body")
-    return (
-        exploded.select(
-            "site", "source", "at", "is_homepage",
-            U.link_target(F.col("_l.href"), F.col("source")).alias("target"),
-            F.col("_l.text").alias("text"), known.alias("placement"),
+    known = [F.lit(p) for p in C.LINK_PLACEMENTS]
+
+    def resolve(link):
+        placement = F.when(F.array_contains(F.array(*known), link["placement"]), link["placement"]).otherwise("body")
+        module = F.col("is_homepage") & (placement == "body")
+        return record(
+            target=U.link_target(link["href"], F.col("url")), text=link["text"],
+            placement=F.when(module, "homepage-module").otherwise(placement),
         )
-        .where(F.col("target").isNotNull())
-        .withColumn(
-            "placement",
-            F.when(F.col("is_homepage") & (F.col("placement") == "body"), "homepage-module").otherwise(F.col("placement")),
-        )
-        .drop("is_homepage")
-    )
+
+    # Resolved and filtered inside the array: a filter behind the explode would be pushed below it
+    # and resolve every link again, and so would the filter Spark infers for a plain explode.
+    resolved = F.filter(F.transform("links", resolve), lambda link: link["target"].isNotNull())
+    exploded = pages.select("site", F.col("url").alias("source"), F.posexplode_outer(resolved).alias("at", "_l"))
+    return exploded.where(F.col("at").isNotNull()).select("site", "source", "at", "_l.*")
 
 
 def internal_edges(links: DataFrame) -> DataFrame:
@@ -41,14 +42,21 @@ def internal_edges(links: DataFrame) -> DataFrame:
 def target_signals(edges: DataFrame) -> DataFrame:
     """Per target: distinct placements and number of distinct pages with a meaningful link to it.
 
-    Edges are made distinct on both ends first, so a page everybody links to is combined map-side
-    and never gathered in one place; placements are one of a fixed handful.
+    Edges are combined on both ends first and then on the target, each with a map-side share, so a
+    page everybody links to is never gathered in one place; placements are one of a fixed handful.
     """
     meaningful = F.col("placement").isin(C.MEANINGFUL_PLACEMENTS)
-    pairs = edges.groupBy("site", "target", "source").agg(F.max(meaningful).alias("_meaningful"))
-    counted = pairs.groupBy("site", "target").agg(F.count_if("_meaningful").cast("int").alias("inlink_count"))
-    placed = edges.groupBy("site", "target").agg(F.sort_array(F.collect_set("placement")).alias("link_placements"))
-    return counted.join(placed, ["site", "target"])
+    pairs = edges.groupBy("site", "target", "source").agg(
+        F.sort_array(F.collect_set("placement")).alias("_placements"), F.max(meaningful).alias("_meaningful")
+    )
+    return pairs.groupBy("site", "target").agg(
+        F.count_if("_meaningful").cast("int").alias("inlink_count"), _merged("_placements").alias("link_placements")
+    )
+
+
+def _merged(sets: str):
+    """Union of small sets of fixed names."""
+    return F.sort_array(F.array_distinct(F.flatten(F.collect_set(sets))))
 
 
 def link_texts(edges: DataFrame) -> DataFrame:
@@ -98,16 +106,14 @@ def discovered_candidates(pages: DataFrame, edges: DataFrame, sitemap: DataFrame
                 F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("inlink"),
             )
         )
-    inlinks = (
-        signals.where(F.col("inlink").isNotNull()).select("site", "url", "inlink").distinct()
-        .groupBy("site", "url").agg(F.count(F.lit(1)).cast("int").alias("inlink_count"))
+    per_source = signals.groupBy("site", "url", "inlink").agg(
+        F.sort_array(F.collect_set("source")).alias("_sources"),
+        F.sort_array(F.collect_set("placement")).alias("_placements"), F.min("depth").alias("depth"),
     )
-    known = signals.groupBy("site", "url").agg(
-        F.sort_array(F.collect_set("source")).alias("discovery_sources"),
-        F.sort_array(F.collect_set("placement")).alias("placements"),
-        F.min("depth").alias("depth"),
+    return per_source.groupBy("site", "url").agg(
+        _merged("_sources").alias("discovery_sources"), _merged("_placements").alias("placements"),
+        F.min("depth").alias("depth"), F.count("inlink").cast("int").alias("inlink_count"),
     )
-    return known.join(inlinks, ["site", "url"], "left").withColumn("inlink_count", F.coalesce("inlink_count", F.lit(0)))
 
 
 def link_depth(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
