@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters a trim removes: ASCII and Unicode spaces, line separators and the byte order mark.
@@ -21,6 +21,16 @@ def record(**fields: Column) -> Column:
     return F.named_struct(*[part for name, value in fields.items() for part in (F.lit(name), value)])
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out exactly once per row.
+
+    The optimizer copies a projected expression into every filter above it; the output of a
+    generator is never copied, so expensive expressions that are filtered on pass through one.
+    """
+    out = df.withColumn("_pinned", F.explode_outer(F.array(record(**columns))))
+    return out.withColumns({name: F.col(f"_pinned.{name}") for name in columns}).drop("_pinned")
+
+
 def trim_spaces(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
 

@@ -21,65 +21,43 @@ _WEB = ["http", "https"]
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
-# The canonical form as SQL text: every step names what it binds, from the raw text to the result.
-# ``let`` steps are one-element transforms, so a part is worked out once and used many times.
-_STEPS = {
-    # Control characters and spaces around the URL, tabs and line ends inside it do not count.
-    "bare": r"regexp_replace(regexp_replace(url, r'\A[\x00-\x20]+|[\x00-\x20]+\z', ''), r'[\t\n\r]', '')",
-    # [scheme, authority, path, query] of an absolute URL, else an array of one.
-    "p": r"""split(regexp_replace(bare,
-        r'(?s)\A([A-Za-z][A-Za-z0-9+.\-]*):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z',
-        '$1\u0001$2\u0001$3\u0001$4'), '\u0001')""",
-    "scheme": "lower(p[0])",
-    "server": r"regexp_replace(get(p, 1), r'(?s)\A.*@', '')",
-    "host": r"lower(regexp_replace(server, r':[0-9]*\z', ''))",
-    "port": r"regexp_extract(server, r':0*([0-9]*)\z', 1)",
-    # Backslashes are slashes, and a path begins with one.
-    "rooted": r"""regexp_replace(replace(get(p, 2), r'\', '/'), r'\A(?!/)', '/')""",
-    # Dot segments are resolved from the left.
-    "dotted": r"""if(rooted rlike r'(?i)/(\.|%2e){1,2}(/|\z)',
-        concat(
-            array_join(aggregate(split(rooted, '/'), cast(array() as array<string>), (done, s) ->
-                case when s rlike r'(?i)\A(\.|%2e){2}\z' then slice(done, 1, greatest(size(done) - 1, 1))
-                     when s rlike r'(?i)\A(\.|%2e)\z' then done
-                     else concat(done, array(s)) end), '/'),
-            if(rooted rlike r'(?i)/(\.|%2e){1,2}\z', '/', '')),
-        rooted)""",
-    # Characters a path cannot hold are percent-encoded as UTF-8.
-    "encoded": r"""if(dotted rlike r"\A[!$%&'()*+,\-./0-9:;=@A-Z\[\\\]^_a-z|~]*\z", dotted,
-        array_join(transform(split(dotted, ''), c ->
-            case when c rlike r"\A[!$%&'()*+,\-./0-9:;=@A-Z\[\\\]^_a-z|~]*\z" then c
-                 when c = ' ' then '%20' else url_encode(c) end), ''))""",
-    "path": r"regexp_replace(encoded, r'/+\z', '')",
-    # Query pairs are decoded and encoded again the way a form is sent; stray percent signs are text.
-    "pairs": r"""transform(filter(split(substring(get(p, 3), 2), '&'), q -> q != ''), (q, i) -> named_struct(
-        'name', url_encode(url_decode(regexp_replace(substring_index(q, '=', 1), r'%(?![0-9A-Fa-f]{2})', '%25'))),
-        'at', i,
-        'value', url_encode(url_decode(regexp_replace(
-            if(instr(q, '=') > 0, regexp_replace(q, r'\A[^=]*=', ''), ''), r'%(?![0-9A-Fa-f]{2})', '%25')))))""",
-    # Tracking parameters go; the rest is sorted by name and keeps its order among equal names.
-    "query": """array_join(transform(array_sort(filter(pairs, q ->
-        not startswith(lower(q.name), '{prefix}') and lower(q.name) not in ({tracking}))),
-        q -> concat(q.name, '=', q.value)), '&')""".format(
-            prefix=C.TRACKING_PREFIX, tracking=", ".join(f"'{t}'" for t in C.TRACKING_PARAMETERS)),
-}
-_RESULT = r"""case
-    when size(p) < 4 then null
-    when scheme not in ('http', 'https') then concat(scheme, ':', p[1], p[2], p[3])
-    when host = '' or host rlike r'[\x00-\x20#%/<>?@\\^|]' then null
-    else concat(scheme, '://', regexp_extract(p[1], r'(?s)\A(.*@)', 1), host,
-        if(port = '' or (scheme = 'https' and port = '443') or (scheme = 'http' and port = '80'), '', concat(':', port)),
-        if(path = '', '/', path), if(query = '', '', concat('?', query))) end"""
-
-
-def _canonical_lambda() -> str:
-    body = _RESULT
-    for name, value in reversed(_STEPS.items()):
-        body = f"get(transform(array({value}), {name} -> {body}), 0)"
-    return f"url -> {body}"
-
-
-_CANONICAL = _canonical_lambda()
+# [scheme, user, host, port, path, query] of an absolute URL, in one pass.
+_ABSOLUTE = (
+    r"(?s)\A([A-Za-z][A-Za-z0-9+.\-]*):[/\\]*([^/\\?#@]*@)?(\[[^\]]*\]|[^/\\?#:]*)(?::0*([0-9]*))?"
+    r"([/\\][^?#]*)?(\?[^#]*)?(#.*)?\z"
+)
+_PARTS = "\u0001".join(f"${n}" for n in range(1, 7))
+_PATH_SAFE = r"\A[!$%&\x27()*+,\-./0-9:;=@A-Z\[\]^_a-z|~]*\z"
+_DOTS = r"(?i)/(\.|%2e){1,2}(/|\z)"
+
+# Dot segments are resolved from the left, then characters a path cannot hold are encoded as UTF-8.
+_HARD_PATH = rf"""array_join(transform(split(
+    array_join(aggregate(split(replace(p[4], r'\', '/'), '/'), cast(array() as array<string>), (done, s) -> case
+        when s rlike r'(?i)\A(\.|%2e){{2}}\z' then slice(done, 1, greatest(size(done) - 1, 1))
+        when s rlike r'(?i)\A(\.|%2e)\z' then done else concat(done, array(s)) end), '/'), ''),
+    c -> case when c rlike r'{_PATH_SAFE}' then c when c = ' ' then '%20' else url_encode(c) end), '')"""
+# Query pairs are decoded and encoded again the way a form is sent (stray percent signs are text);
+# tracking parameters go, and the rest is sorted by name, in its own order among equal names.
+_FORM = "url_encode(url_decode(regexp_replace({0}, r'%(?![0-9A-Fa-f]{{2}})', '%25')))"
+_QUERY = f"""array_join(transform(array_sort(filter(
+    transform(filter(split(substring(p[5], 2), '&'), q -> q != ''), (q, i) -> named_struct(
+        'name', {_FORM.format("substring_index(q, '=', 1)")}, 'at', i,
+        'value', {_FORM.format(r"if(instr(q, '=') > 0, regexp_replace(q, r'\A[^=]*=', ''), '')")})),
+    q -> not startswith(lower(q.name), '{C.TRACKING_PREFIX}')
+        and lower(q.name) not in ({", ".join(f"'{t}'" for t in C.TRACKING_PARAMETERS)}))),
+    q -> concat(q.name, '=', q.value)), '&')"""
+# The canonical form of the parts as SQL text: one lambda without further ones around it, because
+# nested lambdas make the types of the outer ones expensive to look up.
+_CANONICAL = rf"""p -> case
+    when size(p) < 6 then null
+    when lower(p[0]) not in ('http', 'https')
+        then concat(lower(p[0]), ':', p[1], p[2], if(p[3] = '', '', concat(':', p[3])), p[4], p[5])
+    when p[2] = '' or p[2] rlike r'[\x00-\x20%<>@^|]' then null
+    else concat(lower(p[0]), '://', p[1], lower(p[2]),
+        if(p[3] = '' or (p[3] = '443' and lower(p[0]) = 'https') or (p[3] = '80' and lower(p[0]) = 'http'), '', concat(':', p[3])),
+        regexp_replace(regexp_replace(
+            if(p[4] rlike r'{_PATH_SAFE}' and not p[4] rlike r'{_DOTS}', p[4], {_HARD_PATH}), r'/+\z', ''), r'\A\z', '/'),
+        if(p[5] = '', '', regexp_replace(concat('?', {_QUERY}), r'\A\?\z', ''))) end"""
 
 
 def ascii_hosts(url: Column) -> Column:
@@ -103,7 +81,9 @@ def ascii_hosts(url: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """The identity of a page: no fragment, lower-case host, no tracking parameters, the other
     parameters sorted by name, no trailing slash except for the root. Invalid input is null."""
-    return F.get(F.call_function("transform", F.array(url), F.expr(_CANONICAL)), F.lit(0))
+    bare = F.regexp_replace(F.regexp_replace(url, r"\A[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", "")
+    parts = F.split(F.regexp_replace(bare, _ABSOLUTE, _PARTS), "\u0001")
+    return F.get(F.call_function("transform", F.array(parts), F.expr(_CANONICAL)), F.lit(0))
 
 
 def resolve_url(href: Column, base: Column) -> Column:
@@ -214,9 +194,11 @@ def replay_url(stamp: Column, original: Column) -> Column:
 
 def archived_url(original: Column, host: Column) -> Column:
     """An archived http or https URL of ``host`` as canonical https URL without port; others null."""
-    url = canonical_url(original)
-    https = F.regexp_replace(url, r"\A[a-z]+://((?:[^/?#@]*@)?)([^/?#:]*)(:[0-9]+)?", "https://$1$2")
-    return F.when(url_scheme(url).isin(_WEB) & (url_host(url) == host), https)
+    def secure(url: Column) -> Column:
+        https = F.regexp_replace(url, r"\A[a-z]+://((?:[^/?#@]*@)?)([^/?#:]*)(:[0-9]+)?", "https://$1$2")
+        return F.when(url_scheme(url).isin(_WEB) & (url_host(url) == host), https)
+
+    return let(canonical_url(original), secure)
 
 
 def file_extension(path: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagestrata.constants import DEFAULT_LIMITS
 from pagestrata.functions import scores as S
 from pagestrata.functions import urls as U
+from pagestrata.functions.text import pinned
 from pagestrata.operators.skew import split_join, top_k
 
 
@@ -37,8 +38,7 @@ def mark_duplicates(pages: DataFrame, keys: tuple[str, ...] = ("site", "content_
 
 def with_exclusion(pages: DataFrame, status: str = "rendered") -> DataFrame:
     """Adds the default exclusion reason and the status it leads to."""
-    reason = U.exclusion_reason(F.col("url"))
-    return pages.withColumn("exclusion_reason", reason).withColumn(
+    return pinned(pages, exclusion_reason=U.exclusion_reason(F.col("url"))).withColumn(
         "status", F.when(F.col("exclusion_reason").isNotNull(), "excluded").otherwise(status)
     )
 

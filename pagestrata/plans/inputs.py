@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestrata.functions import urls as U
-from pagestrata.functions.text import sha256
+from pagestrata.functions.text import pinned, sha256
 from pagestrata.session import tune
 
 OBSERVED = "2024-03-01 00:00:00"
@@ -28,7 +28,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def canonical_pages(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages").withColumn("url", U.canonical_url(F.col("url")))
+    pages = pinned(table(spark, folder, "pages"), url=U.canonical_url(F.col("url")))
     return pages.withColumn("site", U.url_host(F.col("url")))
 
 

@@ -18,7 +18,7 @@ from pagestrata import constants as C
 from pagestrata.errors import AuditError
 from pagestrata.functions import urls as U
 from pagestrata.functions.html import capture_html
-from pagestrata.functions.text import archive_time, sections_digest
+from pagestrata.functions.text import archive_time, pinned, sections_digest
 from pagestrata.operators.reconcile import best_pages, best_records, reconcile
 from pagestrata.operators.skew import newest
 from pagestrata.sources.common import as_raw_pages
@@ -47,14 +47,13 @@ def cdx_records(lines: DataFrame, line: str = "line") -> DataFrame:
     Lines that are no JSON or lack a field are passed over. All lines are aggregated before any cap.
     """
     filled = lambda c: F.col(f"_r.{c}").isNotNull() & (F.col(f"_r.{c}") != "")
-    parsed = lines.withColumn("_r", F.from_json(line, CDX_RECORD)).where(
+    parsed = pinned(lines, _r=F.from_json(line, CDX_RECORD)).where(
         (F.col("_r.status") == "200") & filled("filename") & filled("offset") & filled("length")
         & filled("timestamp") & filled("url")
     )
-    records = parsed.select(
-        "site", "collection", U.canonical_url(F.col("_r.url")).alias("url"),
-        *[F.col(f"_r.{c}").alias(c) for c in ("timestamp", "filename", "offset", "length")],
-    ).where(U.same_host_https(F.col("url"), F.col("site")))
+    records = pinned(parsed, url=U.canonical_url(F.col("_r.url"))).where(
+        U.same_host_https(F.col("url"), F.col("site"))
+    ).select("site", "collection", "url", *[F.col(f"_r.{c}").alias(c) for c in ("timestamp", "filename", "offset", "length")])
     return newest(records, ["site", "url"], ["timestamp", "collection", "filename", "offset"])
 
 
@@ -129,7 +128,7 @@ def read_warc_records(ranges: DataFrame, root: str) -> DataFrame:
 def wayback_rows(pages: DataFrame, body: str = "body") -> DataFrame:
     """Index pages (site, page, body) as header, data rows and the key to resume with."""
     rows = F.from_json(body, "array<array<string>>")
-    parsed = pages.withColumn("_rows", rows).withColumn("header", F.get("_rows", F.lit(0)))
+    parsed = pinned(pages, _rows=rows).withColumn("header", F.get("_rows", F.lit(0)))
     ends = F.filter(
         F.sequence(F.lit(1), F.greatest(F.size("_rows") - 2, F.lit(1))),
         lambda i: (F.size(F.get("_rows", i)) == 0) & (F.size(F.get("_rows", i + 1)) == 1),
@@ -153,12 +152,11 @@ def wayback_records(parsed: DataFrame) -> DataFrame:
     records = rows.select(
         "site", "page", "at", *[F.coalesce(value[f], F.lit("")).alias(f) for f in ("digest", "length")],
         *[value[f].alias(f) for f in ("timestamp", "original", "mimetype", "statuscode")],
-        U.archived_url(value["original"], F.col("site")).alias("url"),
-    )
-    return records.where(
-        F.col("url").isNotNull() & F.col("timestamp").rlike(r"\A[0-9]{14}\z") & (F.col("statuscode") == "200")
+    ).where(
+        F.col("timestamp").rlike(r"\A[0-9]{14}\z") & (F.col("statuscode") == "200")
         & F.col("mimetype").rlike(r"(?i)\Atext/html\b")
     )
+    return pinned(records, url=U.archived_url(F.col("original"), F.col("site"))).where(F.col("url").isNotNull())
 
 
 def newest_captures(records: DataFrame) -> DataFrame:
