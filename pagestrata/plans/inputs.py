@@ -291,6 +291,7 @@ def evaluations(spark: SparkSession, folder: str) -> DataFrame:
             "messaging_impact": ((n * 7) % 1011 / F.lit(10.0)), "audience_relevance": ((n * 13) % 101).cast("double"),
             "funnel_importance": ((n * 17) % 101).cast("double"), "proof_gap": ((n * 19) % 101).cast("double"),
             "update_efficiency": ((n * 23) % 101).cast("double"),
+            "source_disagreement": F.lit(False),
             "gate_status": F.when(n % 5 == 0, "rejected").otherwise("approved"),
             "rationale": F.concat(F.lit("Quality "), F.col("quality").cast("string"), F.lit(" | toxic "), F.col("toxic").cast("string")),
         }
