@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters a trim removes: ASCII and Unicode spaces, line separators and the byte order mark.
-SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+SPACES = (
+    "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 
 def let(value: Column, body) -> Column:
@@ -32,19 +35,23 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def trim_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def clean_text(text: Column) -> Column:
-    """Unix line ends, single spaces, no spaces around line ends, at most one blank line, trimmed."""
-    steps = [(r"\r\n?", "\n"), (r"[\t\f\x0B ]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")]
+    """Unix line ends, single spaces, no spaces around line ends, at most one blank line, trimmed.
+
+    Every pattern matches only what changes, so clean text passes through without being rebuilt.
+    """
     text = F.coalesce(text, F.lit(""))
-    return trim_spaces(reduce(lambda t, step: F.regexp_replace(t, step[0], step[1]), steps, text))
+    unix = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    steps = [(r"[\t\f\x0B][\t\f\x0B ]*| [\t\f\x0B ]+", " "), (r" \n ?|\n ", "\n"), (r"\n{3,}", "\n\n")]
+    return trim_spaces(reduce(lambda t, step: F.regexp_replace(t, step[0], step[1]), steps, unix))
 
 
 def collapse_text(text: Column) -> Column:
     """Every run of whitespace becomes one space (text as a rendered page shows it)."""
-    return trim_spaces(F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{SPACES}]+", " "))
+    return trim_spaces(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACES}]+", " "))
 
 
 def sha256(value: Column) -> Column:

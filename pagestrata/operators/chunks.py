@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagestrata.functions.text import clean_text
+from pagestrata.functions.text import clean_text, trim_spaces
 
 
 def text_chunks(documents: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
@@ -14,7 +14,7 @@ def text_chunks(documents: DataFrame, key: str = "document_id", text: str = "tex
     Works inside the row: the cleaned text is split once, nothing is shuffled.
     """
     paragraphs = F.filter(
-        F.transform(F.split(clean_text(F.col(text)), r"\n\s*\n"), clean_text), lambda p: p != ""
+        F.transform(F.split(clean_text(F.col(text)), r"\n\s*\n"), trim_spaces), lambda p: p != ""
     )
     return documents.select(key, F.posexplode(paragraphs).alias("_at", "text")).select(
         key, F.lit("paragraph").alias("kind"), (F.col("_at") + 1).alias("index"),
@@ -32,7 +32,7 @@ def markdown_chunks(documents: DataFrame, key: str = "document_id", text: str =
     lines = (
         documents.select(key, F.posexplode(F.split(clean_text(F.col(text)), "\n")).alias("_at", "line"))
         .withColumn("_line", F.col("_at") + 1)
-        .withColumn("_heading", F.when(F.col("line").rlike(r"\A#{1,6}\s+.+\z"), clean_text(heading)))
+        .withColumn("_heading", F.when(F.col("line").rlike(r"\A#{1,6}\s+.+\z"), trim_spaces(heading)))
         .withColumn("_break", F.col("_heading").isNotNull() | (F.trim("line") == ""))
     )
     above = Window.partitionBy(key).orderBy("_line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -55,7 +55,7 @@ def markdown_chunks(documents: DataFrame, key: str = "document_id", text: str =
     )
     return blocks.select(
         key, F.lit("lines").alias("kind"), F.col("_first").cast("int").alias("index"), label.alias("label"),
-        clean_text(F.col("_text")).alias("text"),
+        trim_spaces(F.col("_text")).alias("text"),
     ).where(F.col("text") != "")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata import constants as C
@@ -45,18 +45,35 @@ def target_signals(edges: DataFrame) -> DataFrame:
     Edges are combined on both ends first and then on the target, each with a map-side share, so a
     page everybody links to is never gathered in one place; placements are one of a fixed handful.
     """
-    meaningful = F.col("placement").isin(C.MEANINGFUL_PLACEMENTS)
-    pairs = edges.groupBy("site", "target", "source").agg(
-        F.sort_array(F.collect_set("placement")).alias("_placements"), F.max(meaningful).alias("_meaningful")
-    )
+    pairs = edges.groupBy("site", "target", "source").agg(F.bit_or(_bit("placement", PLACEMENTS)).alias("_placed"))
     return pairs.groupBy("site", "target").agg(
-        F.count_if("_meaningful").cast("int").alias("inlink_count"), _merged("_placements").alias("link_placements")
-    )
+        F.count_if(_has("_placed", C.MEANINGFUL_PLACEMENTS)).cast("int").alias("inlink_count"),
+        F.bit_or("_placed").alias("_placed"),
+    ).select("site", "target", "inlink_count", _names("_placed", PLACEMENTS).alias("link_placements"))
+
+
+# Sets of these few fixed names are kept as bits of one number while they are combined.
+PLACEMENTS = sorted([*C.LINK_PLACEMENTS, "homepage", "sitemap"])
+SOURCES = ["approved-page-bundle", "homepage", "internal-link", "sitemap"]
 
 
-def _merged(sets: str):
-    """Union of small sets of fixed names."""
-    return F.sort_array(F.array_distinct(F.flatten(F.collect_set(sets))))
+def _bit(column: str, names: list[str]) -> Column:
+    bit = F
+    for at, name in enumerate(names):
+        bit = bit.when(F.col(column) == name, 1 << at)
+    return bit.otherwise(0)
+
+
+def _has(bits: str, wanted: list[str]) -> Column:
+    mask = sum(1 << PLACEMENTS.index(name) for name in wanted)
+    return F.col(bits).bitwiseAND(F.lit(mask)) != 0
+
+
+def _names(bits: str, names: list[str]) -> Column:
+    """The set as a sorted array."""
+    return F.array_compact(F.array(*[
+        F.when(F.col(bits).bitwiseAND(F.lit(1 << at)) != 0, name) for at, name in enumerate(names)
+    ]))
 
 
 def link_texts(edges: DataFrame) -> DataFrame:
@@ -107,13 +124,17 @@ def discovered_candidates(pages: DataFrame, edges: DataFrame, sitemap: DataFrame
             )
         )
     per_source = signals.groupBy("site", "url", "inlink").agg(
-        F.sort_array(F.collect_set("source")).alias("_sources"),
-        F.sort_array(F.collect_set("placement")).alias("_placements"), F.min("depth").alias("depth"),
+        F.bit_or(_bit("source", SOURCES)).alias("_sources"), F.bit_or(_bit("placement", PLACEMENTS)).alias("_placed"),
+        F.min("depth").alias("depth"),
     )
-    return per_source.groupBy("site", "url").agg(
-        _merged("_sources").alias("discovery_sources"), _merged("_placements").alias("placements"),
+    known = per_source.groupBy("site", "url").agg(
+        F.bit_or("_sources").alias("_sources"), F.bit_or("_placed").alias("_placed"),
         F.min("depth").alias("depth"), F.count("inlink").cast("int").alias("inlink_count"),
     )
+    return known.select(
+        "site", "url", _names("_sources", SOURCES).alias("discovery_sources"),
+        _names("_placed", PLACEMENTS).alias("placements"), "depth", "inlink_count",
+    )
 
 
 def link_depth(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:

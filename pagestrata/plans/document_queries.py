@@ -20,7 +20,7 @@ from pagestrata.plans.catalogue import query
 @query(f"SELECT doc_id, length(t) AS length, 'sha256:' || sha256(t) AS digest FROM (SELECT doc_id, {V.clean_sql('text')} AS t FROM documents)")
 def clean_text(spark, folder):
     """Every document cleaned, as length and digest."""
-    rows = V.table(spark, folder, "documents").withColumn("t", T.clean_text(F.col("text")))
+    rows = V.heavy_table(spark, folder, "documents", "doc_id").withColumn("t", T.clean_text(F.col("text")))
     return rows.select("doc_id", F.length("t").alias("length"), T.sha256(F.col("t")).alias("digest"))
 
 
@@ -54,7 +54,7 @@ _PARAGRAPHS = "string_split_regex(" + V.clean_sql("replace(text, chr(10), chr(10
   SELECT doc_id, index, 'paragraph' AS kind, 'Paragraph ' || index AS label, length(text) AS length, sha256(text) AS digest FROM chunks""")
 def paragraph_chunks(spark, folder):
     """Documents with a blank line at every line end, as paragraphs."""
-    rows = V.table(spark, folder, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n \n")))
+    rows = V.heavy_table(spark, folder, "documents", "doc_id").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n \n")))
     chunks = CH.text_chunks(rows, "doc_id")
     return chunks.select("doc_id", "index", "kind", "label", F.length("text").alias("length"), F.sha2("text", 256).alias("digest"))
 
@@ -73,7 +73,7 @@ _MARKDOWN = "replace(replace('# ' || text, chr(10), chr(10) || '## Part ' || lan
   SELECT doc_id, index, title || ' · lines ' || index || '-' || last AS label, length({V.clean_sql('text')}) AS length, sha256({V.clean_sql('text')}) AS digest FROM chunks""")
 def markdown_chunks(spark, folder):
     """Documents as Markdown with headings, in located blocks."""
-    rows = V.table(spark, folder, "documents")
+    rows = V.heavy_table(spark, folder, "documents", "doc_id")
     part = F.concat(F.lit("\n## Part "), "lang", F.lit("\n"))
     text = F.replace(F.replace(F.concat(F.lit("# "), "text"), F.lit("\n"), part), F.lit(". "), F.lit(".\n"))
     chunks = CH.markdown_chunks(rows.withColumn("text", text), "doc_id")
@@ -85,7 +85,7 @@ def markdown_chunks(spark, folder):
 def distinct_words(spark, folder):
     """Distinct words of every document (first-seen order inside, sorted for comparison)."""
     words = T.ordered_distinct(F.split("text", " "))
-    rows = V.table(spark, folder, "documents").withColumn("_w", words)
+    rows = V.heavy_table(spark, folder, "documents", "doc_id").withColumn("_w", words)
     return rows.select("doc_id", F.size("_w").alias("words"), F.sha2(F.array_join(F.array_sort("_w"), " "), 256).alias("digest"))
 
 

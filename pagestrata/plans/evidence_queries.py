@@ -13,6 +13,7 @@ from pagestrata.operators import report as P
 from pagestrata.operators.skew import newest
 from pagestrata.plans import inputs as V
 from pagestrata.plans.catalogue import query
+from pagestrata.session import spread
 from pagestrata.sources import archives as A
 
 
@@ -164,7 +165,7 @@ def newest_observation(spark, folder):
 
 def index_lines(spark, folder):
     """Index lines made of events: some with another status, some that are no JSON."""
-    rows = V.events(spark, folder)
+    rows = spread(V.events(spark, folder), "event_id")
     line = F.to_json(F.struct(
         F.concat("url", F.lit("?utm_source=index#top")).alias("url"), F.when(F.col("k") % 13 == 0, "404").otherwise("200").alias("status"),
         F.date_format("ts", "yyyyMMddHHmmss").alias("timestamp"), F.concat(F.lit("crawl-"), "event_type", F.lit(".warc.gz")).alias("filename"),
@@ -208,7 +209,7 @@ def archive_record_order(spark, folder):
 
 def index_pages(spark, folder):
     """Index pages made of events: a header, one row, and for some a key to resume with."""
-    rows = V.events(spark, folder)
+    rows = spread(V.events(spark, folder), "event_id")
     header = F.array(*[F.lit(f) for f in C.WAYBACK_FIELDS])
     original = F.concat(F.replace("url", F.lit("https://"), F.lit("http://")), F.lit("?gclid=1"))
     row = F.array(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions import urls as U
 from pagestrata.functions.text import pinned, sha256
-from pagestrata.session import tune
+from pagestrata.session import spread, tune
 
 OBSERVED = "2024-03-01 00:00:00"
 
@@ -24,11 +24,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def heavy_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are about to be parsed: small inputs are dealt out over all cores."""
+    return spread(table(spark, folder, name), key)
+
+
 # --- pages ------------------------------------------------------------------------------------
 
 
 def canonical_pages(spark: SparkSession, folder: str) -> DataFrame:
-    pages = pinned(table(spark, folder, "pages"), url=U.canonical_url(F.col("url")))
+    pages = pinned(heavy_table(spark, folder, "pages", "page_id"), url=U.canonical_url(F.col("url")))
     return pages.withColumn("site", U.url_host(F.col("url")))
 
 

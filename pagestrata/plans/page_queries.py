@@ -215,7 +215,7 @@ def external_urls(spark, folder):
   len(regexp_extract_all(html, '<h[123]')) AS headings, 'primary-nav' AS placements FROM pages""")
 def html_outline(spark, folder):
     """Title, language, headings, links and link placements read from the parsed HTML."""
-    read = V.table(spark, folder, "pages").withColumn("_c", capture_html(F.col("html")))
+    read = V.heavy_table(spark, folder, "pages", "page_id").withColumn("_c", capture_html(F.col("html")))
     return read.select(
         "page_id", F.col("_c.title").alias("title"), F.col("_c.language").alias("language"), F.size("_c.links").alias("links"),
         F.size("_c.headings").alias("headings"),
@@ -226,7 +226,7 @@ def html_outline(spark, folder):
 @query()
 def html_sections(spark, folder):
     """Sections of every page: heading, element and text of the copy."""
-    read = V.table(spark, folder, "pages").select("page_id", capture_html(F.col("html")).alias("_c"))
+    read = V.heavy_table(spark, folder, "pages", "page_id").select("page_id", capture_html(F.col("html")).alias("_c"))
     return read.select("page_id", F.posexplode("_c.sections").alias("position", "_s")).select(
         "page_id", "position", F.col("_s.heading").alias("heading"), F.col("_s.element").alias("element"), F.col("_s.text").alias("text")
     )
@@ -235,7 +235,7 @@ def html_sections(spark, folder):
 @query()
 def rendered_placements(spark, folder):
     """Links by placement, read the way a rendered page shows them."""
-    read = V.table(spark, folder, "pages").select("page_id", capture_html(F.col("html"), True).alias("_c"))
+    read = V.heavy_table(spark, folder, "pages", "page_id").select("page_id", capture_html(F.col("html"), True).alias("_c"))
     return read.select("page_id", F.explode("_c.links").alias("_l")).groupBy("page_id", F.col("_l.placement").alias("placement")).agg(
         F.count(F.lit(1)).alias("links"))
 
@@ -243,14 +243,14 @@ def rendered_placements(spark, folder):
 @query(f"SELECT page_id, length(t) AS length, sha256(t) AS digest FROM (SELECT page_id, {V.strip_sql('html')} AS t FROM pages)")
 def strip_markup(spark, folder):
     """Markup removed from whole pages."""
-    rows = V.table(spark, folder, "pages").withColumn("t", T.strip_markup(F.col("html")))
+    rows = V.heavy_table(spark, folder, "pages", "page_id").withColumn("t", T.strip_markup(F.col("html")))
     return rows.select("page_id", F.length("t").alias("length"), F.sha2("t", 256).alias("digest"))
 
 
 @query("""SELECT page_id, sha256(replace(replace(replace(CAST(to_json({'url': url, 'html': html}) AS VARCHAR), '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e')) AS digest FROM pages""")
 def script_safe_json(spark, folder):
     """Pages as JSON that can stand inside a script element."""
-    rows = V.table(spark, folder, "pages")
+    rows = V.heavy_table(spark, folder, "pages", "page_id")
     return rows.select("page_id", F.sha2(T.script_safe_json(F.to_json(F.struct("url", "html"))), 256).alias("digest"))
 
 
