@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from pagestrata import constants as C
 from pagestrata.errors import AuditError
@@ -105,7 +106,7 @@ def read_warc_records(ranges: DataFrame, root: str) -> DataFrame:
     Only the range is read; files of many gigabytes are never loaded. A failed read is an empty
     record, which the decoder reports.
     """
-    out = ranges.schema.add("record", "binary")
+    out = StructType([*ranges.schema.fields, StructField("record", BinaryType())])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
