@@ -25,6 +25,8 @@ EVALUATED = f"page_id string, evaluation {EVALUATION}, error_code string, error_
 class Evaluator(Protocol):
     config: dict
 
+    def extract(self, source: dict) -> dict: ...
+
     def evaluate(self, pages: list[dict], messages: list[dict], feedback: str | None) -> list[dict]: ...
 
     def repair(self, pages: list[dict], messages: list[dict], previous: list[dict], rejected: list[list[dict]]) -> list[dict]: ...
@@ -164,6 +166,14 @@ class RuleEvaluator:
         self.config = {"provider": "rules"}
         self.reject_role, self.fail_on = reject_role, fail_on
 
+    def extract(self, source):
+        """The first chunk of the document as the one message."""
+        chunk = source["chunks"][0]
+        return {"summary": chunk["text"], "messages": [{
+            "message_id": "msg_first", "category": "positioning", "text": chunk["text"], "audiences": [], "proof": [],
+            "source_location": {k: chunk[k] for k in ("kind", "index", "label")}, "source_excerpt": chunk["text"],
+        }]}
+
     def evaluate(self, pages, messages, feedback=None):
         out = []
         message = messages[0]
