@@ -160,6 +160,8 @@ def link_depth(edges: DataFrame, roots: DataFrame, max_depth: int | None = None)
         )
         level = cut_lineage(following)
         reached = reached.unionByName(level)
+        if depth % 10 == 0:
+            reached = cut_lineage(reached)
     return reached
 
 

@@ -6,12 +6,13 @@ that break a rule are returned as rows (or raised) before anything is written.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata import constants as C
 from pagestrata.errors import AuditError
 from pagestrata.functions.text import json_digest, trim_spaces
+from pagestrata.operators.skew import row_numbers
 from pagestrata.schemas import EFFECT
 
 
@@ -124,8 +125,8 @@ def mode_violations(attempts: DataFrame) -> DataFrame:
 
 def attempt_check(ledger: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Adds the attempt number every record should have by its place in its own history."""
-    place = Window.partitionBy(*keys).orderBy(order)
-    return ledger.withColumn("expected_attempt", (F.row_number().over(place) - 1).cast("int"))
+    numbered = row_numbers(ledger, keys, [order], "_place")
+    return numbered.withColumn("expected_attempt", (F.col("_place") - 1).cast("int")).drop("_place")
 
 
 # --- adjudication -----------------------------------------------------------------------------

@@ -92,11 +92,16 @@ def complete_reviews(evaluations: DataFrame, reviews: DataFrame, error_code: str
 def approval_gate(reviews: DataFrame) -> DataFrame:
     """Per page: approved only if every one of the four roles approves."""
     approves = F.col("decision") == "approve"
-    grouped = reviews.groupBy("page_id").agg(
-        F.count_distinct("role").alias("roles"),
-        F.count_if(approves).alias("approvals"),
-        F.count_if(~approves).alias("rejections"),
-        F.array_sort(F.collect_list(F.struct("role", "decision", "rationale", "issue_codes"))).alias("reviews"),
+    # One row per role first (a rejection stands for its role), so a page's list has one entry a role.
+    per_role = reviews.groupBy("page_id", "role").agg(
+        F.count_if(approves).alias("_approvals"), F.count_if(~approves).alias("_rejections"),
+        F.max(F.struct("decision", "rationale", "issue_codes")).alias("_r"),
+    )
+    grouped = per_role.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("roles"), F.sum("_approvals").alias("approvals"), F.sum("_rejections").alias("rejections"),
+        F.array_sort(F.collect_list(
+            F.struct("role", F.col("_r.decision").alias("decision"), F.col("_r.rationale").alias("rationale"), F.col("_r.issue_codes").alias("issue_codes"))
+        )).alias("reviews"),
     )
     unanimous = (F.col("roles") == len(C.APPROVAL_ROLES)) & (F.col("rejections") == 0)
     return grouped.withColumn("gate_status", F.when(unanimous, "approved").otherwise("rejected"))

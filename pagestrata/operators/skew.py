@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagestrata.session import cut_lineage
+
 # A key above this many rows is worked on by several tasks; at most HOT_KEYS such keys are split,
 # so the list of hot keys that is broadcast never has more rows than that.
 ROWS_PER_SPLIT = 1_000_000
@@ -79,6 +81,24 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return out if rank else out.drop(rank_column)
 
 
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Exact row numbers (from 1) inside every key, for keys of any size.
+
+    Rows are range-partitioned by key and order, so a hot key lies in several neighbouring ranges;
+    a row's number is its place in its range plus the rows of its key in the ranges before.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(df.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return (
+        placed.withColumn("_inside", inside).join(offsets, [*keys, "_range"])
+        .withColumn(name, F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_range")
+    )
+
+
 def newest(df: DataFrame, keys: list[str], order: list[str], keep: list[str] | None = None) -> DataFrame:
     """One row per key: the greatest by ``order``. A map-side combined aggregate, safe for hot keys."""
     keep = keep or [c for c in df.columns if c not in keys]

@@ -90,10 +90,11 @@ def evaluation_violations(evaluations: DataFrame, pages: DataFrame, messages: Da
     paraphrased = check_page_excerpts(claims, texts).where(~F.col("verbatim")).select(
         *_violation(F.col("page_id"), PROVENANCE, F.concat(F.lit("Page excerpt for "), F.col("page_id"), F.lit(" is not verbatim.")))
     )
+    order = "at" if "at" in messages.columns else "message_id"
+    too_long = F.sum(F.length("source_excerpt")) > C.DEFAULT_LIMITS.messaging_characters
+    joined = F.array_join(F.array_sort(F.collect_list(F.struct(order, "source_excerpt")))["source_excerpt"], "\n")
     authority = messages.agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("at", "source_excerpt")))["source_excerpt"], "\n").alias("_authority")
-    ).withColumn("_one", F.lit(1)) if "at" in messages.columns else messages.agg(
-        F.array_join(F.collect_list("source_excerpt"), "\n").alias("_authority")
+        F.when(too_long, F.raise_error(F.lit("MESSAGING_TOO_LARGE"))).otherwise(joined).alias("_authority")
     ).withColumn("_one", F.lit(1))
     quoted = (
         claims.where(F.coalesce("message_excerpt", F.lit("")) != "").withColumn("_one", F.lit(1))

@@ -58,7 +58,9 @@ def crawl_inventory(
     )
     capped = I.with_exclusion(I.cap_candidates(known, limits.discovered), "discovered")
     candidates = cut_lineage(with_robots(capped, rules))
-    crawled = I.frontier(candidates, limits.fetched).select("site", "url", F.lit(True).alias("_crawled"))
+    crawled = I.frontier(candidates, limits.fetched).select(
+        "site", "url", F.lit(True).alias("_crawled"), "frontier_score"
+    )
     content = pages.drop("is_homepage", "primary_url")
     joined = (
         candidates.join(crawled, ["site", "url"], "left").join(content, ["site", "url"], "left")
@@ -70,7 +72,9 @@ def crawl_inventory(
         "status": status, "error_code": F.when(missing, "RENDER_FAILED"), "is_homepage": F.col("url") == F.col("primary_url"),
         "method": F.lit("public-crawl"), "source_name": F.col("primary_url"), "acquired_at": observed_at,
         "source_observed_at": F.lit(None).cast("timestamp"),
-    }).drop("_crawled")
+        # Content belongs to the page that is visited first.
+        "ordinal": -F.coalesce("frontier_score", F.lit(0.0)),
+    }).drop("_crawled", "frontier_score")
     marked = I.mark_duplicates(I.with_classification(judged))
     scored = cut_lineage(selection_scores(E.with_readiness(E.score_evidence(marked, observed_at))))
     return select_for_analysis(scored, limits.analyzed, limits.analyzed_characters), links

@@ -136,3 +136,13 @@ def test_chunks(spark):
     assert got == [(3, "Positioning · lines 3-3", "The platform replaces fragmented workflows."), (7, "Proof · lines 7-9", "Customers save\nten hours.\n#bad")]
     plain = [(r["index"], r.label, r.text) for r in text_chunks(spark.createDataFrame([("d", " a\nb \n \n\n c ")], "document_id string, text string")).collect()]
     assert plain == [(1, "Paragraph 1", "a\nb"), (2, "Paragraph 2", "c")]
+
+
+def test_row_numbers_of_a_hot_key(spark):
+    rows = spark.range(0, 3_000, 1, 5).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("v"), "id")
+    got = skew.row_numbers(rows, ["k"], ["v", "id"], "n").collect()
+    data = {}
+    for r in rows.collect():
+        data.setdefault(r.k, []).append((r.v, r.id))
+    want = {i: n for items in data.values() for n, (_, i) in enumerate(sorted(items), 1)}
+    assert {r.id: r.n for r in got} == want
