@@ -20,7 +20,7 @@ from pagestrata.operators import review as R
 from pagestrata.operators.selection import pack_batches, ranked
 from pagestrata.operators.validate import artifact_violations
 from pagestrata.plans.ingest import build_inventory
-from pagestrata.session import cut_lineage
+from pagestrata.session import cut_lineage, progress
 from pagestrata.sources import tables as T
 
 
@@ -49,6 +49,7 @@ class Audit:
     external_urls: DataFrame
     counters: DataFrame
     markdown: DataFrame
+    priorities: DataFrame
 
 
 def run_id(spark, observed_at: str, authority: Authority, limits: Limits, scope: str) -> str:
@@ -59,31 +60,37 @@ def run_id(spark, observed_at: str, authority: Authority, limits: Limits, scope:
 def run_audit(
     raw: DataFrame, authority: Authority, evaluator: Evaluator, observed_at: str,
     store: str | None = None, retry_quarantined: bool = False, limits: Limits = DEFAULT_LIMITS, scope: str = "pages",
+    archives: DataFrame | None = None,
 ) -> Audit:
     """Audit the raw pages of one or many sites.
 
     ``store`` is the folder of the cache, ledger and adjudication tables; without it every page is
-    evaluated and the gate does not run.
+    evaluated and the gate does not run. ``archives`` is the source summary of the archives the pages
+    come from: coverage is then measured against their index, and not at all for several archives.
     """
     spark = raw.sparkSession
     now = F.lit(observed_at).cast("timestamp")
+    progress("inventory", "started", scope=scope)
     pages, links = build_inventory(raw, now, limits)
     pages = cut_lineage(pages.withColumn("page_id", stable_id("page", F.col("url"))))
     selected = ranked(pages)
+    progress("analysis", "started", gate=store is not None)
     results, counters = evaluate_selected(selected, authority, evaluator, now, store, retry_quarantined, limits)
     report = cut_lineage(report_pages(selected, results, store is not None))
     rows = I.inventory_rows(pages)
-    sites = site_rows(pages, rows, report, authority, run_id(spark, observed_at, authority, limits, scope))
+    run = run_id(spark, observed_at, authority, limits, scope)
+    sites = site_rows(pages, rows, report, authority, run, archives)
     identity = sites.select("site", "run_id")
     inventory = rows.join(identity, "site")
     report = report.join(identity, "site")
     taxonomy = I.taxonomy(pages)
     K.require_none(artifact_violations(inventory, report).where(F.col("code") == "INVALID_ARTIFACT"),
                    "INVALID_ARTIFACT", "An artifact breaks its contract.")
+    progress("report", "passed", run_id=run)
     markdown = P.render_markdown(report, sites, I.notable_rows(rows), taxonomy)
     return Audit(
-        run_id(spark, observed_at, authority, limits, scope), pages, inventory, report, sites, taxonomy,
-        I.external_urls(links), counters, markdown,
+        run, pages, inventory, report, sites, taxonomy,
+        I.external_urls(links), counters, markdown, P.priority_map(report),
     )
 
 
@@ -221,7 +228,8 @@ def report_pages(selected: DataFrame, results: DataFrame, gate_enabled: bool) ->
     return P.ranked_pages(scored)
 
 
-def site_rows(pages: DataFrame, rows: DataFrame, report: DataFrame, authority: Authority, run: str) -> DataFrame:
+def site_rows(pages: DataFrame, rows: DataFrame, report: DataFrame, authority: Authority, run: str,
+              archives: DataFrame | None = None) -> DataFrame:
     """One row per site: run facts, inventory counts, evidence and report summary."""
     facts = pages.groupBy("site").agg(
         *[F.first(c, ignorenulls=True).alias(c) for c in ("primary_url", "method", "source_name")],
@@ -232,9 +240,13 @@ def site_rows(pages: DataFrame, rows: DataFrame, report: DataFrame, authority: A
     union = E.archive_union(pages).select(
         "site", "represented_by_multiple_sources", "represented_by_single_source", "source_disagreements"
     )
+    population = None if archives is None else archives.groupBy("site").agg(
+        F.sum("indexed_records").alias("source_population"))
+    evidence = E.evidence_summary(pages, population=population)
     joined = (
-        inventory.join(summary, "site").join(E.evidence_summary(pages), "site").join(union, "site", "left")
+        inventory.join(summary, "site").join(evidence, "site").join(union, "site", "left")
         .withColumns({
+            **{c: F.when(F.col("method") != "multi-archive", F.col(c)) for c in ("source_population", "content_coverage_percent")},
             "notice": P.acquisition_notice(F.col("method"), F.col("source_name")),
             "run_id": F.lit(run), "asset_name": F.lit(authority.asset_name),
             "messaging_summary": F.lit(authority.summary), "message_count": F.lit(len(authority.messages)),
@@ -244,12 +256,8 @@ def site_rows(pages: DataFrame, rows: DataFrame, report: DataFrame, authority: A
     return cut_lineage(joined.withColumn("evidence_line", P.evidence_line(joined)))
 
 
-def persist(audit: Audit, out: str) -> None:
-    """Write the artifacts of a run once; a second write of the same run is an error."""
+def persist(audit: Audit, out: str, form: str = "parquet") -> None:
+    """Write the artifacts of a run once, as Parquet or JSON; a second write of the same run is an error."""
     folder = f"{out}/{audit.run_id}"
-    T.write_once(audit.inventory, f"{folder}/inventory")
-    T.write_once(audit.report, f"{folder}/report")
-    T.write_once(audit.sites, f"{folder}/sites")
-    T.write_once(audit.taxonomy, f"{folder}/taxonomy")
-    T.write_once(audit.external_urls, f"{folder}/external_urls")
-    T.write_once(audit.markdown, f"{folder}/markdown")
+    for name in ("inventory", "report", "sites", "taxonomy", "priorities", "external_urls", "markdown"):
+        T.write_once(getattr(audit, name), f"{folder}/{name}", form=form)

@@ -232,7 +232,7 @@ def html_sections(spark, folder):
     )
 
 
-@query()
+@query("""SELECT page_id, 'primary-nav' AS placement, len(regexp_extract_all(html, '<a [^>]*href=')) AS links FROM pages""")
 def rendered_placements(spark, folder):
     """Links by placement, read the way a rendered page shows them."""
     read = V.heavy_table(spark, folder, "pages", "page_id").select("page_id", capture_html(F.col("html"), True).alias("_c"))

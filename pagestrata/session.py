@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from pagestrata.errors import AuditError
@@ -42,7 +47,7 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    shared = context.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         context.setCheckpointDir(shared)
     elif context.master.startswith("local"):
@@ -71,3 +76,41 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def progress(stage: str, status: str, **facts) -> None:
+    """One JSON line per stage on the package's logger."""
+    logging.getLogger("pagestrata").info(json.dumps({"stage": stage, "status": status, **facts}, default=str))
+
+
+def with_deadlines(spark: SparkSession, work: dict[str, Callable[[], DataFrame]], seconds: float) -> dict[str, DataFrame | Exception]:
+    """Runs and writes out several sources side by side; a source that fails or is late is an error value.
+
+    The jobs of a late source are cancelled by their tag, the others go on.
+    """
+    results: dict[str, DataFrame | Exception] = {}
+    # Open the folder before the threads do.
+    _ensure_checkpoint_dir(spark)
+
+    def run(name: str, tag: str, read: Callable[[], DataFrame]) -> None:
+        spark.sparkContext.addJobTag(tag)
+        try:
+            outcome = cut_lineage(read())
+        except Exception as error:  # one source must not stop the others
+            outcome = error
+        results.setdefault(name, outcome)
+
+    threads = {}
+    for name, read in work.items():
+        tag = f"source-{uuid.uuid4().hex}"
+        thread = InheritableThread(target=run, args=(name, tag, read), daemon=True)
+        threads[name] = (thread, tag)
+        thread.start()
+    end = time.monotonic() + seconds
+    for name, (thread, tag) in threads.items():
+        thread.join(max(0.0, end - time.monotonic()))
+        if thread.is_alive():
+            late = AuditError("ARCHIVE_TIMEOUT", f"Source {name} exceeded its deadline of {seconds:g} seconds.")
+            results.setdefault(name, late)
+            spark.sparkContext.cancelJobsWithTag(tag)
+    return {name: results[name] for name in work}

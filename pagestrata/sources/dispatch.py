@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.constants import DEFAULT_LIMITS, Limits
+from pagestrata.constants import DEFAULT_LIMITS, SOURCE_DEADLINE_SECONDS, Limits
 from pagestrata.errors import AuditError
+from pagestrata.session import with_deadlines
 from pagestrata.sources import archives as A
 from pagestrata.sources import repositories as RP
 from pagestrata.sources.bundles import ingest_bundles, ingest_saved_html
@@ -55,14 +56,17 @@ def _wayback(spark, options, limits):
 
 
 def _archives(spark, options, limits):
-    """Both archives; one of them may fail."""
-    results = {}
-    for name, read in (("common-crawl", _common_crawl), ("wayback", _wayback)):
-        try:
-            pages = read(spark, options, limits)
-            results[name] = AuditError("ARCHIVE_EMPTY", f"{name} gave no pages.") if pages.isEmpty() else pages
-        except Exception as error:  # a source that cannot be read must not stop the other one
-            results[name] = AuditError(getattr(error, "code", "ARCHIVE_FAILED"), str(error))
+    """Both archives side by side, each within its deadline; one of them may fail."""
+    work = {
+        "common-crawl": lambda: _common_crawl(spark, options, limits),
+        "wayback": lambda: _wayback(spark, options, limits),
+    }
+    results = with_deadlines(spark, work, options.get("deadline", SOURCE_DEADLINE_SECONDS))
+    for name, pages in results.items():
+        if isinstance(pages, Exception):
+            results[name] = AuditError(getattr(pages, "code", "ARCHIVE_FAILED"), str(pages))
+        elif pages.isEmpty():
+            results[name] = AuditError("ARCHIVE_EMPTY", f"{name} gave no pages.")
     return A.merge_archives(results, limits.fetched)[0]
 
 

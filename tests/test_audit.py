@@ -52,6 +52,9 @@ def test_bundle_keeps_navigation_prominence(spark, tmp_path):
     assert set(report) == {"https://example.com/", "https://example.com/product"}
     assert all(r.gate_status == "not-run" and r.human_review_required for r in report.values())
     assert report["https://example.com/"].priority == "P0"
+    bands = audit.priorities.first()
+    assert bands.p0[0] == report["https://example.com/"].page_id
+    assert sorted(bands.p0 + bands.p1 + bands.p2 + bands.p3) == sorted(r.page_id for r in report.values())
     text = audit.markdown.first().markdown
     assert "## P0/P1 Action Backlog" in text and "| https://example.com/privacy | excluded | legal |" in text
     persist(audit, str(tmp_path / "out"))
@@ -59,6 +62,20 @@ def test_bundle_keeps_navigation_prominence(spark, tmp_path):
         persist(audit, str(tmp_path / "out"))
 
 
+def test_coverage_is_measured_against_the_archive_index(spark, tmp_path):
+    from pagestrata.operators.evidence import evidence_summary, score_evidence
+
+    path = tmp_path / "b.json"
+    write_bundle(path, "Legacy software.", "common-crawl")
+    raw = ingest_bundles(spark, str(path))
+    archives = spark.createDataFrame([("example.com", "common-crawl", 10)], "site string, source string, indexed_records int")
+    from pagestrata.plans.ingest import tidy_pages
+
+    pages = score_evidence(tidy_pages(raw), F.lit(NOW).cast("timestamp"))
+    summary = evidence_summary(pages, population=archives.groupBy("site").agg(F.sum("indexed_records").alias("source_population"))).first()
+    assert (summary.source_population, summary.content_acquired, summary.content_coverage_percent, summary.unavailable) == (10, 3, 30.0, 7)
+
+
 def test_owner_authorization_is_required(spark, tmp_path):
     path = tmp_path / "b.json"
     write_bundle(path, "x y", "owner-cms-export", False)

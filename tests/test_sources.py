@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import time
 import zipfile
 
 import pytest
@@ -12,7 +13,10 @@ from pagestrata.errors import AuditError
 from pagestrata.evaluator import RuleEvaluator, check_evaluations, evaluate_batches, parse_response
 from pagestrata.functions.html import capture
 from pagestrata.functions.source_code import link_array, source_links
+from pagestrata.operators import evidence as E
 from pagestrata.operators import validate as VA
+from pagestrata.plans.ingest import build_inventory
+from pagestrata.session import with_deadlines
 from pagestrata.sources import archives as A
 from pagestrata.sources import messaging as M
 from pagestrata.sources import repositories as RP
@@ -112,6 +116,29 @@ def test_wayback(spark):
     assert lost == ["common-crawl"] and merged.first().method == "multi-archive" and merged.first().archive_sources[0].source == "wayback"
     with pytest.raises(AuditError):
         A.merge_archives({"wayback": AuditError("X", "x")}, 10)
+    other = pages.withColumns({"method": F.lit("common-crawl"), "archive_timestamp": F.lit("2026-05-01").cast("timestamp"),
+                               "sections": F.array(F.struct(F.lit("Home").alias("heading"), F.lit("p").alias("element"), F.lit("Other copy").alias("text")))})
+    both, _ = A.merge_archives({"wayback": pages, "common-crawl": other}, 10)
+    inventory, _ = build_inventory(both, F.lit("2026-07-18").cast("timestamp"))
+    page = inventory.first()
+    assert (page.evidence_kind, page.quality_score, page.freshness, page.decision_readiness) == ("archive", 85, "recent", "verify-first")
+    assert [(s.source, s.selected, s.freshness) for s in page.snapshots] == [("wayback", True, "recent"), ("common-crawl", False, "aging")]
+    union = E.archive_union(inventory).first()
+    assert (union.represented_by_multiple_sources, union.source_disagreements, union.urls_with_any_stale_source) == (1, 1, 0)
+
+
+def test_a_late_or_broken_source_does_not_stop_the_other(spark):
+    def late():
+        time.sleep(30)
+        return spark.range(1)
+
+    def broken():
+        raise AuditError("ARCHIVE_EMPTY", "nothing")
+
+    start = time.monotonic()
+    got = with_deadlines(spark, {"a": lambda: spark.range(3), "b": late, "c": broken}, 8)
+    assert time.monotonic() - start < 25
+    assert got["a"].count() == 3 and (got["b"].code, got["c"].code) == ("ARCHIVE_TIMEOUT", "ARCHIVE_EMPTY")
 
 
 def test_repository(spark, tmp_path):
