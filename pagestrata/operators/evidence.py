@@ -123,7 +123,10 @@ def evidence_summary(pages: DataFrame, keys: tuple[str, ...] = ("site",), popula
         *[c.alias(name) for name, c in bands.items()],
     )
     if population is not None:
-        summary = summary.drop("source_population").join(population, list(keys))
+        indexed = population.withColumnRenamed("source_population", "_indexed")
+        summary = summary.join(indexed, list(keys), "left").withColumn(
+            "source_population", F.coalesce("_indexed", "source_population")
+        ).drop("_indexed")
     total, acquired_pages = F.col("source_population"), F.col("content_acquired")
     return summary.withColumns(
         {
