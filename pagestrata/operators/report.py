@@ -11,6 +11,7 @@ from pagestrata import constants as C
 from pagestrata.functions.text import escape_markdown, iso_time
 from pagestrata.operators import review as R
 
+# Fixed texts of the report: readers and tools look for these sentences.
 LIMITATIONS = [
     "Site prominence estimates likely importance from public structure; it is not actual traffic or conversion data.",
     "The audit covers one supplied messaging authority and one public primary hostname within explicit limits.",
@@ -202,7 +203,7 @@ def render_markdown(pages: DataFrame, sites: DataFrame, notable: DataFrame, taxo
             F.lit("\n\n## Acquisition Notice\n\n> **Non-direct evidence:** "), F.col("notice"),
             F.lit("\n>\n> Source observation time: "), F.coalesce(iso_time(F.col("acquired_at")), F.lit("unknown")),
             F.lit(". Findings must not be presented as verification of the website's current complete copy."))),
-        F.lit("\n\n## Executive Rollout Summary\n\nAnalyzed "), text("pages_analyzed"), F.lit(" pages: "),
+        F.lit("\n\n## Executive Summary\n\nAnalyzed "), text("pages_analyzed"), F.lit(" pages: "),
         text("p0"), F.lit(" P0, "), text("p1"), F.lit(" P1, "), text("p2"), F.lit(" P2, and "), text("p3"),
         F.lit(" P3. Coverage confidence: **"), F.col("coverage_confidence"), F.lit("**.\n\n"), F.col("evidence_line"),
         F.lit("\n\n"), F.col("messaging_summary"),
