@@ -303,3 +303,23 @@ def test_unreadable_office_file():
     with zipfile.ZipFile(buffer, "w") as archive:
         archive.writestr("x", "y")
     assert M.office_chunks(buffer.getvalue(), "docx")[1] == "MESSAGING_UNREADABLE"
+
+
+def test_acquisition_and_index_requests(spark, tmp_path):
+    from pagestrata.functions import urls as U
+    from pagestrata.sources.common import Acquisition
+
+    assert Acquisition("wayback", "x").check() and Acquisition("owner-cms-export", "x", True).check()
+    for bad in (Acquisition("owner-cms-export", "x"), Acquisition("unknown", "x", True)):
+        with pytest.raises(AuditError):
+            bad.check()
+    (tmp_path / "info.json").write_text(json.dumps([{"id": f"CC-{n}", "cdx-api": f"https://index/{n}"} for n in range(9)] + [{"id": "no index"}]))
+    assert A.collections(spark, str(tmp_path / "info.json")).count() == 6
+    row = spark.createDataFrame([("a.com", "https://a.com/x y", None, "k 1")], "h string, u string, none string, k string").select(
+        A.collection_query(F.col("h"), F.lit("https://index/1")), A.index_query(F.col("h"), F.lit(250), F.col("none")),
+        A.index_query(F.col("h"), F.lit(5000), F.col("k")), A.latest_query(F.col("u")),
+        U.same_host_canonical(F.lit("/y?utm_x=1"), F.lit("https://a.com/"), F.col("h")),
+        U.same_host_canonical(F.lit("https://b.com/"), F.lit("https://a.com/"), F.col("h"))).first()
+    assert row[0] == "https://index/1?url=a.com%2F*&output=json&filter=status%3A200&filter=mime%3Atext%2Fhtml&collapse=urlkey"
+    assert "limit=250&" in row[1] and "resumeKey=" not in row[1] and row[2].endswith("limit=1000&showResumeKey=true&resumeKey=k+1")
+    assert "fastLatest=true" in row[3] and (row[4], row[5]) == ("https://a.com/y", "https://a.com/")
