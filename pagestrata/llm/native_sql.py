@@ -115,10 +115,12 @@ randoms AS ({_pairs('SELECT val AS v FROM base')}),
 plains AS ({_pairs(f"SELECT unnest(regexp_extract_all(text, '{WORD}')) AS v FROM sample")}),
 letters AS (SELECT unnest(string_split('{secrets.ALPHABET}', '')) AS c),
 cells AS (
-  SELECT a.c AS a, b.c AS b, 1 + coalesce(x.n, 0) AS rn, 1 + coalesce(p.n, 0) AS pn
+  SELECT a.c AS a, b.c AS b, coalesce(x.n, 0) AS rn, coalesce(p.n, 0) AS pn
   FROM letters a, letters b LEFT JOIN randoms x ON x.pair = a.c || b.c LEFT JOIN plains p ON p.pair = a.c || b.c),
 ratios AS (
-  SELECT a || b AS pair, floor(1000 * (ln(rn) - ln(pn) - (ln(sum(rn) OVER (PARTITION BY a)) - ln(sum(pn) OVER (PARTITION BY a)))) + 0.5)::BIGINT AS ratio FROM cells),
+  SELECT a || b AS pair, floor(1000 * (
+    ln((rn + {secrets.LEAN} * (sum(rn) OVER (PARTITION BY b) + 1) / (sum(rn) OVER () + {len(secrets.ALPHABET)})) / (sum(rn) OVER (PARTITION BY a) + {secrets.LEAN}))
+    - ln((pn + {secrets.LEAN} * (sum(pn) OVER (PARTITION BY b) + 1) / (sum(pn) OVER () + {len(secrets.ALPHABET)})) / (sum(pn) OVER (PARTITION BY a) + {secrets.LEAN}))) + 0.5)::BIGINT AS ratio FROM cells),
 runs AS MATERIALIZED ({_spans(3, secrets.TOKEN, secrets.RUN, 0)}),
 free AS (SELECT row_number() OVER () AS k, * FROM runs u WHERE regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = u.r AND b.s < u.e AND u.s < b.e)),

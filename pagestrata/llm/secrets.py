@@ -35,6 +35,7 @@ RUN = 20
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 SAMPLE = 2000
 MIN_RATIO = 1.0
+LEAN = 16
 
 
 def spans_of(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0) -> Column:
@@ -86,16 +87,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> list[int]:
     ordinary = rest.select(F.explode(F.regexp_extract_all("_s_text", F.lit(WORD), F.lit(0))).alias("_s_value"))
     counts = _transitions(values, "n_random").join(_transitions(ordinary, "n_plain"), "_s_pair", "full").collect()  # at most one row per transition
     size = len(ALPHABET)
-    table = {name: [[1] * size for _ in range(size)] for name in ("n_random", "n_plain")}
     place = {c: i for i, c in enumerate(ALPHABET)}
-    for row in counts:
-        a, b = row["_s_pair"]
-        for name in table:
-            table[name][place[a]][place[b]] += row[name] or 0
-    ratios = []
-    for random_row, plain_row in zip(table["n_random"], table["n_plain"]):
-        shift = math.log(sum(random_row)) - math.log(sum(plain_row))
-        ratios += [math.floor(1000 * (math.log(r) - math.log(p) - shift) + 0.5) for r, p in zip(random_row, plain_row)]
+
+    def model(name: str) -> list[float]:
+        """Log-probabilities of all transitions; rare ones lean on how common their second character is."""
+        seen = [[0] * size for _ in range(size)]
+        for row in counts:
+            seen[place[row["_s_pair"][0]]][place[row["_s_pair"][1]]] += row[name] or 0
+        single = [sum(column) + 1 for column in zip(*seen)]
+        every = sum(single)
+        return [math.log((n + LEAN * single[b] / every) / (sum(line) + LEAN)) for line in seen for b, n in enumerate(line)]
+
+    ratios = [math.floor(1000 * (r - p) + 0.5) for r, p in zip(model("n_random"), model("n_plain"))]
     return ratios
 
 
