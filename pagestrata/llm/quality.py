@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagestrata.llm.common import BLANKS, pin, words, written
+from pagestrata.llm.common import BLANKS, pin, word_count, words, written
 
 MIN_WORDS = 50
 COMMON = 24
@@ -98,15 +98,14 @@ def references(docs: DataFrame, common: int = COMMON, languages: int = LANGUAGES
         .withColumn("_q_rank", F.row_number().over(overall)).where(F.col("_q_rank") <= common)
     )
     commonest = top.groupBy("_q_lang").agg(F.array_sort(F.collect_list(F.struct("_q_rank", "_q_word", "_q_count"))).alias("_q_top"))
-    totals = counts.groupBy("_q_lang").agg(F.sum("_q_count").alias("_q_total"))
     joined = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"[{BLANKS}]+", "")
-    per_doc = pin(docs.select(F.col("lang").alias("_q_lang"), joined.alias("_q_joined")), _q_c=_classes(F.col("_q_joined")))
-    sums = [F.sum(F.get("_q_c", F.lit(i))).alias(f"_q_c{i}") for i in range(5)]
+    per_doc = pin(docs.select(F.col("lang").alias("_q_lang"), word_count(F.col("text")).alias("_q_words"), joined.alias("_q_joined")), _q_c=_classes(F.col("_q_joined")))
+    numbers = [f"_q_c{i}" for i in range(5)] + ["_q_total"]
+    sums = [F.sum(F.get("_q_c", F.lit(i))).alias(f"_q_c{i}") for i in range(5)] + [F.sum("_q_words").alias("_q_total")]
     classes = per_doc.groupBy("_q_lang").agg(*sums)
-    classes = classes.select(every, *[f"_q_c{i}" for i in range(5)]).groupBy("_q_lang").agg(*[F.sum(f"_q_c{i}").alias(f"_q_c{i}") for i in range(5)])
-    classes = classes.select(F.col("_q_lang").alias("_q_lang2"), F.array(*[f"_q_c{i}" for i in range(5)]).alias("_q_ref_classes"))
-    totals = totals.withColumnRenamed("_q_lang", "_q_lang3")
-    both = commonest.join(classes, commonest["_q_lang"].eqNullSafe(classes["_q_lang2"])).join(totals, commonest["_q_lang"].eqNullSafe(totals["_q_lang3"]))
+    classes = classes.select(every, *numbers).groupBy("_q_lang").agg(*[F.sum(n).alias(n) for n in numbers])
+    classes = classes.select(F.col("_q_lang").alias("_q_lang2"), "_q_total", F.array(*numbers[:5]).alias("_q_ref_classes"))
+    both = commonest.join(classes, commonest["_q_lang"].eqNullSafe(classes["_q_lang2"]))
     largest = both.orderBy(F.col("_q_lang").isNull().desc(), F.col("_q_total").desc(), "_q_lang").limit(languages + 1)
     return largest.select(
         "_q_lang", "_q_ref_classes", F.col("_q_top._q_word").alias("_q_ref_words"),
