@@ -112,7 +112,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text
 base AS MATERIALIZED ({_spans(0, secrets.ASSIGN, 6, 2)} UNION ALL {_spans(1, secrets.ACCESS, 20, 0)} UNION ALL {_spans(2, secrets.HEX, 0, 0)}),
 sample AS (SELECT {_strip('text')} AS text FROM d ORDER BY md5(coalesce(doc_id::VARCHAR, '')), text LIMIT {secrets.SAMPLE}),
 randoms AS ({_pairs('SELECT val AS v FROM base')}),
-plains AS ({_pairs(f"SELECT unnest(regexp_extract_all(text, '{WORD}')) AS v FROM sample")}),
+plains AS ({_pairs(f"SELECT v FROM (SELECT unnest(regexp_extract_all(text, '{WORD}')) AS v FROM sample) WHERE regexp_full_match(v, '{secrets.ORDINARY}')")}),
 letters AS (SELECT unnest(string_split('{secrets.ALPHABET}', '')) AS c),
 cells AS (
   SELECT a.c AS a, b.c AS b, coalesce(x.n, 0) AS rn, coalesce(p.n, 0) AS pn

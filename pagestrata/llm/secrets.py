@@ -34,6 +34,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = 20
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 SAMPLE = 2000
+# Words without digits but a few at their end: what the model of ordinary identifiers learns from.
+ORDINARY = r"""[^0-9]*[0-9]{0,4}[.,;:!?)"]*"""
 MIN_RATIO = 1.0
 LEAN = 16
 
@@ -85,6 +87,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> list[int]:
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = rest.withColumn("_s_text", F.regexp_replace("_s_text", pattern, " "))
     ordinary = rest.select(F.explode(F.regexp_extract_all("_s_text", F.lit(WORD), F.lit(0))).alias("_s_value"))
+    ordinary = ordinary.where(F.col("_s_value").rlike(rf"^{ORDINARY}\z"))
     counts = _transitions(values, "n_random").join(_transitions(ordinary, "n_plain"), "_s_pair", "full").collect()  # at most one row per transition
     size = len(ALPHABET)
     place = {c: i for i, c in enumerate(ALPHABET)}
