@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagestrata.llm import near_duplicates, packing
+from pagestrata.llm import cross_entropy, languages, near_duplicates, packing, vector_search
 from pagestrata.llm.common import read
 
 
@@ -21,3 +21,17 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.classes(read(spark, folder, "documents"))
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.identified(read(spark, folder, "documents"))
+
+
+def op8_cross_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    """The target are the documents labelled as good."""
+    good = read(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy.scored(read(spark, folder, "documents"), good)
+
+
+def op2_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_search.searched(read(spark, folder, "embeddings"))

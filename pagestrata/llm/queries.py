@@ -10,6 +10,9 @@ from pagestrata.plans.catalogue import Query
 QUERIES = {
     "op1_best_fit_packing": Query(corpus.op1_best_fit_packing, None),
     "op9_near_duplicates": Query(corpus.op9_near_duplicates, None),
+    "op2_vector_search": Query(corpus.op2_vector_search, None),
+    "op3_language_id": Query(corpus.op3_language_id, None),
+    "op8_cross_entropy": Query(corpus.op8_cross_entropy, None),
     "op6_secret_scan": Query(native.op6_secret_scan, sql.OP6),
     "op7_quality_rules": Query(native.op7_quality_rules, sql.OP7),
     "op10_source_mix": Query(native.op10_source_mix, sql.OP10),
