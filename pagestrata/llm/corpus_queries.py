@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagestrata.llm import cross_entropy, languages, near_duplicates, packing, vector_search
+from pagestrata.llm import cross_entropy, languages, near_duplicates, packing, repeats, vector_search
 from pagestrata.llm.common import read
 
 
@@ -35,3 +35,7 @@ def op8_cross_entropy(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_vector_search(spark: SparkSession, folder: str) -> DataFrame:
     return vector_search.searched(read(spark, folder, "embeddings"))
+
+
+def op5_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.removed(read(spark, folder, "documents"))

@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries in ``native_queries``."""
+"""DuckDB SQL for the queries that SQL can express."""
 
 from __future__ import annotations
 
@@ -135,3 +135,17 @@ per AS (
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN per USING (r)"""
+
+
+OP5 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS win FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+twice AS (SELECT r, i FROM windows WHERE win IN (SELECT win FROM windows GROUP BY win HAVING count(*) > 1)),
+marked AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, true) AS opens FROM twice),
+numbered AS (SELECT r, i, sum(opens::INT) OVER (PARTITION BY r ORDER BY i) AS span FROM marked),
+spans AS (SELECT r, min(i) AS s, max(i) + 200 AS e FROM numbered GROUP BY r, span),
+gaps AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS after FROM spans),
+per AS (SELECT r, sum(e - s) AS gone, count(*) AS n, max(e) AS last, string_agg(substr(h, 2 * after + 1, 2 * (s - after)), '' ORDER BY s) AS kept FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN per.r IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN per USING (r)"""
