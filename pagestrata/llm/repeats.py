@@ -204,14 +204,17 @@ def _judge(length: int, parts: int):
         spans = rows["n"].to_numpy(np.int64)
         flags, at = repeating(list(rows["body"]), spans, rows["copies"].to_numpy(np.int64), length)
         text = b"".join(rows["body"])
-        out, pending, end = [], [], 0
+        out, pending, settled, end = [], [], set(), 0
         for fp, context, n, hot in zip(rows["fp"], rows["context"], spans, rows["hot"]):
             own = flags[end:end + n]
             if own.any():
                 out.append((fp, context, _intervals(own), 0, None))
             if hot:
-                pending += [(xxhash.xxh3_128_digest(text[at[end + i]:at[end + i] + length]), fp, context, i) for i in np.flatnonzero(~own).tolist()]
+                digests = [xxhash.xxh3_128_digest(text[a:a + length]) for a in at[end:end + n].tolist()]
+                pending += [(digests[i], fp, context, i) for i in np.flatnonzero(~own).tolist()]
+                settled.update(digests[i] for i in np.flatnonzero(own).tolist())
             end += n
+        pending += [(digest, 0, 0, -1) for digest in settled]  # other shards must know of these
         if pending:
             pending = np.sort(np.array(pending, entry), order="digest")
             part = np.array([(d[0] << 8 | d[1]) * parts >> 16 for d in (x.ljust(2, b"\0") for x in pending["digest"].tolist())])
@@ -224,7 +227,7 @@ def _judge(length: int, parts: int):
         out = []
         for own in runs:
             again = np.searchsorted(union, own["digest"], "right") - np.searchsorted(union, own["digest"], "left") > 1
-            out += [(int(x["fp"]), int(x["context"]), [int(x["start"]), int(x["start"]) + 1], 0, None) for x in own[again]]
+            out += [(int(x["fp"]), int(x["context"]), [int(x["start"]), int(x["start"]) + 1], 0, None) for x in own[again & (own["start"] >= 0)]]
         return pd.DataFrame(out, columns=["fp", "context", "starts", "part", "run"]).astype({"fp": np.int64, "context": np.int64, "part": np.int32})
 
     return run, merge
