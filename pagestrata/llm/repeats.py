@@ -40,6 +40,7 @@ PART = 4000
 MERGED = 400_000
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
+_HIGH, _LOW = np.uint64(0xFFFFFFFF << 32), np.uint64(0xFFFFFFFF)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
@@ -65,12 +66,14 @@ class Anchors:
         self._grow(n + 1)
         sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTES[raw] * self.powers[:n], dtype=np.uint64)))
         hashes = mix((sums[self.gram:] - sums[:-self.gram]) * self.backs[:n - self.gram + 1])
-        least, at, reach, wanted = hashes, np.arange(len(hashes)), 1, self.length - self.gram + 1
+        # Half a hash and the place from the end in one number: its least is the least hash, the last of equals.
+        least = (hashes & _HIGH) | (_LOW - np.arange(len(hashes), dtype=np.uint64))
+        reach, wanted = 1, self.length - self.gram + 1
         while reach < wanted:
             step = min(reach, wanted - reach)
-            take = least[step:] <= least[:-step]
-            least, at = np.where(take, least[step:], least[:-step]), np.where(take, at[step:], at[:-step])
+            least = np.minimum(least[:-step], least[step:])
             reach += step
+        at = (_LOW - (least & _LOW)).astype(np.int64)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         return hashes[at[first]], first, np.diff(np.append(first, len(at)))
 
@@ -86,13 +89,16 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         made = Anchors(length, gram)
         for batch in batches:
-            for doc_id, mark, text in zip(batch["doc_id"].astype("Int64"), batch["mark"], batch["text"]):
+            parts, contexts = [], []
+            for text in batch["text"]:
                 body = _bytes(text)
-                fp, first, n = made.of(np.frombuffer(body, np.uint8))
-                if len(fp):
-                    context = [xxhash.xxh3_64_intdigest(body[a:b]) for a, b in zip(first.tolist(), (first + n + (length - 1)).tolist())]
-                    yield pd.DataFrame({"doc_id": pd.array([doc_id] * len(fp), "Int64"), "mark": mark, "fp": fp.view(np.int64), "first": first, "n": n,
-                                        "context": np.array(context, np.uint64).view(np.int64)})
+                parts.append(made.of(np.frombuffer(body, np.uint8)))
+                _, first, n = parts[-1]
+                contexts += [xxhash.xxh3_64_intdigest(body[a:b]) for a, b in zip(first.tolist(), (first + n + (length - 1)).tolist())]
+            fp, first, n = (np.concatenate(column) for column in zip(*parts))
+            rows = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").array[rows], "mark": batch["mark"].to_numpy()[rows], "fp": fp.view(np.int64), "first": first, "n": n,
+                                "context": np.array(contexts, np.uint64).view(np.int64)})
 
     return docs.select("doc_id", "mark", "text").mapInPandas(run, "doc_id long, mark long, fp long, first long, n int, context long")
 
