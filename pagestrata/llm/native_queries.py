@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import mixing, quality, secrets
+from pagestrata.llm import mixing, quality, secrets, surrogates
 from pagestrata.llm.common import read, written
 
 
+def op4_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.replaced(read(spark, folder, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     found = secrets.scan(docs)

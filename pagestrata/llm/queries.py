@@ -13,6 +13,7 @@ QUERIES = {
     "op2_vector_search": Query(corpus.op2_vector_search, None),
     "op3_language_id": Query(corpus.op3_language_id, None),
     "op8_cross_entropy": Query(corpus.op8_cross_entropy, None),
+    "op4_pii_surrogates": Query(native.op4_pii_surrogates, None),
     "op5_repeated_strings": Query(corpus.op5_repeated_strings, sql.OP5),
     "op6_secret_scan": Query(native.op6_secret_scan, sql.OP6),
     "op7_quality_rules": Query(native.op7_quality_rules, sql.OP7),
