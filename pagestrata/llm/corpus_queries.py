@@ -8,15 +8,16 @@ from pagestrata.llm import cross_entropy, languages, near_duplicates, packing, r
 from pagestrata.llm.common import read
 
 
-def tokenizer_path() -> str:
+def tokenizer() -> tuple[str, str]:
+    """Ranks and pattern of the vocabulary of byte_bpe_50k.json; a test holds their ids against that file's."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
-    return packing.packed(docs, tokenizer_path(), packing.shards_for(docs.count()))
+    return packing.packed(docs, tokenizer(), packing.shards_for(docs.count()))
 
 
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,6 +18,7 @@ rows. Other columns are not read.
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -30,44 +31,22 @@ ROOM = 1024
 END = 2
 OPEN_BINS = 32_768
 PER_SHARD = 32_768
-CACHED = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 
 
-class Encoder(dict):
-    """Ids of a text as little-endian 32-bit bytes.
+class Encoder:
+    """Ids of a text as little-endian 32-bit bytes, from a file of ranks and the pattern that splits text."""
 
-    Token boundaries never fall inside a lone space and its word, so texts without other runs of white
-    space around spaces are encoded word by word, and words are kept. All other texts are encoded whole.
-    """
+    def __init__(self, ranks: str, pattern: str):
+        import tiktoken
 
-    def __init__(self, tokenizer: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.tokenizer.encode_special_tokens = True
-
-    def plain(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise ValueError(word)
-        if len(self) >= CACHED:
-            self.clear()
-        ids = self[word] = self.plain(" " + word)
-        return ids
+        with open(ranks, "rb") as lines:
+            merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        try:
-            if not first or first[0].isspace() or first[-1].isspace():
-                raise ValueError(first)
-            return self.plain(first) + b"".join(map(self.__getitem__, rest))
-        except ValueError:
-            return self.plain(text)
+        return np.asarray(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
 
 def cut(ids: bytes, room: int) -> Iterator[tuple[int, int, int, int]]:
@@ -80,12 +59,12 @@ def cut(ids: bytes, room: int) -> Iterator[tuple[int, int, int, int]]:
         start = end
 
 
-def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: tuple[str, str], room: int = ROOM, end: int = END) -> DataFrame:
     """The pieces of every document, tokenized in batches."""
     closing = np.asarray([end], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(*tokenizer)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -126,7 +105,7 @@ def best_fit(lengths, room: int = ROOM, open_bins: int = OPEN_BINS) -> tuple[np.
     return bins, offsets
 
 
-def packed(docs: DataFrame, tokenizer: str, shards: int, room: int = ROOM, end: int = END, open_bins: int = OPEN_BINS) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: tuple[str, str], shards: int, room: int = ROOM, end: int = END, open_bins: int = OPEN_BINS) -> DataFrame:
     """Every piece with its sequence and its place there."""
     def place(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["length", "_p_order", "doc_id", "piece", "ids_crc32"], ascending=[False] + [True] * 4, ignore_index=True)

@@ -5,20 +5,23 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 
 from pagestrata.llm import packing
-from pagestrata.llm.corpus_queries import tokenizer_path
+from pagestrata.llm.corpus_queries import tokenizer
 from pagestrata.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
+LOADED = []
 
 
 def plain_pieces(text, room=1024):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+    if not LOADED:
+        LOADED.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+        LOADED[0].encode_special_tokens = True
+    ids = [*LOADED[0].encode(text or "", add_special_tokens=False).ids, 2]
     first = len(ids) % room or room
     ends = list(range(first, len(ids) + 1, room))
     return [(n, s, e - s, zlib.crc32(np.array(ids[s:e], "<u4").tobytes())) for n, (s, e) in enumerate(zip([0, *ends], ends))]
@@ -53,12 +56,12 @@ def test_unusual_texts(spark):
     texts = [(1, None), (2, ""), (3, " "), (4, "  two  spaces "), (5, "a\n b \n\nc"), (6, "<|endoftext|> it's 3.14 x 　y"),
              (7, "word " * 3000), (8, "ñandú 漢字 😀 don't"), (None, "null id"), (9, "same"), (9, "same"), (10, " lead"), (11, "x" * 1), (12, "tail ")]
     frame = spark.createDataFrame([(*t, "s", 5) for t in texts], "doc_id bigint, text string, sequence_id string, length int")
-    rows = packing.packed(frame, tokenizer_path(), 3).collect()
+    rows = packing.packed(frame, tokenizer(), 3).collect()
     check(rows, texts)
-    again = packing.packed(frame, tokenizer_path(), 3).collect()
+    again = packing.packed(frame, tokenizer(), 3).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
-    check(packing.packed(frame, tokenizer_path(), 1, room=7).collect(), texts, 7)
-    assert packing.packed(frame.limit(0), tokenizer_path(), 1).collect() == []
+    check(packing.packed(frame, tokenizer(), 1, room=7).collect(), texts, 7)
+    assert packing.packed(frame.limit(0), tokenizer(), 1).collect() == []
 
 
 def test_best_fit_closes_the_fullest():
