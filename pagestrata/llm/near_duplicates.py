@@ -11,7 +11,8 @@ The signature is cut into ``BANDS`` bands of ``ROWS`` coordinates. Documents tha
 candidates; at a similarity of 0.8 a pair shares none with a probability of 5e-5. Within a band each
 document is paired with four leaders of the band only (the least ids under four orders), so a group of
 n copies gives at most 4n pairs a band, and different bands give different leaders. Every candidate
-pair is then checked exactly, and documents linked by pairs at or above ``SIMILARITY`` form a class
+pair is then checked exactly, first those with the leader of least id, then the others as far as their
+documents are not yet connected. Documents linked by pairs at or above ``SIMILARITY`` form a class
 (connected components). Texts of the same words are one before all this: their copies add no pairs.
 
 Hot bands are joined as plain equi-joins that adaptive execution splits; leaders come from map-side
@@ -165,18 +166,30 @@ def _elements(docs: DataFrame, shingle: int) -> DataFrame:
 TURNS = (0, -1, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D)
 
 
-def _pairs(sketches: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a < b) of the documents that stand for all with the same words."""
-    leaders = sketches.where(F.size("bands") > 0).groupBy("same1", "same2").agg(F.min("doc_id").alias("doc_id"))
-    own = sketches.join(leaders, ["same1", "same2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "same1", "same2"])
-    own = own.select("doc_id", "n", F.explode("bands").alias("band"))
+def _meetings(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members and leaders of every band that two documents of different words share."""
+    first = sketches.where(F.size("bands") > 0).groupBy("same1", "same2").agg(F.min("doc_id").alias("doc_id"))
+    own = sketches.join(first, ["same1", "same2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "same1", "same2"])
+    own = own.select("doc_id", F.explode("bands").alias("band"))
     least = [F.min(F.col("doc_id").bitwiseXOR(F.lit(t))).alias(f"l{i}") for i, t in enumerate(TURNS)]
     heads = written(own.groupBy("band").agg(F.count(F.lit(1)).alias("members"), *least).where("members > 1"))
-    leader = F.explode(F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(t)) for i, t in enumerate(TURNS)])))
+    return own, heads
+
+
+def _pairs(own: DataFrame, heads: DataFrame, turns: range) -> DataFrame:
+    """Distinct candidate pairs (a < b) of members with the leaders under some of the orders."""
+    leader = F.explode(F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(TURNS[i])) for i in turns])))
     met = own.join(heads, "band").select("doc_id", leader.alias("other")).where("doc_id <> other")
     return met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose documents are not in one component yet."""
+    for end in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
+    return pairs.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs at or above the similarity."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -192,9 +205,14 @@ def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
 def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class; one row for every doc_id."""
     sketches = written(_sketches(docs, shingle, bands, rows))
-    pairs = written(_pairs(sketches))
-    links = written(_linked(pairs, docs, shingle, similarity))
+    own, heads = _meetings(sketches)
+    links = written(_linked(written(_pairs(own, heads, range(1))), docs, shingle, similarity))
     found = components(links)
+    # The other leaders only matter for documents that the first did not bring together.
+    more = written(_apart(_pairs(own, heads, range(1, len(TURNS))), found))
+    more = _linked(more, docs, shingle, similarity)
+    known = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    found = components(known.unionByName(more))
     same = ["same1", "same2"]
     alone = F.size("bands") == 0
     heads = sketches.where(~alone).groupBy(*same).agg(F.min("doc_id").alias("head"))
