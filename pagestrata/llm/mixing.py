@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagestrata.llm.common import BLANK, word_count
+from pagestrata.llm.common import BLANK, WORD, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
