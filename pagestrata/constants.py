@@ -170,4 +170,3 @@ MULTI_ARCHIVE_NAME = "Common Crawl + Internet Archive Wayback Machine"
 INDEX_PAGE_SIZE = 1_000
 MAX_INDEX_PAGES = 10
 MANUAL_CAPTURE_PAGES = 250
-SOURCE_DEADLINE_SECONDS = 60.0

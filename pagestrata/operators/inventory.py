@@ -87,12 +87,16 @@ def inventory_order() -> list[Column]:
     return [F.col("prominence").desc(), F.col("url")]
 
 
-def inventory_summary(rows: DataFrame) -> DataFrame:
-    """Counts per site; ``fetched`` counts every page that was attempted."""
+def inventory_summary(rows: DataFrame, crawled: bool = False) -> DataFrame:
+    """Counts per site; ``fetched`` counts every page that was attempted.
+
+    A crawl does not attempt the pages it excludes; an import has attempted all that it holds.
+    """
     status = F.col("status")
+    attempted = status.isin("rendered", "failed", "duplicate") if crawled else F.lit(True)
     return rows.groupBy("site").agg(
         F.count(F.lit(1)).alias("discovered"),
-        F.count_if(status.isin("rendered", "failed", "duplicate")).alias("fetched"),
+        F.count_if(attempted).alias("fetched"),
         F.count_if(status == "rendered").alias("rendered"),
         F.count_if(F.col("selected")).alias("analyzed"),
         F.count_if(status == "excluded").alias("excluded"),

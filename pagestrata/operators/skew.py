@@ -7,19 +7,16 @@ from pyspark.sql import functions as F
 
 from pagestrata.session import cut_lineage
 
-# A key above this many rows is worked on by several tasks; at most HOT_KEYS such keys are split,
-# so the list of hot keys that is broadcast never has more rows than that.
+# A key above this many rows is worked on by several tasks. All such keys are split; there are at most
+# rows / ROWS_PER_SPLIT of them, which bounds the list that is broadcast (100,000 keys for 1e11 rows).
 ROWS_PER_SPLIT = 1_000_000
-HOT_KEYS = 1_000
 SLOTS = 1_024
 
 
 def hot_keys(counts: DataFrame, keys: list[str], rows: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
-    """The heaviest keys of a table of row counts per key, with the number of parts to cut each into."""
+    """The heavy keys of a table of row counts per key, with the number of parts to cut each into."""
     return (
         counts.where(F.col(rows) > rows_per_split)
-        .orderBy(F.col(rows).desc(), *keys)
-        .limit(HOT_KEYS)
         .select(*keys, F.ceil(F.col(rows) / rows_per_split).cast("int").alias("_parts"))
     )
 

@@ -235,7 +235,8 @@ def site_rows(pages: DataFrame, rows: DataFrame, report: DataFrame, authority: A
         *[F.first(c, ignorenulls=True).alias(c) for c in ("primary_url", "method", "source_name")],
         F.max("acquired_at").alias("acquired_at"),
     )
-    inventory = I.inventory_summary(rows).join(facts, "site")
+    tried = F.col("rendered") + F.col("failed") + F.col("duplicate")  # a crawl does not fetch what it excludes
+    inventory = I.inventory_summary(rows).join(facts, "site").withColumn("fetched", F.when(F.col("method") == "public-crawl", tried).otherwise(F.col("fetched")))
     summary = P.report_summary(report, inventory.select("site", "method", "failed", "partial"))
     union = E.archive_union(pages).select(
         "site", "represented_by_multiple_sources", "represented_by_single_source", "source_disagreements"

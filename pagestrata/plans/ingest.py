@@ -31,12 +31,11 @@ def tidy_pages(raw: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
         ),
     )
 
-    def texts(name: str, most: int) -> Column:
-        kept = F.slice(F.coalesce(name, F.array().cast("array<string>")), 1, most)
-        return F.filter(F.transform(kept, clean_text), lambda t: t != "")
+    def texts(name: str) -> Column:
+        return F.filter(F.transform(F.coalesce(name, F.array().cast("array<string>")), clean_text), lambda t: t != "")
 
     links = F.transform(
-        F.slice("links", 1, limits.discovered),
+        "links",
         lambda k: F.struct(k["href"].alias("href"), clean_text(k["text"]).alias("text"), k["placement"].alias("placement")),
     )
     return (
@@ -47,7 +46,7 @@ def tidy_pages(raw: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
                 "canonical_url": F.coalesce(U.link_target(_stated(F.col("canonical_url"), F.col("url")), F.col("url")), F.col("url")),
                 "meta_description": clean_text(F.col("meta_description")),
                 "language": F.nullif(clean_text(F.col("language")), F.lit("")),
-                "headings": texts("headings", 100), "breadcrumbs": texts("breadcrumbs", 50), "links": links,
+                "headings": texts("headings"), "breadcrumbs": texts("breadcrumbs"), "links": links,
                 "sections": F.col("_t.sections"), "character_count": F.col("_t.character_count"),
                 "partial_coverage": F.coalesce("partial_coverage", F.lit(False)) | F.col("_t.truncated"),
                 "source_observed_at": F.coalesce("archive_timestamp", "source_observed_at"),

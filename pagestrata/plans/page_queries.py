@@ -13,7 +13,7 @@ from pagestrata.functions.source_code import link_array, title_text
 from pagestrata.operators import inventory as I
 from pagestrata.operators import links as L
 from pagestrata.operators import robots as RB
-from pagestrata.operators.skew import top_k
+from pagestrata.operators.skew import row_numbers
 from pagestrata.plans import inputs as V
 from pagestrata.plans.catalogue import query
 from pagestrata.plans.ingest import build_inventory
@@ -305,12 +305,13 @@ def candidate_cap(spark, folder):
     return I.cap_candidates(pages, 150).select("url")
 
 
-@query(f"""WITH {V.PART_PAGES_SQL} SELECT url, prominence FROM (SELECT *, row_number() OVER (ORDER BY prominence DESC, url) AS rn FROM part_prominence) WHERE rn <= 40""")
+@query(f"""WITH {V.PART_PAGES_SQL} SELECT url, prominence, row_number() OVER (ORDER BY prominence DESC, url) AS place FROM part_prominence""")
 def inventory_order(spark, folder):
-    """The forty most prominent pages in inventory order."""
+    """All pages with their place in inventory order."""
     pages = L.with_link_signals(V.part_pages(spark, folder), V.part_links(spark, folder))
     score = S.prominence(F.col("placements"), F.col("discovery_sources"), F.col("depth"), F.col("inlink_count"))
-    return top_k(pages.withColumn("prominence", score), ["site"], I.inventory_order(), 40).select("url", "prominence")
+    scored = pages.withColumn("prominence", score).withColumn("_less", -F.col("prominence"))
+    return row_numbers(scored, ["site"], ["_less", "url"], "place").select("url", "prominence", "place")
 
 
 def raw_pages(spark, folder):

@@ -83,10 +83,11 @@ def progress(stage: str, status: str, **facts) -> None:
     logging.getLogger("pagestrata").info(json.dumps({"stage": stage, "status": status, **facts}, default=str))
 
 
-def with_deadlines(spark: SparkSession, work: dict[str, Callable[[], DataFrame]], seconds: float) -> dict[str, DataFrame | Exception]:
+def with_deadlines(spark: SparkSession, work: dict[str, Callable[[], DataFrame]], seconds: float | None = None) -> dict[str, DataFrame | Exception]:
     """Runs and writes out several sources side by side; a source that fails or is late is an error value.
 
-    The jobs of a late source are cancelled by their tag, the others go on.
+    Without ``seconds`` every source is waited for. The jobs of a late source are cancelled by their tag,
+    the others go on.
     """
     results: dict[str, DataFrame | Exception] = {}
     # Open the folder before the threads do.
@@ -106,9 +107,9 @@ def with_deadlines(spark: SparkSession, work: dict[str, Callable[[], DataFrame]]
         thread = InheritableThread(target=run, args=(name, tag, read), daemon=True)
         threads[name] = (thread, tag)
         thread.start()
-    end = time.monotonic() + seconds
+    end = None if seconds is None else time.monotonic() + seconds
     for name, (thread, tag) in threads.items():
-        thread.join(max(0.0, end - time.monotonic()))
+        thread.join(None if end is None else max(0.0, end - time.monotonic()))
         if thread.is_alive():
             late = AuditError("ARCHIVE_TIMEOUT", f"Source {name} exceeded its deadline of {seconds:g} seconds.")
             results.setdefault(name, late)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.constants import DEFAULT_LIMITS, SOURCE_DEADLINE_SECONDS, Limits
+from pagestrata.constants import DEFAULT_LIMITS, Limits
 from pagestrata.errors import AuditError
 from pagestrata.session import with_deadlines
 from pagestrata.sources import archives as A
@@ -56,12 +56,12 @@ def _wayback(spark, options, limits):
 
 
 def _archives(spark, options, limits):
-    """Both archives side by side, each within its deadline; one of them may fail."""
+    """Both archives side by side; one of them may fail. A deadline in seconds holds only where one is given."""
     work = {
         "common-crawl": lambda: _common_crawl(spark, options, limits),
         "wayback": lambda: _wayback(spark, options, limits),
     }
-    results = with_deadlines(spark, work, options.get("deadline", SOURCE_DEADLINE_SECONDS))
+    results = with_deadlines(spark, work, options.get("deadline"))
     for name, pages in results.items():
         if isinstance(pages, Exception):
             results[name] = AuditError(getattr(pages, "code", "ARCHIVE_FAILED"), str(pages))
