@@ -39,6 +39,6 @@ def test_odd_rows(spark, tmp_path, name):
     assert compare(spark, folder_of(spark, tmp_path, ODD), QUERIES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n != "op2_vector_search"))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ("op2_vector_search", "op8_cross_entropy")))
 def test_empty_table(spark, tmp_path, name):
     assert QUERIES[name].run(spark, folder_of(spark, tmp_path, [])).collect() == []
