@@ -59,7 +59,8 @@ def brute_scores(rows, targets):
 
 def test_cross_entropy_against_brute_force(spark):
     rng = random.Random(1)
-    rows = [(i, " ".join(rng.choice("alpha beta gamma delta" if i % 2 else "delta eps zeta eta").split() and rng.choice((["alpha", "beta", "gamma"], ["delta", "eps", "zeta"])[i % 2]) for _ in range(40))) for i in range(30)]
+    words = (["alpha", "beta", "gamma", "delta"], ["delta", "eps", "zeta", "eta"])
+    rows = [(i, " ".join(rng.choices(words[i % 2], k=40))) for i in range(30)]
     rows += [(100, None), (101, " \n"), (102, "one"), (None, "no id here"), (3, rows[3][1])]
     targets = {i for i in range(0, 30, 4)}
     frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, n_words int")
