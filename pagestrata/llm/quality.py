@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagestrata.llm.common import BLANKS, pin, word_count, words, written
+from pagestrata.llm.common import BLANKS, pin, words, written
 
 MIN_WORDS = 50
 COMMON = 24
@@ -38,17 +38,30 @@ def _without(text: Column, pattern: str) -> Column:
 
 
 def _classes(joined: Column) -> Column:
-    """Counts of vowels, other letters, digits, punctuation, rest among the characters of words."""
-    n = {name: F.length(joined) - _without(joined, pattern) for name, pattern in CLASSES.items()}
-    rest = F.length(joined) - n["letters"] - n["digits"] - n["points"]
-    return F.array(*[c.cast("long") for c in (n["vowels"], n["letters"] - n["vowels"], n["digits"], n["points"], rest)])
+    """Counts of vowels, other letters, digits, punctuation, rest among the characters of words.
+
+    One class after the other is taken out, so that each pattern reads only what those before it left.
+    Lambdas hold what is left, as it would else be worked out again wherever it is named.
+    """
+    patterns = list(CLASSES.values())
+
+    def counted(left: Column, done: list[Column]) -> Column:
+        lengths = [*done, F.length(left)]
+        if len(done) == len(patterns):
+            differences = [a - b for a, b in zip(lengths, lengths[1:])]
+            return F.array(*[c.cast("long") for c in (*differences, lengths[-1])])
+        rest = F.array(F.regexp_replace(left, f"{patterns[len(done)]}+", ""))
+        return F.get(F.transform(rest, lambda text: counted(text, lengths)), F.lit(0))
+
+    return counted(joined, [])
 
 
 def _repeats(df: DataFrame) -> DataFrame:
     """Adds ``_q_repeat``: words in windows of eight that occur twice or more in the text."""
+    df = pin(df, _q_hashes=F.transform("_q_words", lambda w: F.xxhash64(w))
     df = pin(df, _q_windows=F.when(
-        F.size("_q_words") >= 8,
-        F.transform(F.sequence(F.lit(1), F.size("_q_words") - 7), lambda i: F.xxhash64(F.slice("_q_words", i, 8))),
+        F.size("_q_hashes") >= 8,
+        F.transform(F.sequence(F.lit(1), F.size("_q_hashes") - 7), lambda i: F.xxhash64(F.slice("_q_hashes", i, 8))),
     ).otherwise(F.array().cast("array<bigint>")))
     some = F.size(F.array_distinct("_q_windows")) < F.size("_q_windows")
     df = pin(df, _q_sorted=F.when(some, F.array_sort(F.transform("_q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -62,7 +75,7 @@ def _repeats(df: DataFrame) -> DataFrame:
         lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(8), p - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    return df.withColumn("_q_repeat", F.coalesce(covered, F.lit(0)).cast("long")).drop("_q_windows", "_q_sorted", "_q_places")
+    return df.withColumn("_q_repeat", F.coalesce(covered, F.lit(0)).cast("long")).drop("_q_hashes", "_q_windows", "_q_sorted", "_q_places")
 
 
 def _base(docs: DataFrame, symbols: str = SYMBOLS) -> DataFrame:
@@ -84,9 +97,10 @@ def _base(docs: DataFrame, symbols: str = SYMBOLS) -> DataFrame:
 
 def references(docs: DataFrame, common: int = COMMON, languages: int = LANGUAGES) -> DataFrame:
     """Per language, and once over all (``_q_lang`` null): class counts, common words and their counts."""
-    tokens = docs.select(F.col("lang").alias("_q_lang"), F.explode(words(F.lower("text"))).alias("_q_word"))
-    counts = tokens.groupBy("_q_lang", "_q_word").agg(F.count(F.lit(1)).alias("_q_count"))
+    tokens = docs.select(F.col("lang").alias("_q_lang"), F.explode(words(F.col("text"))).alias("_q_token"))
+    tokens = written(tokens.groupBy("_q_lang", "_q_token").agg(F.count(F.lit(1)).alias("_q_count")))
     every = F.explode(F.array_distinct(F.array(F.col("_q_lang"), F.lit(None).cast("string")))).alias("_q_lang")
+    counts = tokens.select("_q_lang", F.lower("_q_token").alias("_q_word"), "_q_count")
     counts = counts.select(every, "_q_word", "_q_count").groupBy("_q_lang", "_q_word").agg(F.sum("_q_count").alias("_q_count"))
     # First inside slices of the words, so that one language is not ranked by one task alone.
     order = [F.col("_q_count").desc(), F.col("_q_word")]
@@ -98,11 +112,11 @@ def references(docs: DataFrame, common: int = COMMON, languages: int = LANGUAGES
         .withColumn("_q_rank", F.row_number().over(overall)).where(F.col("_q_rank") <= common)
     )
     commonest = top.groupBy("_q_lang").agg(F.array_sort(F.collect_list(F.struct("_q_rank", "_q_word", "_q_count"))).alias("_q_top"))
-    joined = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"[{BLANKS}]+", "")
-    per_doc = pin(docs.select(F.col("lang").alias("_q_lang"), word_count(F.col("text")).alias("_q_words"), joined.alias("_q_joined")), _q_c=_classes(F.col("_q_joined")))
+    # Class counts of the different words, times how often each occurs, are those of all texts.
+    per_word = pin(tokens, _q_c=_classes(F.col("_q_token")))
     numbers = [f"_q_c{i}" for i in range(5)] + ["_q_total"]
-    sums = [F.sum(F.get("_q_c", F.lit(i))).alias(f"_q_c{i}") for i in range(5)] + [F.sum("_q_words").alias("_q_total")]
-    classes = per_doc.groupBy("_q_lang").agg(*sums)
+    sums = [F.sum(F.get("_q_c", F.lit(i)) * F.col("_q_count")).alias(f"_q_c{i}") for i in range(5)] + [F.sum("_q_count").alias("_q_total")]
+    classes = per_word.groupBy("_q_lang").agg(*sums)
     classes = classes.select(every, *numbers).groupBy("_q_lang").agg(*[F.sum(n).alias(n) for n in numbers])
     classes = classes.select(F.col("_q_lang").alias("_q_lang2"), "_q_total", F.array(*numbers[:5]).alias("_q_ref_classes"))
     both = commonest.join(classes, commonest["_q_lang"].eqNullSafe(classes["_q_lang2"]))
