@@ -56,13 +56,21 @@ def _classes(joined: Column) -> Column:
     return counted(joined, [])
 
 
+def _joined_hashes(hashes: Column, reach: int) -> Column:
+    """Every hash joined with the one ``reach`` places on; the lambda holds the array, so it is made once."""
+    def joined(held: Column) -> Column:
+        return F.transform(held, lambda h, i: F.xxhash64(h, F.get(held, i + reach)))
+
+    return F.get(F.transform(F.array(hashes), joined), F.lit(0))
+
+
 def _repeats(df: DataFrame) -> DataFrame:
     """Adds ``_q_repeat``: words in windows of eight that occur twice or more in the text."""
-    df = pin(df, _q_hashes=F.transform("_q_words", lambda w: F.xxhash64(w))
-    df = pin(df, _q_windows=F.when(
-        F.size("_q_hashes") >= 8,
-        F.transform(F.sequence(F.lit(1), F.size("_q_hashes") - 7), lambda i: F.xxhash64(F.slice("_q_hashes", i, 8))),
-    ).otherwise(F.array().cast("array<bigint>")))
+    # Hashes of one word, then of two, four and eight: each from two of the ones before.
+    windows = F.transform("_q_words", lambda w: F.xxhash64(w))
+    for reach in (1, 2, 4):
+        windows = _joined_hashes(windows, reach)
+    df = pin(df, _q_windows=F.when(F.size("_q_words") >= 8, F.slice(windows, F.lit(1), F.size("_q_words") - 7)).otherwise(F.array().cast("array<bigint>")))
     some = F.size(F.array_distinct("_q_windows")) < F.size("_q_windows")
     df = pin(df, _q_sorted=F.when(some, F.array_sort(F.transform("_q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     twice = F.filter("_q_sorted", lambda s, j: (
@@ -75,7 +83,7 @@ def _repeats(df: DataFrame) -> DataFrame:
         lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(8), p - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    return df.withColumn("_q_repeat", F.coalesce(covered, F.lit(0)).cast("long")).drop("_q_hashes", "_q_windows", "_q_sorted", "_q_places")
+    return df.withColumn("_q_repeat", F.coalesce(covered, F.lit(0)).cast("long")).drop("_q_windows", "_q_sorted", "_q_places")
 
 
 def _base(docs: DataFrame, symbols: str = SYMBOLS) -> DataFrame:
@@ -152,12 +160,13 @@ def _held(df: DataFrame, refs: DataFrame, min_words: int, max_class: float, max_
     pooled = refs.where(F.col("_q_lang").isNull()).select(F.struct(*parts)).scalar()
     df = df.join(own, df["lang"] == own["_q_lang"], "left")
     df = pin(df, _q_ref=F.coalesce(F.when(F.col("_q_lang").isNotNull(), F.struct(*parts)), pooled),
-             _q_spaced=F.concat(F.lit(" "), F.lower(F.array_join("_q_words", "  ")), F.lit(" ")),
              _q_own=_classes(F.col("_q_joined")))
+    # Places of a text's words among the common ones; what taking one out shortens the list by is its count.
+    places = F.transform("_q_words", lambda w: F.array_position("_q_ref._q_ref_words", F.lower(w)))
+    df = pin(df, _q_at=F.when(F.col("_q_n") >= min_words, F.filter(places, lambda p: p > 0)))
 
-    def times(w):
-        mark = F.concat(F.lit(" "), w, F.lit(" "))
-        return ((F.octet_length("_q_spaced") - F.octet_length(F.replace(F.col("_q_spaced"), mark, F.lit("")))) / F.octet_length(mark)).cast("long")
+    def times(_: Column, i: Column) -> Column:
+        return (F.size("_q_at") - F.size(F.array_remove("_q_at", (i + 1).cast("long")))).cast("long")
 
     df = pin(df, _q_times=F.when(F.col("_q_n") >= min_words, F.transform("_q_ref._q_ref_words", times)))
     others = F.col("_q_n") - F.aggregate("_q_times", F.lit(0).cast("long"), lambda a, x: a + x)
