@@ -8,12 +8,16 @@ document collects the darts below its weights up to a time at which all coordina
 in a coordinate with the probability of their weighted Jaccard similarity.
 
 The signature is cut into ``BANDS`` bands of ``ROWS`` coordinates. Documents that share a band are
-candidates; at a similarity of 0.8 a pair shares none with a probability of 5e-5. Within a band each
-document is paired with four leaders of the band only (the least ids under four orders), so a group of
-n copies gives at most 4n pairs a band, and different bands give different leaders. Every candidate
-pair is then checked exactly, first those with the leader of least id, then the others as far as their
-documents are not yet connected. Documents linked by pairs at or above ``SIMILARITY`` form a class
-(connected components). Texts of the same words are one before all this: their copies add no pairs.
+candidates; at a similarity of 0.8 a pair shares none with a probability of 5e-5. Documents linked by
+pairs at or above ``SIMILARITY`` form a class (connected components). Texts of the same words are one
+before all this: their copies add no pairs.
+
+Bands are worked off in rounds, without pairs inside a component. In every round each document is
+checked exactly against the leaders of its band: the document of least id, then four, sixteen and
+``MOST_LEADERS`` others, the least under other orders. Leaders then leave their band, and a band is done
+when all that are left in it are in one component, as further pairs could only link what is linked. So
+n near copies give n pairs a band in one round, no candidate link between components is lost, and only
+a band of many documents that are not alike takes more rounds.
 
 Hot bands are joined as plain equi-joins that adaptive execution splits; leaders come from map-side
 combined minima of numbers. Sketches are written once; shingles are made again only for candidates.
@@ -40,6 +44,7 @@ SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 SEED = 20_240_117
+MOST_LEADERS = 32
 # Poisson(1) quantiles, as thresholds of a uniform 64-bit number: how many darts fall in a cell of area one.
 _CUTS = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 _BLANK = np.zeros(256, bool)
@@ -162,25 +167,42 @@ def _elements(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, elements array<long>")
 
 
-# Orders of ids in which a band's leaders are the least: ids with some bits turned over.
-TURNS = (0, -1, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D)
+def _turns(round_: int) -> list[int]:
+    """Orders of ids in which the leaders of a round are the least: bits of ids that are turned over."""
+    if not round_:
+        return [0]
+    new = np.arange(min(4 ** round_, MOST_LEADERS), dtype=np.uint64) + np.uint64(SEED + round_ * MOST_LEADERS)
+    return mix(new).view(np.int64).tolist()
 
 
-def _meetings(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members and leaders of every band that two documents of different words share."""
+def _members(sketches: DataFrame) -> DataFrame:
+    """Members of every band: of texts of the same words, the document with the least id."""
     first = sketches.where(F.size("bands") > 0).groupBy("same1", "same2").agg(F.min("doc_id").alias("doc_id"))
     own = sketches.join(first, ["same1", "same2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "same1", "same2"])
-    own = own.select("doc_id", F.explode("bands").alias("band"))
-    least = [F.min(F.col("doc_id").bitwiseXOR(F.lit(t))).alias(f"l{i}") for i, t in enumerate(TURNS)]
-    heads = written(own.groupBy("band").agg(F.count(F.lit(1)).alias("members"), *least).where("members > 1"))
-    return own, heads
+    return own.select("doc_id", F.explode("bands").alias("band"))
+
+
+def _met(members: DataFrame, turns: list[int]) -> DataFrame:
+    """Members of bands with two or more, each with the leaders of its band."""
+    least = [F.min(F.col("doc_id").bitwiseXOR(F.lit(t))).alias(f"l{i}") for i, t in enumerate(turns)]
+    heads = written(members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *least).where("n > 1").drop("n"))
+    leads = F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(t)) for i, t in enumerate(turns)]))
+    return members.join(heads, "band").select("doc_id", "band", leads.alias("leads"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (a < b) of members with leaders."""
+    pairs = met.select("doc_id", F.explode("leads").alias("other")).where("doc_id <> other")
+    return pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
 
 
-def _pairs(own: DataFrame, heads: DataFrame, turns: range) -> DataFrame:
-    """Distinct candidate pairs (a < b) of members with the leaders under some of the orders."""
-    leader = F.explode(F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(TURNS[i])) for i in turns])))
-    met = own.join(heads, "band").select("doc_id", leader.alias("other")).where("doc_id <> other")
-    return met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+def _left(met: DataFrame, found: DataFrame) -> DataFrame:
+    """Members that have not led their band, of bands where such members are in two or more components."""
+    component = found.select(F.col("node").alias("doc_id"), "component")
+    rest = met.where(~F.array_contains("leads", F.col("doc_id"))).select("doc_id", "band")
+    rest = written(rest.join(component, "doc_id", "left").select("doc_id", "band", F.coalesce("component", "doc_id").alias("component")))
+    split = rest.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return written(rest.select("doc_id", "band").join(written(split.select("band")), "band", "left_semi"))
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -205,14 +227,15 @@ def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
 def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class; one row for every doc_id."""
     sketches = written(_sketches(docs, shingle, bands, rows))
-    own, heads = _meetings(sketches)
-    links = written(_linked(written(_pairs(own, heads, range(1))), docs, shingle, similarity))
-    found = components(links)
-    # The other leaders only matter for documents that the first did not bring together.
-    more = written(_apart(_pairs(own, heads, range(1, len(TURNS))), found))
-    more = _linked(more, docs, shingle, similarity)
-    known = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    found = components(known.unionByName(more))
+    members, found, round_ = _members(sketches), None, 0
+    while found is None or not members.isEmpty():
+        met = _met(members, _turns(round_))
+        pairs = _pairs(met) if found is None else _apart(_pairs(met), found)
+        links = _linked(written(pairs), docs, shingle, similarity)
+        if found is not None:
+            links = links.unionByName(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
+        found = components(written(links))
+        members, round_ = _left(met, found), round_ + 1
     same = ["same1", "same2"]
     alone = F.size("bands") == 0
     heads = sketches.where(~alone).groupBy(*same).agg(F.min("doc_id").alias("head"))

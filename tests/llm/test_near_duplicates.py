@@ -71,6 +71,28 @@ def test_unusual_rows_and_a_large_group(spark):
     assert nd.classes(frame.limit(0)).collect() == []
 
 
+def test_a_band_of_many_unlike_documents_loses_no_link(spark):
+    """One coarse band: clusters without a leader of the first rounds are found in later ones."""
+    rng = random.Random(11)
+    shared = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    rows = []
+    for cluster in range(50):
+        own = [f"c{cluster}x{i}" for i in range(50)]
+        rows += [(10 * cluster + i, " ".join([*shared, *own, *[f"e{cluster}y{i}"] * (i > 0)])) for i in range(3)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in nd.classes(frame, bands=1, rows=1).collect()}
+    bands = defaultdict(list)
+    for i, text in rows:
+        elements, counts = np.unique(nd.shingles(nd.word_hashes(text)), return_counts=True)
+        bands[int(nd.dart_minhash(elements, counts.astype(float), 1)[0])].append((i, text))
+    assert max(map(len, bands.values())) > 30
+    wanted = {}
+    for group in bands.values():
+        wanted |= brute_classes(group)
+    assert got == wanted
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     elements = nd.mix(np.arange(400, dtype=np.uint64))
