@@ -13,11 +13,11 @@ pairs at or above ``SIMILARITY`` form a class (connected components). Texts of t
 before all this: their copies add no pairs.
 
 Bands are worked off in rounds, without pairs inside a component. In every round each document is
-checked exactly against the leaders of its band: the document of least id, then four, sixteen and
-``MOST_LEADERS`` others, the least under other orders. Leaders then leave their band, and a band is done
-when all that are left in it are in one component, as further pairs could only link what is linked. So
-n near copies give n pairs a band in one round, no candidate link between components is lost, and only
-a band of many documents that are not alike takes more rounds.
+checked exactly against the leaders of its band: the document of least id, then about four, sixteen,
+64 ... others in a hashed order. Leaders then leave their band, and a band is done when all that are
+left in it are in one component, as further pairs could only link what is linked. So n near copies give
+n pairs a band in one round, no candidate link between components is lost, and a band of n documents
+that are not alike takes about log4(n) rounds.
 
 Hot bands are joined as plain equi-joins that adaptive execution splits; leaders come from map-side
 combined minima of numbers. Sketches are written once; shingles are made again only for candidates.
@@ -44,7 +44,6 @@ SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 SEED = 20_240_117
-MOST_LEADERS = 32
 # Poisson(1) quantiles, as thresholds of a uniform 64-bit number: how many darts fall in a cell of area one.
 _CUTS = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 _BLANK = np.zeros(256, bool)
@@ -167,14 +166,6 @@ def _elements(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, elements array<long>")
 
 
-def _turns(round_: int) -> list[int]:
-    """Orders of ids in which the leaders of a round are the least: bits of ids that are turned over."""
-    if not round_:
-        return [0]
-    new = np.arange(min(4 ** round_, MOST_LEADERS), dtype=np.uint64) + np.uint64(SEED + round_ * MOST_LEADERS)
-    return mix(new).view(np.int64).tolist()
-
-
 def _members(sketches: DataFrame) -> DataFrame:
     """Members of every band: of texts of the same words, the document with the least id."""
     first = sketches.where(F.size("bands") > 0).groupBy("same1", "same2").agg(F.min("doc_id").alias("doc_id"))
@@ -182,27 +173,30 @@ def _members(sketches: DataFrame) -> DataFrame:
     return own.select("doc_id", F.explode("bands").alias("band"))
 
 
-def _met(members: DataFrame, turns: list[int]) -> DataFrame:
-    """Members of bands with two or more, each with the leaders of its band."""
-    least = [F.min(F.col("doc_id").bitwiseXOR(F.lit(t))).alias(f"l{i}") for i, t in enumerate(turns)]
-    heads = written(members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *least).where("n > 1").drop("n"))
-    leads = F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(t)) for i, t in enumerate(turns)]))
-    return members.join(heads, "band").select("doc_id", "band", leads.alias("leads"))
+def _leaders(members: DataFrame, round_: int) -> DataFrame:
+    """Band and leader: first the least id of each band of two or more, later the members marked so."""
+    if round_:
+        return members.where("leads").select("band", F.col("doc_id").alias("other"))
+    least = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("other"))
+    return least.where("n > 1").select("band", "other")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
     """Distinct candidate pairs (a < b) of members with leaders."""
-    pairs = met.select("doc_id", F.explode("leads").alias("other")).where("doc_id <> other")
-    return pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    return met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
 
 
-def _left(met: DataFrame, found: DataFrame) -> DataFrame:
-    """Members that have not led their band, of bands where such members are in two or more components."""
+def _left(rest: DataFrame, found: DataFrame, round_: int) -> DataFrame:
+    """Members that have not led their band, of bands where such members are in two or more components.
+
+    About ``4 ** round_`` of each band are marked to lead next, all of a band that has no more.
+    """
     component = found.select(F.col("node").alias("doc_id"), "component")
-    rest = met.where(~F.array_contains("leads", F.col("doc_id"))).select("doc_id", "band")
     rest = written(rest.join(component, "doc_id", "left").select("doc_id", "band", F.coalesce("component", "doc_id").alias("component")))
-    split = rest.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return written(rest.select("doc_id", "band").join(written(split.select("band")), "band", "left_semi"))
+    split = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    split = written(split.where("low < high").select("band", "n"))
+    leads = F.pmod(F.xxhash64("doc_id", "band", F.lit(round_)), "n") < 4 ** round_
+    return written(rest.join(split, "band").select("doc_id", "band", leads.alias("leads")))
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -229,13 +223,15 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     sketches = written(_sketches(docs, shingle, bands, rows))
     members, found, round_ = _members(sketches), None, 0
     while found is None or not members.isEmpty():
-        met = _met(members, _turns(round_))
+        met = members.join(written(_leaders(members, round_)), "band").where("doc_id <> other")
         pairs = _pairs(met) if found is None else _apart(_pairs(met), found)
         links = _linked(written(pairs), docs, shingle, similarity)
         if found is not None:
             links = links.unionByName(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
         found = components(written(links))
-        members, round_ = _left(met, found), round_ + 1
+        rest = members.where("NOT leads") if round_ else met
+        round_ += 1
+        members = _left(rest.select("doc_id", "band"), found, round_)
     same = ["same1", "same2"]
     alone = F.size("bands") == 0
     heads = sketches.where(~alone).groupBy(*same).agg(F.min("doc_id").alias("head"))
