@@ -13,11 +13,11 @@ pairs at or above ``SIMILARITY`` form a class (connected components). Texts of t
 before all this: their copies add no pairs.
 
 Bands are worked off in rounds, without pairs inside a component. In every round each document is
-checked exactly against the leaders of its band: the document of least id, then about four, sixteen,
-64 ... others in a hashed order. Leaders then leave their band, and a band is done when all that are
+checked exactly against the leaders of its band: the document of least id, then about 16, 256 ...
+others in a hashed order. Leaders then leave their band, and a band is done when all that are
 left in it are in one component, as further pairs could only link what is linked. So n near copies give
 n pairs a band in one round, no candidate link between components is lost, and a band of n documents
-that are not alike takes about log4(n) rounds.
+that are not alike takes about log16(n) rounds.
 
 Hot bands are joined as plain equi-joins that adaptive execution splits; leaders come from map-side
 combined minima of numbers. Sketches are written once; shingles are made again only for candidates.
@@ -189,13 +189,13 @@ def _pairs(met: DataFrame) -> DataFrame:
 def _left(rest: DataFrame, found: DataFrame, round_: int) -> DataFrame:
     """Members that have not led their band, of bands where such members are in two or more components.
 
-    About ``4 ** round_`` of each band are marked to lead next, all of a band that has no more.
+    About ``16 ** round_`` of each band are marked to lead next, all of a band that has no more.
     """
     component = found.select(F.col("node").alias("doc_id"), "component")
     rest = written(rest.join(component, "doc_id", "left").select("doc_id", "band", F.coalesce("component", "doc_id").alias("component")))
     split = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     split = written(split.where("low < high").select("band", "n"))
-    leads = F.pmod(F.xxhash64("doc_id", "band", F.lit(round_)), "n") < 4 ** round_
+    leads = F.pmod(F.xxhash64("doc_id", "band", F.lit(round_)), "n") < 16 ** round_
     return written(rest.join(split, "band").select("doc_id", "band", leads.alias("leads")))
 
 
