@@ -73,6 +73,37 @@ def test_cross_entropy_against_brute_force(spark):
     assert len(ce.scored(frame, labelled.limit(0)).collect()) == len(rows)
 
 
+def test_cross_entropy_counts_words_themselves(spark):
+    """More words and pairs than any fixed table of the model would hold; counts keyed by the words."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{rng.randrange(200_000)}" for _ in range(2_000))) for i in range(100)]
+    rows += [(100 + i, " ".join(rng.choices(["Common", "pair", "of", "words"], k=300))) for i in range(40)]
+    targets = set(range(0, 140, 6))
+    single, first, both = ([Counter(), Counter()] for _ in range(3))
+    split = {i: text.lower().split() for i, text in rows}
+    for i, words in split.items():
+        for m in ([0, 1] if i in targets else [1]):
+            single[m].update(words)
+            first[m].update([None, *words[:-1]])
+            both[m].update(zip([None, *words[:-1]], words))
+    total = [sum(c.values()) for c in single]
+    scale, size = [1.0, total[0] / total[1]], len(single[1])
+    assert size > 100_000 and len(both[1]) > 150_000
+    want = {}
+    for i, words in split.items():
+        losses = []
+        for before, word in zip([None, *words[:-1]], words):
+            p = [(both[m][before, word] * scale[m] + ce.LEAN * (single[m][word] * scale[m] + 1) / (total[0] + size)) / (first[m][before] * scale[m] + ce.LEAN) for m in range(2)]
+            losses.append(math.log(p[1]) - math.log(p[0]))
+        want[i] = sum(losses) / len(losses)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    good = spark.createDataFrame([(i,) for i in targets], "doc_id bigint")
+    for options in ({}, {"per_chunk": 5_000, "per_bucket": 2_000}):
+        got = {r.doc_id: (r.n_words, r.ce_difference) for r in ce.scored(frame, good, **options).collect()}
+        assert {i: n for i, (n, _) in got.items()} == {i: len(w) for i, w in split.items()}
+        assert all(abs(got[i][1] - want[i]) < 1e-9 for i in want)
+
+
 def brute_nearest(rows, every=50, k=5):
     ok = {i: np.array(v, float) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     out = {}
