@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagestrata.llm import cross_entropy, languages, near_duplicates, packing, repeats, vector_search
+from pagestrata.llm import cross_entropy, languages, near_duplicates, packing, prefix_bpe, repeats, vector_search
 from pagestrata.llm.common import read
 
 
@@ -40,3 +41,11 @@ def op2_vector_search(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.removed(read(spark, folder, "documents"))
+
+
+def op11_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    rows = prefix_bpe.decoded(prefix_bpe.encoded(read(spark, folder, "documents"), tokenizer()), tokenizer())
+    return rows.select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -18,4 +18,5 @@ QUERIES = {
     "op6_secret_scan": Query(native.op6_secret_scan, sql.OP6),
     "op7_quality_rules": Query(native.op7_quality_rules, sql.OP7),
     "op10_source_mix": Query(native.op10_source_mix, sql.OP10),
+    "op11_prefix_bpe": Query(corpus.op11_prefix_bpe, None),
 }
