@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagestrata.llm import corpus_queries as corpus
+from pagestrata.llm import corpus_sql
 from pagestrata.llm import native_queries as native
 from pagestrata.llm import native_sql as sql
 from pagestrata.plans.catalogue import Query
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_secret_scan": Query(native.op6_secret_scan, sql.OP6),
     "op7_quality_rules": Query(native.op7_quality_rules, sql.OP7),
     "op10_source_mix": Query(native.op10_source_mix, sql.OP10),
+    "op12_vector_codes": Query(corpus.op12_vector_codes, corpus_sql.OP12),
     "op11_prefix_bpe": Query(corpus.op11_prefix_bpe, None),
 }
