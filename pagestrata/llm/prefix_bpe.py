@@ -31,11 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Pieces and pairs of tokens a Python worker remembers; beyond that it starts afresh.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 # Bytes of texts that are worked on at a time.
 CHUNK = 16 << 20
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
 class Before(dict):
     """Tokens that may stand before a token, and those that may not, worked out when first asked for."""
 
@@ -74,8 +79,7 @@ class Vocabulary:
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
+        return cls(read_ranks(path))
 
     def _add(self, token: bytes, rank: int) -> None:
         """Finds the halves of a token: two earlier tokens that stay apart as long as it is unknown."""
@@ -262,7 +266,7 @@ def encoded(docs: DataFrame, tokenizer: tuple[str, str]) -> DataFrame:
 def decoded(rows: DataFrame, tokenizer: tuple[str, str]) -> DataFrame:
     """``rows`` of doc_id and ids with ``decoded``, the bytes the ids stand for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = encoder(tokenizer).vocabulary.bytes.__getitem__
+        token = {rank: token for token, rank in read_ranks(tokenizer[0]).items()}.__getitem__
         for batch in batches:
             for part in chunks(batch, 1):
                 out = pa.array([b"".join(map(token, memoryview(ids).cast("I"))) for ids in part.column(1).to_pylist()], pa.binary())
