@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import cross_entropy, languages, near_duplicates, packing, prefix_bpe, repeats, vector_codes, vector_search
+from pagestrata.llm import conversation_trie, cross_entropy, languages, near_duplicates, packing, prefix_bpe, repeats, vector_codes, vector_search
 from pagestrata.llm.common import read
 
 
@@ -55,3 +55,8 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     rows, books = vector_codes.coded(read(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
     rows = vector_codes.with_label_errors(rows.select("vec_id", "label", "code", "error"))
     return rows.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns, lengths = conversation_trie.rebuilt(read(spark, folder, "conversations"))
+    return conversation_trie.trie(turns, lengths)

@@ -20,5 +20,6 @@ QUERIES = {
     "op7_quality_rules": Query(native.op7_quality_rules, sql.OP7),
     "op10_source_mix": Query(native.op10_source_mix, sql.OP10),
     "op12_vector_codes": Query(corpus.op12_vector_codes, corpus_sql.OP12),
+    "op13_conversation_trie": Query(corpus.op13_conversation_trie, corpus_sql.OP13),
     "op11_prefix_bpe": Query(corpus.op11_prefix_bpe, None),
 }
