@@ -8,32 +8,41 @@ document collects the darts below its weights up to a time at which all coordina
 in a coordinate with the probability of their weighted Jaccard similarity.
 
 The signature is cut into ``BANDS`` bands of ``ROWS`` coordinates. Documents that share a band are
-candidates; at a similarity of 0.8 a pair shares none with a probability of 5e-5. Documents linked by
-pairs at or above ``SIMILARITY`` form a class (connected components). Texts of the same words are one
-before all this: their copies add no pairs.
-
-Bands are worked off in rounds, without pairs inside a component. In every round each document is
-checked exactly against the leaders of its band: the document of least id, then about 16, 256 ...
-others in a hashed order. Leaders then leave their band, and a band is done when all that are
-left in it are in one component, as further pairs could only link what is linked. So n near copies give
-n pairs a band in one round, no candidate link between components is lost, and a band of n documents
-that are not alike takes about log16(n) rounds.
-
-Hot bands are joined as plain equi-joins that adaptive execution splits; leaders come from map-side
-combined minima of numbers. Sketches are written once; shingles are made again only for candidates.
-
-Defined cases: a document without words is alone in its class; a null doc_id has no class and gives no
-row; rows that share a doc_id are one document; an empty table gives no rows. Other columns are not read.
+candidates: at a similarity of 0.8 a pair shares none with a probability of 7e-4, at 0.3 it shares one with
+2 %. Four bits of up to 128 coordinates are a sketch that travels with the document: candidates whose
+sketches differ in more coordinates than pairs at the threshold do (4.75 standard deviations above their
+mean, one in a million) go no further, before any text is moved. The others are checked exactly, on the
+shingles of both texts. Documents linked by pairs at or above ``SIMILARITY`` form a class (connected
+components). Texts of the same words are one before all this: their copies add no pairs.
+
+Candidates are worked off without pairs inside a component:
+
+1. every document is checked against one leader, the first document of one of its bands;
+2. of all candidates in different components, each document is checked against its best of each component;
+3. all candidates that are still in different components, and have not been checked, are checked.
+
+So near copies give one pair each, whatever their number, and no candidate link between components is
+lost. In a band only the documents outside its largest component meet the others, and only pairs of like
+sketches leave the join.
+
+Joins are plain equi-joins that adaptive execution splits where a band, a leader or a group of copies is
+large. Texts of candidates are gathered once. Tables between the steps are written.
+
+Defined cases: a document without words is alone in its class; a null doc_id gives no row in ``classes``,
+but takes part in ``representatives``; rows that share a doc_id are one document in ``classes``; an empty
+table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestrata.llm.common import written
@@ -41,8 +50,10 @@ from pagestrata.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 25
-ROWS = 5
+BANDS = 24
+ROWS = 6
+SKETCHED = 128
+DEVIATIONS = 4.75
 SEED = 20_240_117
 # Poisson(1) quantiles, as thresholds of a uniform 64-bit number: how many darts fall in a cell of area one.
 _CUTS = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
@@ -131,111 +142,176 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def sketch(signature: np.ndarray) -> list[int]:
+    """Four bits of each of the first coordinates, sixteen to a number."""
+    low = (signature[:SKETCHED] & np.uint64(15)).astype(np.uint64)
+    low = np.concatenate((low, np.zeros(-len(low) % 16, np.uint64))).reshape(-1, 16)
+    return np.bitwise_or.reduce(low << np.arange(0, 64, 4, dtype=np.uint64), axis=1).view(np.int64).tolist()
+
+
+def most_different(coordinates: int, similarity: float) -> int:
+    """The most coordinates in which sketches of a pair at the threshold differ, but for one in a million."""
+    n, p = min(coordinates, SKETCHED), (1 - similarity) * 15 / 16
+    return n if n < 64 else math.floor(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
+
+
+def _different(left: str, right: str, numbers: int) -> Column:
+    """In how many coordinates two sketches differ."""
+    def count(at: int) -> Column:
+        x = F.col(left)[at].bitwiseXOR(F.col(right)[at])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return functools.reduce(Column.__add__, map(count, range(numbers)))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``key``, a hash of both."""
+    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.xxhash64("text")).alias("key"))
+
+
 def _sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, two hashes of the words, number of shingles, band keys. No bands without words."""
+    """doc_id, key, two hashes of the words, band keys and sketch. No bands without words."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, key, text in zip(batch["doc_id"], batch["key"], batch["text"]):
                 hashes = word_hashes(text or "")
                 if not len(hashes):
-                    out.append((doc_id, 0, 0, 0, []))
+                    out.append((doc_id, key, 0, 0, [], []))
                     continue
                 order = mix(np.arange(len(hashes), dtype=np.uint64) * _BASE)
                 same = [int(mix(hashes * _BASE + order + np.uint64(s)).sum().view(np.int64)) for s in (1, 2)]
-                found = shingles(hashes, shingle)
-                elements, counts = np.unique(found, return_counts=True)
-                keys = band_keys(dart_minhash(elements, counts.astype(float), bands * rows), bands, rows)
-                out.append((doc_id, *same, len(found), keys.view(np.int64).tolist()))
-            yield pd.DataFrame(out, columns=["doc_id", "same1", "same2", "n", "bands"])
+                elements, counts = np.unique(shingles(hashes, shingle), return_counts=True)
+                signature = dart_minhash(elements, counts.astype(float), bands * rows)
+                out.append((doc_id, key, *same, band_keys(signature, bands, rows).view(np.int64).tolist(), sketch(signature)))
+            yield pd.DataFrame(out, columns=["doc_id", "key", "same1", "same2", "bands", "sketch"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, "doc_id long, same1 long, same2 long, n long, bands array<long>")
+    # Spark hands out ids with nulls as floats; as strings they keep all digits.
+    texts = _keyed(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "key", "text")
+    found = texts.mapInPandas(lambda batches: run(b.assign(doc_id=b["doc_id"].astype("Int64")) for b in batches),
+                              "doc_id long, key long, same1 long, same2 long, bands array<long>, sketch array<long>")
+    return found
 
 
-def _elements(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and its shingles as distinct numbers: the k-th copy of a shingle is an element of its own."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _linked(pairs: DataFrame, held: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs at or above the similarity; ``held`` has the texts of their documents."""
+    def elements(text):
+        return np.unique(shingles(word_hashes(text), shingle), return_counts=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, right = None, None
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                elements, counts = np.unique(shingles(word_hashes(text or ""), shingle), return_counts=True)
-                copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                out.append(mix(np.repeat(elements, counts) + copy.astype(np.uint64) * _BASE).view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "elements": out})
+            good = []
+            for b, left, other in zip(batch.column("b").to_pylist(), batch.column("left"), batch.column("right")):
+                if b != last:
+                    last, right = b, elements(other.as_py())
+                (e1, n1), (e2, n2) = elements(left.as_py()), right
+                _, at1, at2 = np.intersect1d(e1, e2, assume_unique=True, return_indices=True)
+                common = int(np.minimum(n1[at1], n2[at2]).sum())
+                good.append(common >= similarity * (int(n1.sum()) + int(n2.sum()) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, elements array<long>")
+    left = pairs.join(held.select(F.col("rid").alias("a"), F.col("text").alias("left")), "a")
+    both = left.join(held.select(F.col("rid").alias("b"), F.col("text").alias("right")), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _members(sketches: DataFrame) -> DataFrame:
-    """Members of every band: of texts of the same words, the document with the least id."""
-    first = sketches.where(F.size("bands") > 0).groupBy("same1", "same2").agg(F.min("doc_id").alias("doc_id"))
-    own = sketches.join(first, ["same1", "same2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "same1", "same2"])
-    return own.select("doc_id", F.explode("bands").alias("band"))
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _leaders(members: DataFrame, round_: int) -> DataFrame:
-    """Band and leader: first the least id of each band of two or more, later the members marked so."""
-    if round_:
-        return members.where("leads").select("band", F.col("doc_id").alias("other"))
-    least = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("other"))
-    return least.where("n > 1").select("band", "other")
+def _merged(links: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Components by the links and those found before."""
+    links = _ordered(links)
+    if found is not None:
+        links = links.unionByName(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
+    return components(written(links))
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a < b) of members with leaders."""
-    return met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+def _in_component(rows: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the component of a column's text."""
+    known = found.select(F.col("node").alias(column), F.col("component").alias(name))
+    return rows.join(known, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _left(rest: DataFrame, found: DataFrame, round_: int) -> DataFrame:
-    """Members that have not led their band, of bands where such members are in two or more components.
+def _across(members: DataFrame, texts: DataFrame, found: DataFrame, numbers: int, most: int) -> DataFrame:
+    """Candidates of different components and like sketches: a < b, the component of each, how different they are.
 
-    About ``16 ** round_`` of each band are marked to lead next, all of a band that has no more.
+    In every band the texts outside its largest component meet all others.
     """
-    component = found.select(F.col("node").alias("doc_id"), "component")
-    rest = written(rest.join(component, "doc_id", "left").select("doc_id", "band", F.coalesce("component", "doc_id").alias("component")))
-    split = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    split = written(split.where("low < high").select("band", "n"))
-    leads = F.pmod(F.xxhash64("doc_id", "band", F.lit(round_)), "n") < 16 ** round_
-    return written(rest.join(split, "band").select("doc_id", "band", leads.alias("leads")))
-
-
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose documents are not in one component yet."""
-    for end in ("a", "b"):
-        pairs = pairs.join(found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
-    return pairs.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs at or above the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    elements = written(_elements(texts, shingle)).dropDuplicates(["doc_id"])
-    left = elements.select(F.col("doc_id").alias("a"), F.col("elements").alias("left"))
-    right = elements.select(F.col("doc_id").alias("b"), F.col("elements").alias("right"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("left", "right"))
-    return both.where(common >= F.lit(similarity) * (F.size("left") + F.size("right") - common)).select("a", "b")
+    members = written(_in_component(members, found, "rid", "component"))
+    sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    bands = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    apart = members.join(bands.where("parts > 1").select("band", "main"), "band")
+    apart = written(apart.join(texts.select("rid", "sketch"), "rid"))
+    one = apart.where("component <> main").select("band", F.col("rid").alias("x"), F.col("component").alias("x_in"), F.col("sketch").alias("x_sketch"))
+    two = apart.select("band", F.col("rid").alias("y"), F.col("component").alias("y_in"), F.col("sketch").alias("y_sketch"), (F.col("component") == F.col("main")).alias("y_main"))
+    like = _different("x_sketch", "y_sketch", numbers) <= most
+    meet = (one["band"] == two["band"]) & (one["x_in"] != two["y_in"]) & (two["y_main"] | (one["x"] < two["y"])) & like
+    pairs = one.join(two, meet).select("x", "x_in", "y", "y_in", _different("x_sketch", "y_sketch", numbers).alias("far"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "y_in", "far").dropDuplicates(["a", "b"])
+
+
+def grouped(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key and ``rid``, the number of its words' text (null without words), of every row; components of these."""
+    sketches = written(_sketches(docs, shingle, bands, rows))
+    least = F.min(F.struct("doc_id", "key"))["key"].alias("key")
+    texts = sketches.where(F.size("bands") > 0).groupBy("same1", "same2").agg(least, F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    texts = written(texts.withColumn("rid", F.monotonically_increasing_id()))
+    own = sketches.select("doc_id", "key", "same1", "same2", (F.size("bands") > 0).alias("worded"))
+    own = own.where("worded").join(texts.select("same1", "same2", "rid"), ["same1", "same2"]).select("doc_id", "key", "rid").unionByName(
+        own.where("NOT worded").select("doc_id", "key", F.lit(None).cast("long").alias("rid")))
+
+    all_members = texts.select("rid", F.explode("bands").alias("band"))
+    leaders = all_members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("leader"))
+    members = written(all_members.join(leaders.where("n > 1").select("band", "leader"), "band"))
+    wanted = members.select("rid").distinct().join(texts.select("rid", "key"), "rid")
+    held = written(_keyed(docs).join(wanted, "key").groupBy("rid").agg(F.any_value("text").alias("text")))
+
+    numbers, most = -(-min(bands * rows, SKETCHED) // 16), most_different(bands * rows, similarity)
+    sketched = texts.select("rid", "sketch")
+    star = members.where("rid <> leader").select("rid", "leader").distinct()
+    star = star.join(sketched, "rid").join(sketched.select(F.col("rid").alias("leader"), F.col("sketch").alias("other")), "leader")
+    star = star.where(_different("sketch", "other", numbers) <= most).groupBy("rid").agg(F.min("leader").alias("b"))
+    checked = written(star.select(F.col("rid").alias("a"), "b"))
+    found = _merged(_linked(checked, held, shingle, similarity), None)
+
+    across = written(_across(members.select("rid", "band"), texts, found, numbers, most).join(_ordered(checked), ["a", "b"], "left_anti"))
+    if not across.isEmpty():
+        best = F.min_by(F.struct("a", "b"), F.struct("far", "a", "b"))
+        nearest = written(across.groupBy("x", "y_in").agg(best.alias("p")).select("p.a", "p.b").distinct())
+        found = _merged(_linked(nearest, held, shingle, similarity), found)
+        left = across.select("a", "b").join(nearest, ["a", "b"], "left_anti")
+        left = _in_component(_in_component(left, found, "a", "a_in"), found, "b", "b_in").where("a_in <> b_in").select("a", "b")
+        found = _merged(_linked(written(left), held, shingle, similarity), found)
+    return own, found
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class; one row for every doc_id."""
-    sketches = written(_sketches(docs, shingle, bands, rows))
-    members, found, round_ = _members(sketches), None, 0
-    while found is None or not members.isEmpty():
-        met = members.join(written(_leaders(members, round_)), "band").where("doc_id <> other")
-        pairs = _pairs(met) if found is None else _apart(_pairs(met), found)
-        links = _linked(written(pairs), docs, shingle, similarity)
-        if found is not None:
-            links = links.unionByName(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
-        found = components(written(links))
-        rest = members.where("NOT leads") if round_ else met
-        round_ += 1
-        members = _left(rest.select("doc_id", "band"), found, round_)
-    same = ["same1", "same2"]
-    alone = F.size("bands") == 0
-    heads = sketches.where(~alone).groupBy(*same).agg(F.min("doc_id").alias("head"))
-    members = sketches.where(~alone).select("doc_id", *same).join(heads, same).select("doc_id", "head")
-    members = members.unionByName(sketches.where(alone).select("doc_id", F.col("doc_id").alias("head")))
-    out = members.join(found.select(F.col("node").alias("head"), "component"), "head", "left")
-    return out.groupBy("doc_id").agg(F.min(F.coalesce("component", "head")).alias("class_id"))
+    own, found = grouped(docs, shingle, similarity, bands, rows)
+    own = written(own.where("doc_id IS NOT NULL"))
+    # Texts of one doc_id are one document.
+    ids = own.groupBy("doc_id").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("doc_id", "a")
+    shared = written(own.join(ids, "doc_id").where("rid > a").select("a", F.col("rid").alias("b")).distinct())
+    if not shared.isEmpty():
+        found = _merged(shared, found)
+    own = written(_in_component(own, found, "rid", "component"))
+    least = own.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    out = own.join(least, "component", "left")
+    return out.groupBy("doc_id").agg(F.min(F.coalesce("least", "doc_id")).alias("class_id"))
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of ``docs`` for each class: the first by doc_id (null first); rows without words stay, repeated ones once."""
+    own, found = grouped(docs, shingle, similarity, bands, rows)
+    own = _in_component(own, found, "rid", "component")
+    first = own.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "key"))["key"].alias("_d_key")).select("_d_key")
+    kept = first.unionByName(own.where("component IS NULL").select(F.col("key").alias("_d_key"))).distinct()
+    keyed = docs.withColumn("_d_key", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.xxhash64("text")))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    repeats = Window.partitionBy("_d_key", "doc_id").orderBy(*[F.col(c) for c in others] or ["doc_id"])
+    rows_kept = keyed.join(kept, "_d_key").withColumn("_d_row", F.row_number().over(repeats)).where("_d_row = 1")
+    return rows_kept.select(*docs.columns)
