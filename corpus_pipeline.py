@@ -4,8 +4,8 @@ Every stage takes (session, documents, table folder). All but the last return th
 documents; the last returns the packed pieces. What each leaves out or changes:
 
 1. quality rules: documents that the base rules or the method reject go;
-2. near duplicates: of every class the document with the least doc_id stays (of rows that share a
-   doc_id, one; rows without doc_id stay);
+2. near duplicates: of every class the document with the least doc_id stays (null before all others); of
+   repeated rows, one;
 3. secret scans: spans of secrets are replaced by a mark;
 4. source mix: documents are repeated, left out or cut as their source's target asks;
 5. packing: tokenized, cut and packed.
@@ -13,8 +13,7 @@ documents; the last returns the packed pieces. What each leaves out or changes:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from pagestrata.llm import mixing, near_duplicates, packing, quality, secrets
 from pagestrata.llm.common import read, written
@@ -26,11 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates.classes(docs)
-    kept = found.where("doc_id = class_id").select("doc_id")
-    same_id = Window.partitionBy("doc_id").orderBy("text")
-    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_d_row", F.row_number().over(same_id)).where("_d_row = 1")
-    return rows.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return near_duplicates.representatives(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
