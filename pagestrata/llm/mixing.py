@@ -6,9 +6,12 @@ from running sums over the sources in the order in which they fill up. A source'
 taken as many whole times as its target holds, and the rest goes to documents in a seeded order,
 of which the last may be taken in part. So the words taken of a source are its target rounded down.
 
-The seeded order is that of MD5 digests. Its first three hexadecimal digits cut every source into
-4096 slices: running sums over slices are tiny and the order inside a slice is a window of its own,
-so a source with a third of all rows is spread over as many tasks.
+The seeded order is that of MD5 digests of doc_id; equal ones are ordered by size and by a hash of the
+text. So all that a source needs is its cut-off, the place in this order where its rest of words ends: it
+is found from map-side combined sums, first over 4096 slices of the order, then over the documents of the
+one slice that holds it. Documents meet the cut-offs, one row per source, and take their share from a
+comparison; texts are neither sorted nor dealt out by the order. Only rows that are equal to the cut-off
+in all three are numbered.
 
 Defined cases: a null or blank text has size 0 and nothing is taken of it; a null source is a source,
 the last one; a null doc_id counts as an empty one in the seeded order; repeated rows are rows like
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagestrata.llm.common import BLANK, WORD, word_count
+from pagestrata.llm.common import BLANK, WORD, word_count, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -30,12 +33,13 @@ SEED = "mix-1"
 
 
 def measured(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` with size, seeded order and slice of every row."""
+    """``docs`` with size, seeded order, its slice and the hash that orders the rest of every row."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     return (
         docs.withColumn("_mix_size", word_count(F.col("text")))
         .withColumn("_mix_order", order)
         .withColumn("_mix_slice", F.substring("_mix_order", 1, 3))
+        .withColumn("_mix_hash", F.xxhash64("text"))
     )
 
 
@@ -71,27 +75,52 @@ def targets(slices: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     )
 
 
+def _narrowed(sizes: DataFrame, cuts: DataFrame, known: list[str], order: list[str]) -> DataFrame:
+    """The cut-offs one step nearer: of the rows that agree in ``known``, the group by ``order`` in which the words left end."""
+    here = cuts.withColumnsRenamed({c: f"_mix_c_{c}" for c in ["source", *known]})
+    same = here["_mix_c_source"].eqNullSafe(sizes["source"])
+    for column in known:
+        same = same & (here[f"_mix_c_{column}"] == sizes[column])
+    groups = sizes.join(here.select(*(f"_mix_c_{c}" for c in ["source", *known]), "_mix_left"), same)
+    groups = groups.groupBy("source", *known, *order, "_mix_left").agg(F.sum("_mix_size").alias("_mix_sum"))
+    before = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_mix_before", F.coalesce(F.sum("_mix_sum").over(before), F.lit(0)))
+    found = groups.where("_mix_before <= _mix_left AND _mix_left < _mix_before + _mix_sum")
+    return found.select("source", *known, *order, (F.col("_mix_left") - F.col("_mix_before")).alias("_mix_left"))
+
+
+def cutoffs(sizes: DataFrame, **options) -> DataFrame:
+    """One row per source: size, target, whole copies, and where the rest ends (null where there is none)."""
+    slices = sizes.groupBy("source", "_mix_slice").agg(F.sum("_mix_size").alias("_mix_slice_size"))
+    plan = written(targets(slices, **options))
+    cuts = plan.where("_mix_rest > 0").select("source", F.col("_mix_rest").alias("_mix_left"))
+    known: list[str] = []
+    for order in (["_mix_slice"], ["_mix_order", "_mix_size"], ["_mix_hash"]):
+        cuts = written(_narrowed(sizes, cuts, known, order))
+        known += order
+    cuts = cuts.select(F.col("source").alias("_mix_cut_source"), *(F.col(c).alias(c.replace("_mix", "_mix_cut")) for c in known[1:]), "_mix_left")
+    return written(plan.join(cuts, plan["source"].eqNullSafe(cuts["_mix_cut_source"]), "left").drop("_mix_cut_source"))
+
+
 def mix(rows: DataFrame, sizes: DataFrame | None = None, **options) -> DataFrame:
     """``rows`` (of ``measured``) with ``_mix_source_size``, ``_mix_target`` and ``_mix_taken``.
 
     ``sizes`` are the same rows in a narrower form, from which the sums are made.
     """
-    sizes = rows if sizes is None else sizes
-    slices = sizes.groupBy("source", "_mix_slice").agg(F.sum("_mix_size").alias("_mix_slice_size"))
-    plan = targets(slices, **options)
-    by_source = Window.partitionBy("source").orderBy("_mix_slice").rowsBetween(Window.unboundedPreceding, -1)
-    placed = slices.withColumn("_mix_slice_before", F.coalesce(F.sum("_mix_slice_size").over(by_source), F.lit(0))).drop("_mix_slice_size")
-    plan = plan.withColumnRenamed("source", "_mix_s1")
-    placed = placed.join(plan, placed["source"].eqNullSafe(plan["_mix_s1"])).drop("_mix_s1")
-    placed = placed.withColumnsRenamed({"source": "_mix_s2", "_mix_slice": "_mix_slice2"})
-    both = rows.join(placed, rows["source"].eqNullSafe(placed["_mix_s2"]) & (rows["_mix_slice"] == placed["_mix_slice2"]))
-    in_slice = Window.partitionBy("source", "_mix_slice").orderBy("_mix_order", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    open_words = F.col("_mix_rest") - F.col("_mix_slice_before") - F.coalesce(F.sum("_mix_size").over(in_slice), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(open_words, F.col("_mix_size")))
-    return (
-        both.withColumn("_mix_taken", (F.col("_mix_whole") * F.col("_mix_size") + part).cast("long"))
-        .drop("_mix_s2", "_mix_slice2", "_mix_slice_before", "_mix_whole", "_mix_rest")
-    )
+    plan = cutoffs(rows if sizes is None else sizes, **options).withColumnRenamed("source", "_mix_s")
+    both = rows.join(plan, rows["source"].eqNullSafe(plan["_mix_s"]))
+    size, number = F.col("_mix_size"), F.row_number().over(Window.partitionBy("source").orderBy("_mix_order"))
+    before, equal = F.lit(False), F.lit(True)
+    for column in ("_mix_order", "_mix_size", "_mix_hash"):
+        cut = F.col(column.replace("_mix", "_mix_cut"))
+        before, equal = before | (equal & (F.col(column) < cut)), equal & (F.col(column) == cut)
+    at_cut = F.coalesce(equal, F.lit(False))
+    plain = both.where(~at_cut).withColumn("_mix_part", F.when(before, size).otherwise(F.lit(0)))
+    # Rows that the order does not tell apart.
+    left = F.col("_mix_left") - (number - 1) * size
+    tied = both.where(at_cut).withColumn("_mix_part", F.greatest(F.lit(0), F.least(left, size)))
+    taken = (F.col("_mix_whole") * size + F.col("_mix_part")).cast("long")
+    return plain.unionByName(tied).withColumn("_mix_taken", taken).select(*rows.columns, "_mix_source_size", "_mix_target", "_mix_taken")
 
 
 def first_words(text: Column, count: Column) -> Column:
@@ -102,7 +131,8 @@ def first_words(text: Column, count: Column) -> Column:
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: whole copies, and at most one cut copy per source; same columns."""
-    mixed = mix(measured(docs), **options)
+    rows = measured(docs)
+    mixed = mix(rows, written(rows.select("source", "_mix_size", "_mix_order", "_mix_slice", "_mix_hash")), **options)
     size, taken = F.col("_mix_size"), F.col("_mix_taken")
     copies = F.when(size > 0, F.ceil(taken / size)).otherwise(F.lit(0)).cast("int")
     rows = mixed.withColumn("_mix_copies", copies).where("_mix_copies > 0")
