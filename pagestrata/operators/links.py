@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pagestrata import constants as C
 from pagestrata.functions import urls as U
 from pagestrata.functions.text import record
-from pagestrata.operators.skew import key_counts, split_join
-from pagestrata.session import cut_lineage
+from pagestrata.operators.skew import ROWS_PER_SPLIT, hot_keys, key_counts, split_join
+from pagestrata.session import BucketedTable, cut_lineage
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -45,11 +45,11 @@ def target_signals(edges: DataFrame) -> DataFrame:
     Edges are combined on both ends first and then on the target, each with a map-side share, so a
     page everybody links to is never gathered in one place; placements are one of a fixed handful.
     """
-    pairs = edges.groupBy("site", "target", "source").agg(F.bit_or(_bit("placement", PLACEMENTS)).alias("_placed"))
+    pairs = edges.groupBy("site", "target", "source").agg(F.bit_or(bit("placement", PLACEMENTS)).alias("_placed"))
     return pairs.groupBy("site", "target").agg(
         F.count_if(_has("_placed", C.MEANINGFUL_PLACEMENTS)).cast("int").alias("inlink_count"),
         F.bit_or("_placed").alias("_placed"),
-    ).select("site", "target", "inlink_count", _names("_placed", PLACEMENTS).alias("link_placements"))
+    ).select("site", "target", "inlink_count", names("_placed", PLACEMENTS).alias("link_placements"))
 
 
 # Sets of these few fixed names are kept as bits of one number while they are combined.
@@ -57,7 +57,7 @@ PLACEMENTS = sorted([*C.LINK_PLACEMENTS, "homepage", "sitemap"])
 SOURCES = ["approved-page-bundle", "homepage", "internal-link", "sitemap"]
 
 
-def _bit(column: str, names: list[str]) -> Column:
+def bit(column: str, names: list[str]) -> Column:
     bit = F
     for at, name in enumerate(names):
         bit = bit.when(F.col(column) == name, 1 << at)
@@ -69,7 +69,7 @@ def _has(bits: str, wanted: list[str]) -> Column:
     return F.col(bits).bitwiseAND(F.lit(mask)) != 0
 
 
-def _names(bits: str, names: list[str]) -> Column:
+def names(bits: str, names: list[str]) -> Column:
     """The set as a sorted array."""
     return F.array_compact(F.array(*[
         F.when(F.col(bits).bitwiseAND(F.lit(1 << at)) != 0, name) for at, name in enumerate(names)
@@ -124,7 +124,7 @@ def discovered_candidates(pages: DataFrame, edges: DataFrame, sitemap: DataFrame
             )
         )
     per_source = signals.groupBy("site", "url", "inlink").agg(
-        F.bit_or(_bit("source", SOURCES)).alias("_sources"), F.bit_or(_bit("placement", PLACEMENTS)).alias("_placed"),
+        F.bit_or(bit("source", SOURCES)).alias("_sources"), F.bit_or(bit("placement", PLACEMENTS)).alias("_placed"),
         F.min("depth").alias("depth"),
     )
     known = per_source.groupBy("site", "url").agg(
@@ -132,37 +132,55 @@ def discovered_candidates(pages: DataFrame, edges: DataFrame, sitemap: DataFrame
         F.min("depth").alias("depth"), F.count("inlink").cast("int").alias("inlink_count"),
     )
     return known.select(
-        "site", "url", _names("_sources", SOURCES).alias("discovery_sources"),
-        _names("_placed", PLACEMENTS).alias("placements"), "depth", "inlink_count",
+        "site", "url", names("_sources", SOURCES).alias("discovery_sources"),
+        names("_placed", PLACEMENTS).alias("placements"), "depth", "inlink_count",
     )
 
 
+NODE = ["site", "node"]
+
+
+class LinkGraph:
+    """Edges dealt into buckets by their source once; levels are found by following only the newest.
+
+    The edges of a node with very many links lie in several parts, each in a bucket of its own; the list
+    of such nodes is bounded by the number of edges over ``rows_per_split``.
+    """
+
+    def __init__(self, edges: DataFrame, rows_per_split: int = ROWS_PER_SPLIT):
+        spark = edges.sparkSession
+        raw = cut_lineage(edges.select("site", F.col("source").alias("node"), "target"))
+        self.crowded = cut_lineage(hot_keys(key_counts(raw, NODE), NODE, "_rows", rows_per_split))
+        self.edges = BucketedTable(spark, [*NODE, "_part"])
+        part = F.pmod(F.xxhash64("target"), F.coalesce("_parts", F.lit(1))).cast("int")
+        dealt = raw.join(F.broadcast(self.crowded), NODE, "left").withColumn("_part", part).drop("_parts")
+        self.edges.append(dealt.dropDuplicates([*NODE, "_part", "target"]))
+
+    def following(self, level: DataFrame) -> DataFrame:
+        """The nodes that the nodes of a level link to, each once."""
+        parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+        spread_out = level.select(*NODE).join(F.broadcast(self.crowded), NODE, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+        found = spread_out.join(self.edges.rows(), [*NODE, "_part"])
+        return found.select("site", F.col("target").alias("node")).distinct()
+
+
 def link_depth(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Fewest links from a root to every reachable node: (site, node, depth).
 
-    ``edges`` has site, source and target, ``roots`` has site and node. One level per round: the new
-    level is joined to the edges, made distinct and reduced by what was reached before. Levels are
-    written to the checkpoint folder, edges of a node with very many links are worked on in parts.
+    ``edges`` has site, source and target, ``roots`` has site and node. One level per round, up to the
+    fixpoint or ``max_depth``: the newest level is dealt to the buckets of the edges, and what it links to
+    is compared with the nodes reached before, which lie in buckets by node. So a round moves the new
+    level and its links' targets only, neither the edges nor what was reached.
     """
-    keys = ["site", "node"]
-    edges = cut_lineage(edges.select("site", F.col("source").alias("node"), "target").distinct())
-    counts = cut_lineage(key_counts(edges, keys))
-    level = roots.select(*keys).distinct().withColumn("depth", F.lit(0))
-    reached = level = cut_lineage(level)
-    depth = 0
-    while (max_depth is None or depth < max_depth) and not level.isEmpty():
+    graph = LinkGraph(edges)
+    reached = BucketedTable(edges.sparkSession, NODE, "depth")
+    depth, new = 0, reached.append(roots.select(*NODE).distinct().withColumn("depth", F.lit(0)))
+    while new and (max_depth is None or depth < max_depth):
+        following = graph.following(reached.rows().where(F.col("depth") == depth))
         depth += 1
-        following = (
-            split_join(edges, level.select(*keys), keys, "inner", ["target"], counts)
-            .select("site", F.col("target").alias("node")).distinct()
-            .join(reached.select(*keys), keys, "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        level = cut_lineage(following)
-        reached = reached.unionByName(level)
-        if depth % 10 == 0:
-            reached = cut_lineage(reached)
-    return reached
+        new = reached.append(following.join(reached.rows().select(*NODE), NODE, "left_anti").withColumn("depth", F.lit(depth)))
+    graph.edges.closed()
+    return reached.closed().select(*NODE, "depth")
 
 
 def with_depth(candidates: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

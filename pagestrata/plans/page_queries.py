@@ -130,14 +130,15 @@ def edge_target_join(spark, folder):
 
 @query("""WITH RECURSIVE edges AS (
    SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
- walk(node, depth) AS (SELECT 's1', 0 UNION SELECT e.b, w.depth + 1 FROM walk w JOIN edges e ON e.a = w.node WHERE w.depth < 6)
- SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+ walk(node, depth) USING KEY (node) AS (SELECT 's1', 0 UNION SELECT e.b, min(w.depth) + 1 FROM walk w JOIN edges e ON e.a = w.node
+   WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.node = e.b) GROUP BY e.b)
+ SELECT node, depth FROM walk""")
 def link_depth(spark, folder):
-    """Fewest links from supplier 1 over all supplier-part links, in both directions."""
+    """Fewest links from supplier 1 over all supplier-part links, in both directions, as far as they lead."""
     one_way = V.part_links(spark, folder).select("site", "source", "target")
     both = one_way.unionByName(one_way.select("site", F.col("target").alias("source"), F.col("source").alias("target")))
     roots = spark.createDataFrame([("shop", "s1")], "site string, node string")
-    return L.link_depth(both, roots, 6).select("node", "depth")
+    return L.link_depth(both, roots).select("node", "depth")
 
 
 @query(f"WITH {V.PART_PAGES_SQL} SELECT url, prominence FROM part_prominence")

@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Callable
 
 from pyspark import InheritableThread
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from pagestrata.errors import AuditError
 
@@ -69,6 +70,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class BucketedTable:
+    """Rows in the shared checkpoint folder, dealt into buckets by their keys once.
+
+    Joins on the keys read the buckets as they lie, without a shuffle. ``append`` adds rows under a
+    new value of ``part``, a partition column, so that the rows of one append can be read alone.
+    """
+
+    def __init__(self, spark: SparkSession, keys: list[str], part: str | None = None):
+        _ensure_checkpoint_dir(spark)
+        self.spark, self.keys, self.part = spark, keys, part
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"pagestrata_{uuid.uuid4().hex}"
+        self.path = f"{spark.sparkContext.getCheckpointDir()}/{self.name}"
+
+    def append(self, df: DataFrame) -> int:
+        """Writes rows and tells how many there were."""
+        seen = Observation()
+        rows = df.observe(seen, F.count(F.lit(1)).alias("rows")).repartition(self.buckets, *self.keys)
+        writer = rows.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, *self.keys)
+        (writer.partitionBy(self.part) if self.part else writer).saveAsTable(self.name)
+        return seen.get["rows"]
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def closed(self) -> DataFrame:
+        """The rows by their path; the name is given up, the files stay."""
+        rows = self.spark.read.schema(self.rows().schema).parquet(self.path)
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return rows
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Deals rows out over all cores where the input comes in fewer partitions than there are cores.
 
