@@ -171,7 +171,7 @@ def evaluate_selected(selected, authority, evaluator, now, store, retry_quaranti
         fresh_results = results.where(F.col("mode").isNotNull() & F.col("error_code").isNull())
         T.store_attempts(root, K.ledger_rows(fresh_results, latest, config, now))
         approved = results.where(F.col("mode").isNotNull() | (F.col("route") == "recover"))
-        T.store_cache(root, cache, K.cache_rows(approved, config, now))
+        T.store_cache(root, K.cache_rows(approved, config, now))
     gate_counts = results.agg(
         F.count_if(F.col("gate_status") == "approved").alias("approved_pages"),
         F.count_if(F.col("gate_status") == "rejected").alias("rejected_pages"),

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pagestrata.errors import AuditError
 from pagestrata.functions.text import script_safe_json
 from pagestrata.operators.records import (
-    cache_additions, cache_conflicts, mode_violations, queue_violations, require_none, stale_items, decided,
-    is_complete_decision, adjudication_rows,
+    cache_additions, cache_conflicts, mode_violations, queue_violations, require_none, sequence_violations, stale_items,
+    decided, is_complete_decision, adjudication_rows,
 )
 from pagestrata.schemas import ADJUDICATION, CACHE, LEDGER
+from pagestrata.sources.commits import CommittedTable
 
 QUEUE_MARKER = '<script id="embedded-queue" type="application/json"></script>'
 
@@ -33,30 +34,56 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def cache_table(spark: SparkSession, root: str) -> CommittedTable:
+    return CommittedTable(spark, f"{root}/approved", CACHE)
+
+
+def ledger_table(spark: SparkSession, root: str) -> CommittedTable:
+    return CommittedTable(spark, f"{root}/rejections", LEDGER)
+
+
+def adjudication_table(spark: SparkSession, root: str) -> CommittedTable:
+    return CommittedTable(spark, f"{root}/adjudications", ADJUDICATION)
+
+
 def read_cache(spark: SparkSession, root: str) -> DataFrame:
-    return read_or_empty(spark, f"{root}/approved", CACHE)
+    return cache_table(spark, root).rows()
 
 
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    return read_or_empty(spark, f"{root}/rejections", LEDGER)
+    return ledger_table(spark, root).rows()
 
 
 def read_adjudications(spark: SparkSession, root: str) -> DataFrame:
-    return read_or_empty(spark, f"{root}/adjudications", ADJUDICATION)
+    return adjudication_table(spark, root).rows()
 
 
-def store_cache(root: str, cache: DataFrame, incoming: DataFrame) -> None:
+def store_cache(root: str, incoming: DataFrame) -> None:
     """Append new approvals; the same approval again changes nothing, a different one is an error."""
-    require_none(cache_conflicts(cache, incoming).select("input_digest"), "EVALUATION_CACHE_CONFLICT",
-                 "A different approved evaluation already exists for the same analysis input.")
-    cache_additions(cache, incoming).write.mode("append").parquet(f"{root}/approved")
+    def checked(held: DataFrame) -> DataFrame:
+        require_none(cache_conflicts(held, incoming).select("input_digest"), "EVALUATION_CACHE_CONFLICT",
+                     "A different approved evaluation already exists for the same analysis input.")
+        return cache_additions(held, incoming)
+
+    cache_table(incoming.sparkSession, root).append(checked)
 
 
 def store_attempts(root: str, attempts: DataFrame) -> None:
-    """Append ledger attempts in the order initial, targeted repair, authorized retries."""
+    """Append ledger attempts in the order initial, targeted repair, authorized retries.
+
+    The attempts of an input must follow on those held when they are committed, so of two writers that
+    continue the same history one is refused.
+    """
     require_none(mode_violations(attempts).select("input_digest", "attempt", "mode"), "INVALID_REJECTION_SEQUENCE",
                  "A rejection attempt is out of sequence.")
-    attempts.write.mode("append").parquet(f"{root}/rejections")
+
+    def checked(held: DataFrame) -> DataFrame:
+        touched = held.join(attempts.select("input_digest").distinct(), "input_digest", "left_semi")
+        both = touched.select("input_digest", "attempt").unionByName(attempts.select("input_digest", "attempt"))
+        require_none(sequence_violations(both), "INVALID_REJECTION_SEQUENCE", "A rejection attempt does not follow on the ledger.")
+        return attempts
+
+    ledger_table(attempts.sparkSession, root).append(checked)
 
 
 def store_adjudications(root: str, queue: DataFrame, latest: DataFrame, run_id: str, queue_created_at: str,
@@ -71,11 +98,13 @@ def store_adjudications(root: str, queue: DataFrame, latest: DataFrame, run_id:
                  "An adjudication no longer matches the current rejection ledger.")
     moment = lambda text: F.lit(text).cast("timestamp")
     records = adjudication_rows(queue, run_id, moment(queue_created_at), moment(created_at))
-    held = read_adjudications(queue.sparkSession, root)
-    repeated = records.join(held, ["input_digest", "rejection_attempt"], "left_semi")
-    require_none(repeated.select("url"), "ADJUDICATION_EXISTS", "An attempt can be adjudicated only once.")
-    records.write.mode("append").parquet(f"{root}/adjudications")
-    return records
+
+    def checked(held: DataFrame) -> DataFrame:
+        repeated = records.join(held, ["input_digest", "rejection_attempt"], "left_semi")
+        require_none(repeated.select("url"), "ADJUDICATION_EXISTS", "An attempt can be adjudicated only once.")
+        return records
+
+    return adjudication_table(queue.sparkSession, root).append(checked)[1]
 
 
 def reviewer_page(template: str, queue: DataFrame, head: dict) -> str:
