@@ -17,9 +17,11 @@ components). Texts of the same words are one before all this: their copies add n
 
 Candidates are worked off without pairs inside a component:
 
-1. every document is checked against one leader, the first document of one of its bands;
-2. of all candidates in different components, each document is checked against its best of each component;
-3. all candidates that are still in different components, and have not been checked, are checked.
+1. every document is checked against one leader of its bands. A band is led by the document that shares
+   bands with the most others, which in a group of near copies is the text they were made from;
+2. documents are checked against the leaders of their other bands, where these are in other components;
+3. of all candidates in different components, each document is checked against its best of each component;
+4. all candidates that are still in different components, and have not been checked, are checked.
 
 So near copies give one pair each, whatever their number, and no candidate link between components is
 lost. In a band only the documents outside its largest component meet the others, and only pairs of like
@@ -236,6 +238,11 @@ def _in_component(rows: DataFrame, found: DataFrame, column: str, name: str) ->
     return rows.join(known, column, "left").withColumn(name, F.coalesce(name, column))
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose texts are in different components."""
+    return _in_component(_in_component(pairs, found, "a", "a_in"), found, "b", "b_in").where("a_in <> b_in").select("a", "b")
+
+
 def _across(members: DataFrame, texts: DataFrame, found: DataFrame, numbers: int, most: int) -> DataFrame:
     """Candidates of different components and like sketches: a < b, the component of each, how different they are.
 
@@ -265,27 +272,33 @@ def grouped(docs: DataFrame, shingle: int, similarity: float, bands: int, rows:
         own.where("NOT worded").select("doc_id", "key", F.lit(None).cast("long").alias("rid")))
 
     all_members = texts.select("rid", F.explode("bands").alias("band"))
-    leaders = all_members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("leader"))
-    members = written(all_members.join(leaders.where("n > 1").select("band", "leader"), "band"))
+    sizes = all_members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(all_members.join(sizes, "band"))
+    known = members.groupBy("rid").agg(F.sum("n").alias("known"))
+    leaders = members.select("rid", "band").join(known, "rid").groupBy("band").agg(F.max(F.struct("known", (-F.col("rid")).alias("rid"))).alias("leader"))
+    leaders = leaders.select("band", (-F.col("leader.rid")).alias("leader"), "leader.known")
     wanted = members.select("rid").distinct().join(texts.select("rid", "key"), "rid")
     held = written(_keyed(docs).join(wanted, "key").groupBy("rid").agg(F.any_value("text").alias("text")))
 
     numbers, most = -(-min(bands * rows, SKETCHED) // 16), most_different(bands * rows, similarity)
     sketched = texts.select("rid", "sketch")
-    star = members.where("rid <> leader").select("rid", "leader").distinct()
+    star = members.join(leaders, "band").where("rid <> leader").select("rid", "leader", "known").distinct()
     star = star.join(sketched, "rid").join(sketched.select(F.col("rid").alias("leader"), F.col("sketch").alias("other")), "leader")
-    star = star.where(_different("sketch", "other", numbers) <= most).groupBy("rid").agg(F.min("leader").alias("b"))
-    checked = written(star.select(F.col("rid").alias("a"), "b"))
+    star = written(star.where(_different("sketch", "other", numbers) <= most).select(F.col("rid").alias("a"), F.col("leader").alias("b"), "known"))
+    checked = written(star.groupBy("a").agg(F.max_by("b", F.struct("known", "b")).alias("b")))
     found = _merged(_linked(checked, held, shingle, similarity), None)
+    others = _ordered(star.select("a", "b").join(checked, ["a", "b"], "left_anti")).distinct()
+    others = written(_apart(others, found).join(_ordered(checked), ["a", "b"], "left_anti"))
+    found = _merged(_linked(others, held, shingle, similarity), found)
+    checked = _ordered(checked).unionByName(others)
 
-    across = written(_across(members.select("rid", "band"), texts, found, numbers, most).join(_ordered(checked), ["a", "b"], "left_anti"))
+    across = written(_across(members.select("rid", "band"), texts, found, numbers, most).join(checked, ["a", "b"], "left_anti"))
     if not across.isEmpty():
         best = F.min_by(F.struct("a", "b"), F.struct("far", "a", "b"))
         nearest = written(across.groupBy("x", "y_in").agg(best.alias("p")).select("p.a", "p.b").distinct())
         found = _merged(_linked(nearest, held, shingle, similarity), found)
         left = across.select("a", "b").join(nearest, ["a", "b"], "left_anti")
-        left = _in_component(_in_component(left, found, "a", "a_in"), found, "b", "b_in").where("a_in <> b_in").select("a", "b")
-        found = _merged(_linked(written(left), held, shingle, similarity), found)
+        found = _merged(_linked(written(_apart(left, found)), held, shingle, similarity), found)
     return own, found
 
 
