@@ -20,7 +20,7 @@ from pagestrata.session import build_session
 from pagestrata.sources import messaging as M
 from pagestrata.sources import tables as T
 from pagestrata.sources.bundles import as_bundles, ingest_saved_html
-from pagestrata.sources.dispatch import acquire
+from pagestrata.sources.dispatch import acquired
 
 LIMIT_FLAGS = ("discovered", "fetched", "analyzed", "page_characters", "analyzed_characters")
 
@@ -58,10 +58,13 @@ def audit(spark, args) -> dict:
     frozen = bool(args.model)
     artifact = M.load_frozen_model(spark, args.model, documents, chunks) if frozen else model_artifact(spark, documents, chunks, evaluator)
     observed = args.observed_at or now()
-    raw = acquire(spark, {**vars(args), "observed_at": observed}, limits)
-    result = run_audit(raw, authority_of(documents, artifact, "frozen" if frozen else "live"), evaluator, observed,
-                       args.store, args.retry_quarantined, limits, args.domain or "pages")
+    given = acquired(spark, {**vars(args), "observed_at": observed}, limits)
+    result = run_audit(given.pages, authority_of(documents, artifact, "frozen" if frozen else "live"), evaluator, observed,
+                       args.store, args.retry_quarantined, limits, args.domain or "pages", given.sources)
     persist(result, args.out)
+    if given.sources is not None:
+        T.write_once(given.sources, f"{args.out}/{result.run_id}/archive_sources")
+        T.write_once(given.failures, f"{args.out}/{result.run_id}/archive_failures")
     return {"run_id": result.run_id, "out": f"{args.out}/{result.run_id}", **result.counters.first().asDict()}
 
 
@@ -124,8 +127,10 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument(name, action="store_true") if kind is bool else sub.add_argument(name, type=kind)
         sub.set_defaults(run=run, **({"evaluator": "pagestrata.evaluator:RuleEvaluator"} if "evaluator" in optional else {}))
 
-    sources = {n: str for n in ("domain", "repository", "bundle", "saved_html", "common_crawl", "wayback")}
-    command("audit", audit, "messaging", "out", **sources, archives=bool, model=str, store=str, evaluator=str, observed_at=str,
+    sources = {n: str for n in (
+        "domain", "repository", "repository_tree", "repository_name", "commit", "ref", "bundle", "saved_html", "common_crawl", "collection_list",
+        "wayback", "wayback_latest")}
+    command("audit", audit, "messaging", "out", **sources, archives=bool, deadline=float, model=str, store=str, evaluator=str, observed_at=str,
             retry_quarantined=bool, **{n: int for n in LIMIT_FLAGS})
     # ``run`` is the function of a command, so the folder of a run has another destination.
     command("build-messaging-model", build_model, "messaging", "out", evaluator=str)

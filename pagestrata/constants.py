@@ -156,6 +156,18 @@ PAGE_TYPE_WORDS = [
 # Repository source files.
 ROUTE_EXTENSIONS = ["html", "htm", "md", "mdx", "jsx", "tsx", "js", "ts", "astro"]
 IGNORED_DIRECTORIES = [".git", ".next", ".cache", ".turbo", ".vercel", "node_modules", "vendor", "coverage"]
+# Fixed values of reading source files: entities, elements, labels, words of code, marks of Markdown.
+SOURCE_ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"}
+SOURCE_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+SOURCE_COPY = {*SOURCE_HEADINGS, "p", "li", "blockquote", "button", "a"}
+SOURCE_NESTING = ("li", "blockquote")
+SOURCE_NAVIGATION = ("nav", "header")
+SOURCE_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+SOURCE_LABELS = ("headline", "heading", "label", "eyebrow", "subheading")
+SOURCE_CODE_WORDS = ("className", "return", "const", "function")
+MARKDOWN_MARKS = str.maketrans("", "", "*_`>#")
+ANCHOR = r"""(?is)<a\b[^>]*(?:href|to)\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>"""
+NAVIGATION_OR_ANCHOR = r"""(?is)<nav[^>]*>.*?</nav>|<header[^>]*>.*?</header>|<a\b[^>]*(?:href|to)\s*=\s*["'][^"']+["'][^>]*>.*?</a>"""
 MAX_REPOSITORY_ENTRIES = 25_000
 MAX_REPOSITORY_FILE_BYTES = 1_000_000
 MAX_REPOSITORY_TOTAL_BYTES = 100 * 1024 * 1024

@@ -24,6 +24,8 @@ RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Pages and records may be large: a batch ends at so many bytes, whatever its rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
 

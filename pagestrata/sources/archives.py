@@ -8,20 +8,23 @@ from __future__ import annotations
 
 import gzip
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pagestrata import constants as C
 from pagestrata.errors import AuditError
 from pagestrata.functions import urls as U
 from pagestrata.functions.html import capture_html
 from pagestrata.functions.text import archive_time, pinned, sections_digest
+from pagestrata.operators.links import link_depth
 from pagestrata.operators.reconcile import best_pages, best_records, reconcile
 from pagestrata.operators.skew import newest
+from pagestrata.session import cut_lineage
 from pagestrata.sources.common import as_raw_pages
 
 CDX_RECORD = "url string, status string, mime string, timestamp string, filename string, offset string, length string"
@@ -92,38 +95,85 @@ def http_payload(record: bytes | None) -> tuple[str | None, str | None]:
     return pieces[2].decode("utf-8", "replace"), None
 
 
-def decode_warc(record: Column) -> Column:
-    """Struct of html and error_code from gzip record bytes."""
-    def run(records: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([http_payload(r) for r in records], columns=["html", "error_code"])
-
-    return F.pandas_udf(run, "html string, error_code string")(record)
-
-
-def read_warc_records(ranges: DataFrame, root: str) -> DataFrame:
-    """Adds the bytes of each record, read as a range of its file under ``root``.
-
-    Only the range is read; files of many gigabytes are never loaded. A failed read is an empty
-    record, which the decoder reports.
+# Neighbours in a file are read at once up to so many bytes, and across gaps of at most so many.
+RUN_BYTES = 8 << 20
+GAP_BYTES = 64 << 10
+
+
+def fused(rows: Iterator[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
+    """Ranges (file, offset, length) sorted by file and offset as runs: file, start, end, and the ranges inside."""
+    run: tuple | None = None
+    for name, offset, length in rows:
+        if run and run[0] == name and offset <= run[2] + GAP_BYTES and max(run[2], offset + length) - run[1] <= RUN_BYTES:
+            run = (name, run[1], max(run[2], offset + length), [*run[3], (offset, length)])
+            continue
+        if run:
+            yield run
+        run = (name, offset, offset + length, [(offset, length)])
+    if run:
+        yield run
+
+
+def read_ranges(rows: Iterator[tuple[str, int, int]], system, base: str) -> Iterator[bytes]:
+    """The bytes of sorted ranges, in their order. A file is opened once; what cannot be read is empty."""
+    name, file = None, None
+    for run_name, start, end, ranges in fused(rows):
+        try:
+            if run_name != name:
+                if file is not None:
+                    file.close()
+                name, file = run_name, None
+                file = system.open_input_file(f"{base}/{run_name}")
+            if file is None:
+                raise OSError(run_name)
+            file.seek(start)
+            data = file.read(end - start)
+        except (OSError, ValueError):
+            data = b""
+        for offset, length in ranges:
+            yield data[offset - start:offset - start + length]
+    if file is not None:
+        file.close()
+
+
+def read_warc_pages(ranges: DataFrame, root: str) -> DataFrame:
+    """Adds html and error_code of each record, read as a range of its file under ``root``.
+
+    Ranges are dealt out and sorted by file and offset, so a task opens a file once and reads its neighbours
+    together. Records are decoded where they are read, a bounded number of bytes at a time, and rows leave
+    record by record; bodies are never gathered. Ranges that are no ranges are failures.
     """
-    out = StructType([*ranges.schema.fields, StructField("record", BinaryType())])
+    known = [f for f in ranges.schema.fields if f.name not in ("html", "error_code")]
+    out = StructType([*known, StructField("html", StringType()), StructField("error_code", StringType())])
+    names = [f.name for f in known]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(root)
-        for batch in batches:
-            records = []
-            for name, offset, length in zip(batch["filename"], batch["byte_offset"], batch["byte_length"]):
-                try:
-                    with system.open_input_file(f"{base}/{name}") as file:
-                        file.seek(int(offset))
-                        records.append(file.read(int(length)))
-                except (OSError, ValueError, TypeError):
-                    records.append(b"")
-            yield batch.assign(record=records)
+        waiting: deque = deque()
 
-    return ranges.mapInPandas(read, out)
+        def places():
+            for batch in batches:
+                for row in batch[[*names, "error_code"]].itertuples(index=False, name=None):
+                    place = dict(zip(names, row))
+                    waiting.append(row)
+                    if row[-1] is None:
+                        yield place["filename"], int(place["byte_offset"]), int(place["byte_length"])
+
+        def one(row, html, code):
+            return pd.DataFrame([[*row[:-1], html, code]], columns=[*names, "html", "error_code"])
+
+        for data in read_ranges(places(), system, base):
+            while waiting and waiting[0][-1] is not None:
+                row = waiting.popleft()
+                yield one(row, None, row[-1])
+            yield one(waiting.popleft(), *http_payload(data))
+        for row in waiting:
+            yield one(row, None, row[-1])
+
+    sorted_ranges = ranges.repartitionByRange("filename", "byte_offset").sortWithinPartitions("filename", "byte_offset")
+    return sorted_ranges.mapInPandas(read, out)
 
 
 def wayback_rows(pages: DataFrame, body: str = "body") -> DataFrame:
@@ -137,8 +187,9 @@ def wayback_rows(pages: DataFrame, body: str = "body") -> DataFrame:
     end = F.get(ends, F.lit(0))
     key = F.get(F.get("_rows", end + 1), F.lit(0))
     fields = F.array(*[F.lit(f) for f in C.WAYBACK_FIELDS])
+    asked = ["requested_key"] if "requested_key" in pages.columns else []
     return parsed.select(
-        "site", "page", "header",
+        "site", "page", *asked, "header",
         F.coalesce(F.size(F.array_except(fields, "header")) == 0, F.lit(False)).alias("valid"),
         F.slice("_rows", F.lit(2), F.coalesce(end - 1, F.greatest(F.size("_rows") - 1, F.lit(0)))).alias("rows"),
         F.coalesce(F.try_url_decode(key), key).alias("resume_key"),
@@ -164,11 +215,40 @@ def newest_captures(records: DataFrame) -> DataFrame:
     return newest(records, ["site", "url"], ["timestamp", "digest", "original"])
 
 
-def index_state(parsed: DataFrame) -> DataFrame:
-    """Index pages read per site and whether the index goes on behind the page limit."""
+def index_chain(parsed: DataFrame) -> DataFrame:
+    """Index pages with their ``position``: a page follows the one whose resume key it was asked for with.
+
+    ``requested_key`` is that key (null for the first page). Where it was not landed, the page with the
+    number before is the one it followed. A page behind a gap has no position: what it followed is missing.
+    """
+    if "requested_key" not in parsed.columns:
+        by_number = Window.partitionBy("site").orderBy("page")
+        before = F.when(F.lag("page").over(by_number) == F.col("page") - 1, F.lag("resume_key").over(by_number))
+        first = F.col("page") == F.min("page").over(Window.partitionBy("site"))
+        parsed = parsed.withColumn("requested_key", F.when(~first, F.coalesce(before, F.lit("?")))).withColumn(
+            "requested_key", F.when(first & (F.col("page") > 1), F.lit("?")).otherwise(F.col("requested_key")))
+    parsed = cut_lineage(parsed)
+    asked = F.coalesce("requested_key", F.lit(""))
+    follows = parsed.where(F.col("resume_key").isNotNull()).select("site", asked.alias("source"), F.col("resume_key").alias("target"))
+    places = link_depth(follows, parsed.select("site", F.lit("").alias("node")).distinct()).select(
+        "site", F.col("node").alias("_asked"), F.col("depth").alias("position"))
+    return parsed.withColumn("_asked", asked).join(places, ["site", "_asked"], "left").drop("_asked")
+
+
+def index_gaps(chain: DataFrame) -> DataFrame:
+    """Index pages that follow on nothing that was landed: (site, page, requested_key)."""
+    return chain.where(F.col("position").isNull()).select("site", "page", "requested_key")
+
+
+def index_state(parsed: DataFrame, most_pages: int = C.MAX_INDEX_PAGES) -> DataFrame:
+    """Index pages read per site and whether the index goes on behind the page limit.
+
+    The last page is the one with the greatest position in the chain, or number where there is no chain.
+    """
+    place = "position" if "position" in parsed.columns else "page"
     return parsed.groupBy("site").agg(
-        F.count(F.lit(1)).alias("index_pages"), F.max_by("resume_key", "page").alias("last_key")
-    ).withColumn("truncated", F.col("last_key").isNotNull() & (F.col("index_pages") >= C.MAX_INDEX_PAGES))
+        F.count(F.lit(1)).alias("index_pages"), F.max_by("resume_key", place).alias("last_key")
+    ).withColumn("truncated", F.col("last_key").isNotNull() & (F.col("index_pages") >= most_pages))
 
 
 def refresh(known: DataFrame, latest: DataFrame) -> DataFrame:
@@ -237,10 +317,9 @@ def common_crawl_captures(records: DataFrame, primary: DataFrame, fetched: int,
     """The best records of every site, read from WARC files under ``root``."""
     homes = records.join(primary, "site").withColumn("is_homepage", F.col("url") == F.col("primary_url"))
     chosen = warc_ranges(best_records(homes, fetched))
-    read = read_warc_records(chosen, root).withColumn("_d", decode_warc(F.col("record")))
+    read = read_warc_pages(chosen, root)
     return read.select(
-        "site", "primary_url", "url", "timestamp", F.col("_d.html").alias("html"),
-        F.coalesce("error_code", "_d.error_code").alias("error_code"), F.lit("common-crawl").alias("method"),
+        "site", "primary_url", "url", "timestamp", "html", "error_code", F.lit("common-crawl").alias("method"),
         F.col("collection").alias("source_name"), "collection", "record_url",
         F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("original"),
     )

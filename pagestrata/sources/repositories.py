@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
+from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestrata import constants as C
 from pagestrata.errors import AuditError
 from pagestrata.functions import urls as U
-from pagestrata.functions.source_code import capture_source, link_array
+from pagestrata.functions.source_code import capture_source, component_links
 from pagestrata.operators.records import require_none
+from pagestrata.session import cut_lineage
 from pagestrata.sources.common import as_raw_pages, https_home, require_homepage
 
 
@@ -24,45 +29,119 @@ def local_commit(root: str) -> str | None:
         return None
 
 
-def repository_files(spark: SparkSession, root: str) -> DataFrame:
-    """Route and navigation files below ``root``: path, size, content.
+ENTRIES = "folder string, name string, kind string, size long"
+READ_BYTES = 16 << 20
 
-    The size filter reaches the file source, so the contents of large files are never read.
+
+def _file_system(root: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root)
+
+
+def list_tree(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
+    """Every entry below ``root``: folder, name, kind (file, folder, link), size; ignored folders are not entered.
+
+    Folders are listed level by level, each by one task, as Spark's own listing leaves out names that
+    begin with a dot or an underscore. More than ``most`` entries are an error.
     """
-    ignored = "|".join(d.replace(".", r"\.") for d in C.IGNORED_DIRECTORIES)
-    # Spark's own file listing leaves out names that start with a dot or an underscore.
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    listed = raw.withColumn("_full", F.regexp_replace("path", r"\A[a-z0-9]+:/+", "/")).withColumn(
-        "relative", F.substring(F.col("_full"), F.lit(len(root.rstrip("/")) + 2), F.lit(1 << 30))
-    )
-    kept = listed.where(
-        ~F.col("relative").rlike(rf"(^|/)({ignored})/") & (F.col("length") <= C.MAX_REPOSITORY_FILE_BYTES)
-    )
-    wanted = U.repository_route(F.col("relative")).isNotNull() | U.is_navigation_source(F.col("relative"))
-    return kept.where(wanted).select(
-        F.col("relative").alias("path"), F.col("length").alias("size"), F.lit(None).cast("string").alias("blob_sha"),
-        F.decode("content", "UTF-8").alias("source"),
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = _file_system(root)
+        for batch in batches:
+            for folder in batch["folder"]:
+                here = f"{base}/{folder}".rstrip("/")
+                rows = []
+                for info in system.get_file_info(fs.FileSelector(here)):
+                    # A link is an entry, but neither followed nor read.
+                    link = system.type_name == "local" and os.path.islink(info.path)
+                    kind = "link" if link else "folder" if info.type == fs.FileType.Directory else "file"
+                    rows.append((folder, info.base_name, kind, info.size or 0))
+                yield pd.DataFrame(rows, columns=["folder", "name", "kind", "size"])
+
+    level, levels, entries = spark.createDataFrame([("",)], "folder string"), [], 0
+    while True:
+        found = cut_lineage(level.mapInPandas(run, ENTRIES))
+        levels.append(found)
+        entries += found.count()
+        if most is not None and entries > most:
+            raise AuditError("INVALID_REPOSITORY_SOURCE", f"Repository contains more than {most:,} entries.")
+        inner = found.where((F.col("kind") == "folder") & ~F.col("name").isin(C.IGNORED_DIRECTORIES))
+        folders = inner.select(F.concat_ws("/", F.nullif("folder", F.lit("")), "name").alias("folder"))
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        level = folders.repartition(spark.sparkContext.defaultParallelism, "folder")
+
+
+def repository_files(
+    spark: SparkSession, root: str, entries: int | None = C.MAX_REPOSITORY_ENTRIES, file_bytes: int | None = C.MAX_REPOSITORY_FILE_BYTES,
+) -> DataFrame:
+    """Route and navigation files below ``root``: path, size, blob_sha, source.
+
+    ``entries`` and ``file_bytes`` are the limits of the reference; None lifts them. Only files that are
+    wanted are opened, a bounded number of bytes at a time.
+    """
+    path = F.concat_ws("/", F.nullif("folder", F.lit("")), "name")
+    listed = list_tree(spark, root, entries).where(F.col("kind") == "file").select(path.alias("path"), "size")
+    wanted = U.repository_route(F.col("path")).isNotNull() | U.is_navigation_source(F.col("path"))
+    chosen = listed.where(wanted & (F.lit(True) if file_bytes is None else F.col("size") <= file_bytes))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = _file_system(root)
+        for batch in batches:
+            groups = batch["size"].cumsum() // READ_BYTES
+            for _, part in batch.groupby(groups):
+                texts = []
+                for name in part["path"]:
+                    with system.open_input_stream(f"{base}/{name}") as file:
+                        texts.append(file.read().decode("utf-8", "replace"))
+                yield part.assign(blob_sha=None, source=texts)
+
+    return chosen.mapInPandas(read, "path string, size long, blob_sha string, source string")
+
+
+def read_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """A landed tree (``tree.json`` as the interface gave it) and its blobs (``blobs``, JSON lines of sha, encoding, content)."""
+    entry = "array<struct<path:string,type:string,size:long,sha:string>>"
+    whole = spark.read.schema(f"sha string, truncated boolean, tree {entry}").json(f"{root}/tree.json", multiLine=True)
+    require_none(whole.where(F.coalesce("truncated", F.lit(False)) | F.col("tree").isNull()).select("sha"), "INVALID_REPOSITORY_SOURCE",
+                 "The repository tree is truncated. Use a checkout or a narrower repository.")
+    blobs = spark.read.schema("sha string, encoding string, content string").json(f"{root}/blobs")
+    return whole.select(F.inline("tree")), blobs
+
+
+def tree_gaps(tree: DataFrame, blobs: DataFrame) -> DataFrame:
+    """What is missing of a landed tree: folders of entries that are not listed, blobs that were not landed (path, problem)."""
+    folders = tree.where(F.col("type") == "tree").select("path")
+    parent = F.regexp_replace("path", r"/?[^/]*\z", "")
+    parents = tree.select(parent.alias("path")).where(F.col("path") != "").distinct()
+    unlisted = parents.join(folders, "path", "left_anti").withColumn("problem", F.lit("folder is not listed"))
+    readable = blobs.where((F.coalesce("encoding", F.lit("base64")) == "base64") & F.col("content").isNotNull()).select("sha")
+    lost = wanted_blobs(tree).join(readable, "sha", "left_anti").select("path", F.lit("blob was not landed").alias("problem"))
+    return unlisted.unionByName(lost)
+
+
+def wanted_blobs(tree: DataFrame, file_bytes: int | None = C.MAX_REPOSITORY_FILE_BYTES) -> DataFrame:
+    small = F.lit(True) if file_bytes is None else F.col("size") <= file_bytes
+    return tree.where((F.col("type") == "blob") & small & (U.repository_route(F.col("path")).isNotNull() | U.is_navigation_source(F.col("path"))))
 
 
 def tree_files(tree: DataFrame, blobs: DataFrame) -> DataFrame:
     """Files of a landed tree (path, type, size, sha) with their base64 blobs (sha, content)."""
-    entries = tree.where(
-        (F.col("type") == "blob") & (F.col("size") <= C.MAX_REPOSITORY_FILE_BYTES)
-        & (U.repository_route(F.col("path")).isNotNull() | U.is_navigation_source(F.col("path")))
-    )
     text = F.decode(F.unbase64(F.regexp_replace("content", r"\s", "")), "UTF-8")
-    return entries.join(blobs.select("sha", text.alias("source")), "sha").select(
-        U.repository_path(F.col("path")).alias("path"), "size", F.col("sha").alias("blob_sha"), "source"
+    once = blobs.select("sha", text.alias("source")).dropDuplicates(["sha"])
+    return wanted_blobs(tree).join(once, "sha").select(
+        U.repository_path(F.col("path")).alias("path"), F.col("size").cast("long").alias("size"), F.col("sha").alias("blob_sha"), "source"
     )
 
 
-def check_repository(files: DataFrame, discovered: int) -> None:
-    row = files.agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")).first()
-    if row.files > C.MAX_REPOSITORY_ENTRIES:
-        raise AuditError("INVALID_REPOSITORY_SOURCE", f"Repository contains more than {C.MAX_REPOSITORY_ENTRIES:,} entries.")
-    if (row.bytes or 0) > C.MAX_REPOSITORY_TOTAL_BYTES:
-        raise AuditError("INVALID_REPOSITORY_SOURCE", "Selected repository source files exceed the 100 MB input limit.")
+def check_repository(files: DataFrame, total_bytes: int | None = C.MAX_REPOSITORY_TOTAL_BYTES) -> None:
+    if total_bytes is None:
+        return
+    row = files.agg(F.sum("size").alias("bytes")).first()
+    if (row.bytes or 0) > total_bytes:
+        raise AuditError("INVALID_REPOSITORY_SOURCE", f"Selected repository source files exceed the {total_bytes >> 20} MB input limit.")
 
 
 def capture_files(files: DataFrame, primary_url: str, host: str) -> DataFrame:
@@ -95,7 +174,7 @@ def prefer_complete(pages: DataFrame) -> DataFrame:
 
 def with_navigation(pages: DataFrame, files: DataFrame) -> DataFrame:
     """Adds the links of navigation files to the homepage, each distinct link once."""
-    links = files.where(U.is_navigation_source(F.col("path"))).select(F.explode(link_array(F.col("source"))).alias("_link"))
+    links = files.where(U.is_navigation_source(F.col("path"))).select(F.explode(component_links(F.col("source"))).alias("_link"))
     extra = links.distinct().agg(F.array_sort(F.collect_list("_link")).alias("_navigation"))
     home = F.col("url") == F.col("primary_url")
     joined = pages.withColumn("_home", home).join(extra.withColumn("_home", F.lit(True)), "_home", "left")
@@ -111,7 +190,7 @@ def ingest_repository(
     primary_url, host = https_home(domain, "INVALID_REPOSITORY_SOURCE")
     if primary_url != f"https://{host}/":
         raise AuditError("INVALID_REPOSITORY_SOURCE", "Repository acquisition requires the website root URL.")
-    check_repository(files, discovered)
+    check_repository(files)
     pages = with_navigation(prefer_complete(capture_files(files, primary_url, host)), files)
     provider = "github" if method == "github-repository" else "local-checkout"
     label = "github" if provider == "github" else "repository"
