@@ -20,7 +20,8 @@ Candidates are worked off without pairs inside a component:
 1. every document is checked against one leader of its bands. A band is led by the document that shares
    bands with the most others, which in a group of near copies is the text they were made from;
 2. documents are checked against the leaders of their other bands, where these are in other components;
-3. of all candidates in different components, each document is checked against its best of each component;
+3. of candidates in different components, each document is checked against its best of each component, first
+   among those that share three neighbouring bands, then among all;
 4. all candidates that are still in different components, and have not been checked, are checked.
 
 So near copies give one pair each, whatever their number, and no candidate link between components is
@@ -261,6 +262,14 @@ def _across(members: DataFrame, texts: DataFrame, found: DataFrame, numbers: int
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "y_in", "far").dropDuplicates(["a", "b"])
 
 
+def _joined_bands(texts: DataFrame, bands: int, together: int) -> DataFrame:
+    """Members of several bands at once: ``together`` neighbouring bands are one."""
+    keys = [F.xxhash64(*[F.col("bands")[i + n] for n in range(together)]) for i in range(0, bands - together + 1, together)]
+    all_keys = texts.select("rid", F.explode(F.array(*keys) if keys else F.array().cast("array<long>")).alias("band"))
+    shared = all_keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    return all_keys.join(shared, "band").select("rid", "band")
+
+
 def grouped(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, key and ``rid``, the number of its words' text (null without words), of every row; components of these."""
     sketches = written(_sketches(docs, shingle, bands, rows))
@@ -292,13 +301,19 @@ def grouped(docs: DataFrame, shingle: int, similarity: float, bands: int, rows:
     found = _merged(_linked(others, held, shingle, similarity), found)
     checked = _ordered(checked).unionByName(others)
 
-    across = written(_across(members.select("rid", "band"), texts, found, numbers, most).join(checked, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
+    # Near ones first: texts that share three bands at once have little else to meet, and are soon in one component.
+    for together in (3, 1):
+        keys = members.select("rid", "band") if together == 1 else _joined_bands(texts, bands, together)
+        across = written(_across(keys, texts, found, numbers, most).join(checked, ["a", "b"], "left_anti"))
         best = F.min_by(F.struct("a", "b"), F.struct("far", "a", "b"))
         nearest = written(across.groupBy("x", "y_in").agg(best.alias("p")).select("p.a", "p.b").distinct())
+        if nearest.isEmpty():
+            continue
         found = _merged(_linked(nearest, held, shingle, similarity), found)
-        left = across.select("a", "b").join(nearest, ["a", "b"], "left_anti")
-        found = _merged(_linked(written(_apart(left, found)), held, shingle, similarity), found)
+        checked = written(checked.unionByName(nearest))
+        if together == 1:
+            left = across.select("a", "b").join(nearest, ["a", "b"], "left_anti")
+            found = _merged(_linked(written(_apart(left, found)), held, shingle, similarity), found)
     return own, found
 
 
