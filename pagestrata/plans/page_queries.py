@@ -17,8 +17,10 @@ from pagestrata.operators.skew import row_numbers
 from pagestrata.plans import inputs as V
 from pagestrata.plans.catalogue import query
 from pagestrata.plans.ingest import build_inventory
+from pagestrata.session import checkpoint_folder
 from pagestrata.sources.common import as_raw_pages
-from pagestrata.sources.sitemaps import parse_sitemaps
+from pagestrata.sources.sitemaps import parse_sitemaps, walk
+from pagestrata.streaming.discovery import follow, known_targets
 
 
 @query(f"WITH {V.CANONICAL_SQL} SELECT page_id, url, site FROM canon")
@@ -92,6 +94,23 @@ def host_taxonomy(spark, folder):
     return I.taxonomy(typed)
 
 
+# The navigation of the pages, put into other surroundings by page number: tag to open, tag to close, placement.
+SURROUNDINGS = [
+    ("<nav>", "</nav>", "primary-nav"), ('<nav class="dropdown">', "</nav>", "navigation-dropdown"), ('<div class="hero">', "</div>", "homepage-hero"),
+    ("<main>", "</main>", "body"), ("<footer>", "</footer>", "footer"), ('<nav aria-label="Utility">', "</nav>", "utility-nav"),
+]
+_PLACEMENT = "CASE page_id % 6 " + " ".join(f"WHEN {n} THEN '{place}'" for n, (_, _, place) in enumerate(SURROUNDINGS)) + " END"
+
+
+def surrounded_pages(spark, folder):
+    """The page table with its links in six kinds of surroundings."""
+    def tag(n):
+        return F.element_at(F.array(*[F.lit(row[n]) for row in SURROUNDINGS]), (F.col("page_id") % len(SURROUNDINGS) + 1).cast("int"))
+
+    html = F.replace(F.replace("html", F.lit("<nav>"), tag(0)), F.lit("</nav>"), tag(1))
+    return V.heavy_table(spark, folder, "pages", "page_id").withColumn("html", html)
+
+
 def nav_links(spark, folder):
     pages = V.canonical_pages(spark, folder).withColumn("is_homepage", U.url_path(F.col("url")) == "/")
     return L.page_links(pages.withColumn("links", link_array(F.col("html"))))
@@ -117,6 +136,48 @@ def link_targets(spark, folder):
     )
 
 
+@query(f"WITH {V.LINKS_SQL} SELECT DISTINCT site, target, text FROM links")
+def link_texts(spark, folder):
+    """The different texts of the links to every page."""
+    return L.link_texts(L.internal_edges(nav_links(spark, folder)))
+
+
+@query(f"""WITH {V.LINKS_SQL}, placed AS (SELECT site, source, target, {_PLACEMENT} AS place FROM links),
+  known AS (SELECT site, target AS url, list_sort(list_distinct(list(place))) AS placements, count(DISTINCT CASE WHEN place IN ('body', 'homepage-hero') THEN source END) AS inlinks FROM placed GROUP BY ALL)
+  SELECT site, url, 'internal-link' AS discovery_sources, array_to_string(placements, ',') AS placements, inlinks AS inlink_count FROM known""")
+def incremental_discovery(spark, folder):
+    """Pages known after the captures came in several micro-batches, with the signals of their links."""
+    root = checkpoint_folder(spark)
+    pages = surrounded_pages(spark, folder).select("page_id", "url", "html")
+    pages.repartition(3, "page_id").write.parquet(f"{root}/captures")
+    arriving = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/captures")
+    follow(arriving, f"{root}/targets", f"{root}/state").awaitTermination()
+    return known_targets(spark, f"{root}/targets").select(
+        "site", "url", F.array_join("discovery_sources", ",").alias("discovery_sources"), F.array_join("placements", ",").alias("placements"), "inlink_count")
+
+
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), nested AS (
+   SELECT page_id AS a, 0 AS place, (page_id * 3 + 1) % n AS b FROM pages, n UNION ALL SELECT page_id, 1, (page_id * 3 + 2) % n FROM pages, n
+   UNION ALL SELECT page_id, 2, (page_id * page_id) % n FROM pages, n UNION ALL SELECT page_id, 3, (page_id * 3 + 1) % n FROM pages, n),
+ walk(node, path) USING KEY (node) AS (SELECT CAST(5 AS BIGINT), [0] UNION SELECT e.b, min(list_append(w.path, e.place)) FROM walk w JOIN nested e ON e.a = w.node
+   WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.node = e.b) GROUP BY e.b)
+ SELECT 'https://maps.example.com/m' || node || '.xml' AS sitemap_url, CAST(row_number() OVER (ORDER BY len(path), path) AS INTEGER) AS visit FROM walk""")
+def sitemap_walk(spark, folder):
+    """Sitemap documents made of the pages, nested in cycles and with repeated children, in the order of a queue."""
+    pages = V.canonical_pages(spark, folder).select("page_id")
+    n, k = F.lit(pages.count()), F.col("page_id")
+
+    def name(number):
+        return F.concat(F.lit("https://maps.example.com/m"), number.cast("string"), F.lit(".xml"))
+
+    children = [F.concat(F.lit("<sitemap><loc>"), name(c % n), F.lit("</loc></sitemap>")) for c in (k * 3 + 1, k * 3 + 2, k * k, k * 3 + 1)]
+    xml = F.concat(F.lit("<sitemapindex>"), *children, F.lit("</sitemapindex>"))
+    entries = parse_sitemaps(pages.select(F.lit("maps.example.com").alias("site"), name(k).alias("sitemap_url"), xml.alias("xml")))
+    nested = entries.select("site", F.col("sitemap_url").alias("source"), "at", F.col("loc").alias("target"))
+    seeds = spark.range(1).select(F.lit("maps.example.com").alias("site"), F.lit(0).alias("at"), name(F.lit(5)).alias("node"))
+    return walk(nested, seeds, None).select(F.col("node").alias("sitemap_url"), "visit")
+
+
 @query(f"""WITH {V.PART_PAGES_SQL} SELECT url, own_source || CASE WHEN linked THEN ',internal-link' ELSE '' END AS discovery_sources,
   array_to_string(list_sort(placements), ',') AS placements, inlink_count FROM part_signals""")
 def edge_target_join(spark, folder):
@@ -213,10 +274,10 @@ def external_urls(spark, folder):
 
 @query(f"""SELECT page_id, {V.clean_sql("replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&')")} AS title,
   regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, len(regexp_extract_all(html, '<a [^>]*href=')) AS links,
-  len(regexp_extract_all(html, '<h[123]')) AS headings, 'primary-nav' AS placements FROM pages""")
+  len(regexp_extract_all(html, '<h[123]')) AS headings, {_PLACEMENT} AS placements FROM pages""")
 def html_outline(spark, folder):
     """Title, language, headings, links and link placements read from the parsed HTML."""
-    read = V.heavy_table(spark, folder, "pages", "page_id").withColumn("_c", capture_html(F.col("html")))
+    read = surrounded_pages(spark, folder).withColumn("_c", capture_html(F.col("html")))
     return read.select(
         "page_id", F.col("_c.title").alias("title"), F.col("_c.language").alias("language"), F.size("_c.links").alias("links"),
         F.size("_c.headings").alias("headings"),
@@ -224,7 +285,11 @@ def html_outline(spark, folder):
     )
 
 
-@query()
+@query("""WITH art AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+ cut AS (SELECT page_id, trim(regexp_extract(a, '<h1>([^<]*)</h1>', 1)) AS heading, string_split(regexp_extract(a, '(?s)</h1>(.*)$', 1), '<p>') AS ps FROM art),
+ each AS (SELECT page_id, heading, i, CASE WHEN contains(ps[i], '<b>') THEN array_to_string(ps[i:], '') ELSE ps[i] END AS raw FROM cut, unnest(range(2, len(ps) + 1)) AS r(i)),
+ read AS (SELECT page_id, i, replace(replace(heading, '&quot;', '"'), '&amp;', '&') AS heading, trim(replace(replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&')) AS text FROM each)
+ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS position, heading, 'p' AS element, text FROM read WHERE length(text) >= 2""")
 def html_sections(spark, folder):
     """Sections of every page: heading, element and text of the copy."""
     read = V.heavy_table(spark, folder, "pages", "page_id").select("page_id", capture_html(F.col("html")).alias("_c"))
@@ -233,10 +298,10 @@ def html_sections(spark, folder):
     )
 
 
-@query("""SELECT page_id, 'primary-nav' AS placement, len(regexp_extract_all(html, '<a [^>]*href=')) AS links FROM pages""")
+@query(f"""SELECT page_id, {_PLACEMENT} AS placement, len(regexp_extract_all(html, '<a [^>]*href=')) AS links FROM pages""")
 def rendered_placements(spark, folder):
     """Links by placement, read the way a rendered page shows them."""
-    read = V.heavy_table(spark, folder, "pages", "page_id").select("page_id", capture_html(F.col("html"), True).alias("_c"))
+    read = surrounded_pages(spark, folder).select("page_id", capture_html(F.col("html"), True).alias("_c"))
     return read.select("page_id", F.explode("_c.links").alias("_l")).groupBy("page_id", F.col("_l.placement").alias("placement")).agg(
         F.count(F.lit(1)).alias("links"))
 

@@ -59,6 +59,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise AuditError("CHECKPOINT_DIR_MISSING", "Set spark.checkpoint.dir to a folder every executor can reach.")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """A new place in the shared checkpoint folder."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from there.
 
@@ -66,8 +72,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     they join.
     """
     spark = df.sparkSession
-    _ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = checkpoint_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
