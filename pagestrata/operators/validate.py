@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestrata import constants as C
+from pagestrata.errors import AuditError
 
 PROVENANCE = "INVALID_PROVIDER_PROVENANCE"
 RESPONSE = "INVALID_PROVIDER_RESPONSE"
+# The fields of an evaluation that rules look at.
+CHECKED = [
+    "page_type", "status", "confidence", "messaging_impact", "audience_relevance", "funnel_importance", "proof_gap", "update_efficiency",
+    "affected_sections",
+]
 
 
 def _violation(key: Column, code: str, message: Column) -> list[Column]:
@@ -70,76 +76,88 @@ def unknown_message_ids(claims: DataFrame, messages: DataFrame) -> DataFrame:
     return used.join(messages.select("message_id"), "message_id", "left_anti")
 
 
+def authority_values(messages: DataFrame) -> tuple[str, list[str]]:
+    """The text and the ids of an authority, which is at most a million characters: judged before it is read."""
+    most = C.DEFAULT_LIMITS.messaging_characters
+    size = messages.agg(F.sum(F.length("source_excerpt") + F.length("message_id")).alias("n")).first().n or 0
+    if size > 2 * most:
+        raise AuditError("MESSAGING_TOO_LARGE", f"The messages hold more than {most:,} characters.")
+    order = "at" if "at" in messages.columns else "message_id"
+    rows = messages.orderBy(order).select("message_id", "source_excerpt").collect()
+    return "\n".join(r.source_excerpt or "" for r in rows), [r.message_id for r in rows]
+
+
+def tagged_evaluations(evaluations: DataFrame, pages: DataFrame, authority: str, message_ids: list[str]) -> DataFrame:
+    """Every evaluation, and every page without one, with all the rules it breaks: page_id, problems(code, message).
+
+    One pass: evaluations and pages (page_id, sections) meet once on the page id, and each row is held
+    against all rules where it stands. The authority is one bounded text.
+    """
+    known = pages.select("page_id", page_text(F.col("sections")).alias("_text"), F.lit(True).alias("_known"))
+    copies = F.count(F.lit(1)).over(Window.partitionBy("page_id"))
+    met = evaluations.withColumns({"_copies": copies, "_given": F.lit(True)}).join(known, "page_id", "full")
+    given, wanted = F.col("_given").isNotNull(), F.col("_known").isNotNull()
+    quotes, ids = F.lit(authority), F.array(*map(F.lit, message_ids)).cast("array<string>")
+
+    def some(test) -> Column:
+        return F.coalesce(F.exists("affected_sections", test), F.lit(False))
+
+    def quoted(field: str, text: Column):
+        return lambda s: (F.coalesce(s[field], F.lit("")) != "") & ~F.coalesce(F.contains(text, s[field]), F.lit(False))
+
+    scores = ["messaging_impact", "audience_relevance", "funnel_importance", "proof_gap", "update_efficiency"]
+    whole = F.col("page_type").isin(C.PAGE_TYPES) & F.col("confidence").isin(C.CONFIDENCES)
+    whole = whole & F.col("status").isin([s for s in C.ANALYSIS_STATUSES if s != "analysis-failed"])
+    for name in scores:
+        whole = whole & F.col(name).between(0, 100)
+    whole = whole & ~some(lambda s: ~F.coalesce(s["action"].isin(C.SECTION_ACTIONS), F.lit(False)))
+    name = F.col("page_id")
+    rules = [
+        (given & (~wanted | (F.col("_copies") > 1)), RESPONSE, F.lit("Provider returned an unknown or duplicate page ID.")),
+        (~given, RESPONSE, F.lit("Provider did not return exactly one evaluation for every supplied page.")),
+        (some(quoted("current_excerpt", F.col("_text"))), PROVENANCE, F.concat(F.lit("Page excerpt for "), name, F.lit(" is not verbatim."))),
+        (some(quoted("message_excerpt", quotes)), PROVENANCE, F.concat(F.lit("Messaging excerpt for "), name, F.lit(" is not verbatim."))),
+        (some(lambda s: F.size(F.array_except(s["message_ids"], ids)) > 0), PROVENANCE,
+         F.concat(F.lit("Evaluation for "), name, F.lit(" references an unknown message ID."))),
+        (given & ~F.coalesce(whole, F.lit(False)), RESPONSE, F.lit("Page evaluation breaks its contract.")),
+    ]
+    problems = F.array(*[F.when(broken, F.struct(F.lit(code).alias("code"), message.alias("message"))) for broken, code, message in rules])
+    return met.select("page_id", F.array_compact(problems).alias("problems"))
+
+
+def _violations(tagged: DataFrame) -> DataFrame:
+    each = tagged.select(F.col("page_id").alias("key"), F.explode("problems").alias("_p"))
+    return each.select("key", "_p.code", "_p.message").distinct()
+
+
 def evaluation_violations(evaluations: DataFrame, pages: DataFrame, messages: DataFrame) -> DataFrame:
-    """Everything wrong with evaluator output for the pages it was given.
+    """Everything wrong with evaluator output for the pages it was given: key, code, message."""
+    return _violations(tagged_evaluations(evaluations, pages, *authority_values(messages)))
+
 
-    ``pages`` has page_id and sections. The authority text is the model's excerpts joined; a model
-    is at most one million characters, so that text is a single bounded value.
+def tagged_reviews(reviews: DataFrame, pages: DataFrame, roles: list[str]) -> DataFrame:
+    """Every reviewed or supplied page with the rules its reviews break: page_id, problems(code, message).
+
+    Each of the roles decides once on every page; decisions of a page are combined map-side.
     """
-    twice = evaluations.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(
-        *_violation(F.col("page_id"), RESPONSE, F.lit("Provider returned an unknown or duplicate page ID."))
-    )
-    unknown = evaluations.select("page_id").join(pages.select("page_id"), "page_id", "left_anti").select(
-        *_violation(F.col("page_id"), RESPONSE, F.lit("Provider returned an unknown or duplicate page ID."))
-    )
-    missing = pages.select("page_id").join(evaluations.select("page_id"), "page_id", "left_anti").select(
-        *_violation(F.col("page_id"), RESPONSE, F.lit("Provider did not return exactly one evaluation for every supplied page."))
-    )
-    claims = excerpt_claims(evaluations)
-    texts = pages.select("page_id", page_text(F.col("sections")).alias("text"))
-    paraphrased = check_page_excerpts(claims, texts).where(~F.col("verbatim")).select(
-        *_violation(F.col("page_id"), PROVENANCE, F.concat(F.lit("Page excerpt for "), F.col("page_id"), F.lit(" is not verbatim.")))
-    )
-    order = "at" if "at" in messages.columns else "message_id"
-    too_long = F.sum(F.length("source_excerpt")) > C.DEFAULT_LIMITS.messaging_characters
-    joined = F.array_join(F.array_sort(F.collect_list(F.struct(order, "source_excerpt")))["source_excerpt"], "\n")
-    authority = messages.agg(
-        F.when(too_long, F.raise_error(F.lit("MESSAGING_TOO_LARGE"))).otherwise(joined).alias("_authority")
-    ).withColumn("_one", F.lit(1))
-    quoted = (
-        claims.where(F.coalesce("message_excerpt", F.lit("")) != "").withColumn("_one", F.lit(1))
-        .join(F.broadcast(authority), "_one")
-        .where(~F.contains(F.col("_authority"), F.col("message_excerpt")))
-        .select(*_violation(F.col("page_id"), PROVENANCE,
-                            F.concat(F.lit("Messaging excerpt for "), F.col("page_id"), F.lit(" is not verbatim."))))
-    )
-    unknown_ids = unknown_message_ids(claims, messages).select(
-        *_violation(F.col("page_id"), PROVENANCE,
-                    F.concat(F.lit("Evaluation for "), F.col("page_id"), F.lit(" references an unknown message ID.")))
-    )
-    score_columns = ["messaging_impact", "audience_relevance", "funnel_importance", "proof_gap", "update_efficiency"]
-    in_range = F.lit(True)
-    for name in score_columns:
-        in_range = in_range & F.coalesce(F.col(name).between(0, 100), F.lit(False))
-    valid = (
-        in_range & F.col("page_type").isin(C.PAGE_TYPES) & F.col("confidence").isin(C.CONFIDENCES)
-        & F.col("status").isin([s for s in C.ANALYSIS_STATUSES if s != "analysis-failed"])
-        & F.forall("affected_sections", lambda s: s["action"].isin(C.SECTION_ACTIONS))
-    )
-    malformed = evaluations.where(~F.coalesce(valid, F.lit(False))).select(
-        *_violation(F.col("page_id"), RESPONSE, F.lit("Page evaluation breaks its contract."))
-    )
-    parts = [twice, unknown, missing, paraphrased, quoted, unknown_ids, malformed]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    decided = F.coalesce(F.col("role").isin(roles) & F.col("decision").isin("approve", "reject"), F.lit(False))
+    counts = reviews.groupBy("page_id").agg(
+        F.count_if(~decided).alias("_wrong"), *[F.count_if(decided & (F.col("role") == role)).alias(f"_n{i}") for i, role in enumerate(roles)])
+    met = counts.join(pages.select("page_id", F.lit(True).alias("_known")), "page_id", "full")
+    per_role = F.array(*[F.coalesce(f"_n{i}", F.lit(0)) for i in range(len(roles))])
+    wanted = F.col("_known").isNotNull()
+    rules = [
+        (F.col("_wrong") > 0, "Approval reviewer returned the wrong role."),
+        (~wanted | F.exists(per_role, lambda n: n > 1), "Approval reviewer returned an unknown or duplicate page ID."),
+        (wanted & F.exists(per_role, lambda n: n == 0), "Approval reviewer did not return exactly one decision for every page."),
+    ]
+    problems = F.array(*[F.when(broken, F.struct(F.lit(RESPONSE).alias("code"), F.lit(text).alias("message"))) for broken, text in rules])
+    return met.select("page_id", F.array_compact(problems).alias("problems"))
 
 
 def review_violations(reviews: DataFrame, pages: DataFrame, role: str) -> DataFrame:
     """A reviewer must give exactly one decision, in its own role, for every page."""
-    wrong = reviews.where((F.col("role") != role) | ~F.col("decision").isin("approve", "reject")).select(
-        *_violation(F.col("page_id"), RESPONSE, F.lit("Approval reviewer returned the wrong role."))
-    )
-    per_page = reviews.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n"))
-    joined = per_page.join(pages.select("page_id", F.lit(True).alias("_known")), "page_id", "full")
-    count = F.coalesce("_n", F.lit(0))
-    problem = joined.where((count != 1) | F.col("_known").isNull()).select(
-        *_violation(F.col("page_id"), RESPONSE, F.when(
-            count == 0, "Approval reviewer did not return exactly one decision for every page."
-        ).otherwise("Approval reviewer returned an unknown or duplicate page ID."))
-    )
-    return wrong.unionByName(problem)
+    return _violations(tagged_reviews(reviews, pages, [role]))
 
 
 def artifact_violations(inventory: DataFrame, report: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ from pagestrata.operators import inventory as I
 from pagestrata.operators import records as K
 from pagestrata.operators import report as P
 from pagestrata.operators import review as R
+from pagestrata.operators import validate as V
 from pagestrata.operators.selection import pack_batches, ranked
-from pagestrata.operators.validate import artifact_violations
 from pagestrata.plans.ingest import build_inventory
 from pagestrata.session import cut_lineage, progress
 from pagestrata.sources import tables as T
@@ -84,7 +84,7 @@ def run_audit(
     inventory = rows.join(identity, "site")
     report = report.join(identity, "site")
     taxonomy = I.taxonomy(pages)
-    K.require_none(artifact_violations(inventory, report).where(F.col("code") == "INVALID_ARTIFACT"),
+    K.require_none(V.artifact_violations(inventory, report).where(F.col("code") == "INVALID_ARTIFACT"),
                    "INVALID_ARTIFACT", "An artifact breaks its contract.")
     progress("report", "passed", run_id=run)
     markdown = P.render_markdown(report, sites, I.notable_rows(rows), taxonomy)
@@ -137,9 +137,23 @@ def evaluate_selected(selected, authority, evaluator, now, store, retry_quaranti
     answered = fresh.unionByName(repaired).join(routed.select("page_id", "page", "page_type", *identity[1:]), "page_id")
     good = answered.where(F.col("error_code").isNull())
 
+    # What is used, new or kept, quotes its page and the authority word for word and keeps its contract.
+    given = good.select("page_id", "evaluation", "page").unionByName(
+        reused.select("page_id", "evaluation").join(routed.select("page_id", "page"), "page_id"))
+    checked = V.tagged_evaluations(
+        given.select("page_id", *[F.col(f"evaluation.{c}").alias(c) for c in V.CHECKED]), given.select("page_id", "page.sections"),
+        "\n".join(m.get("source_excerpt") or "" for m in authority.messages), [m["message_id"] for m in authority.messages])
+    K.require_none(checked.where(F.size("problems") > 0), "INVALID_PROVIDER_RESPONSE", "Evaluations break their contract.")
+    if enabled:
+        K.require_none(K.cache_mismatches(cache.join(routed.where(F.col("route") == "reuse").select("input_digest"), "input_digest", "left_semi"),
+                                          authority.model_digest, config).select("input_digest"),
+                       "EVALUATION_CACHE_MISMATCH", "A cached evaluation does not match the analysis input or the evaluator.")
+
     # 3. The gate over new answers.
     if enabled:
-        reviews = R.complete_reviews(good, review_pages(good, evaluator, authority.messages))
+        reviews = cut_lineage(R.complete_reviews(good, review_pages(good, evaluator, authority.messages)))
+        K.require_none(V.tagged_reviews(reviews, good.select("page_id"), C.APPROVAL_ROLES).where(F.size("problems") > 0),
+                       "INVALID_PROVIDER_RESPONSE", "Reviews are not one decision of every role for every page.")
         gates = cut_lineage(R.approval_gate(reviews)).select("page_id", "gate_status", "reviews")
         judged = good.join(gates, "page_id")
     else:

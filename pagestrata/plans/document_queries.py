@@ -182,6 +182,29 @@ def unknown_reference_anti(spark, folder):
     return VA.unknown_message_ids(claims(spark, folder), messages).select("page_id", "message_id")
 
 
+@query(f"""WITH {_CLAIMS_SQL}, given AS (SELECT page_id, doc_id, current_excerpt, message_id, text, toxic = 1 AS twice FROM claims JOIN labels USING (doc_id))
+  SELECT page_id AS key, 'INVALID_PROVIDER_RESPONSE' AS code, 'Provider returned an unknown or duplicate page ID.' AS message FROM given WHERE twice
+  UNION ALL SELECT 'page_' || doc_id, 'INVALID_PROVIDER_RESPONSE', 'Provider did not return exactly one evaluation for every supplied page.'
+    FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM given)
+  UNION ALL SELECT page_id, 'INVALID_PROVIDER_PROVENANCE', 'Page excerpt for ' || page_id || ' is not verbatim.' FROM given WHERE current_excerpt <> '' AND NOT contains(text, current_excerpt)
+  UNION ALL SELECT page_id, 'INVALID_PROVIDER_PROVENANCE', 'Evaluation for ' || page_id || ' references an unknown message ID.' FROM given
+    WHERE message_id NOT IN (SELECT message_id FROM model)""")
+def batch_contract(spark, folder):
+    """All rules that evaluations break, in one pass: those of toxic documents come twice, unlabelled documents have none."""
+    section = F.struct(F.lit("h").alias("heading"), "current_excerpt", "message_ids", F.lit("").alias("message_excerpt"),
+                       F.lit("change").alias("action"), F.lit("g").alias("guidance"))
+    valid = {"page_type": F.lit("other"), "status": F.lit("conflict"), "confidence": F.lit("high"),
+             **{c: F.lit(1.0) for c in VA.CHECKED if c not in ("page_type", "status", "confidence", "affected_sections")}}
+    rows = claims(spark, folder).withColumn("affected_sections", F.array(section)).withColumns(valid)
+    times = F.when(F.col("changed"), 2).otherwise(1)
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select("page_id", *VA.CHECKED)
+    texts = V.table(spark, folder, "documents").select(
+        F.concat(F.lit("page_"), F.col("doc_id").cast("string")).alias("page_id"), F.array(F.struct(F.col("text"))).alias("sections"))
+    messages = V.table(spark, folder, "benchmark").select(
+        F.concat(F.lit("msg_"), F.col("item_id").cast("string")).alias("message_id"), F.col("text").alias("source_excerpt"))
+    return VA.evaluation_violations(rows, texts, messages)
+
+
 @query("""WITH located AS (SELECT 'msg_' || doc_id AS message_id, doc_id, string_split(text, chr(10)) AS ls, quality FROM documents JOIN labels USING (doc_id))
   SELECT message_id AS key, 'INVALID_PROVIDER_PROVENANCE' AS code FROM located WHERE quality = 0 AND NOT contains(ls[1], '~' || ls[1])""")
 def message_provenance(spark, folder):
