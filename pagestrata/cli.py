@@ -60,7 +60,7 @@ def audit(spark, args) -> dict:
     observed = args.observed_at or now()
     given = acquired(spark, {**vars(args), "observed_at": observed}, limits)
     result = run_audit(given.pages, authority_of(documents, artifact, "frozen" if frozen else "live"), evaluator, observed,
-                       args.store, args.retry_quarantined, limits, args.domain or "pages", given.sources)
+                       args.store, args.retry_quarantined, limits, args.domain or "pages", given.sources, given.inventory)
     persist(result, args.out)
     if given.sources is not None:
         T.write_once(given.sources, f"{args.out}/{result.run_id}/archive_sources")
@@ -128,7 +128,7 @@ def parser() -> argparse.ArgumentParser:
         sub.set_defaults(run=run, **({"evaluator": "pagestrata.evaluator:RuleEvaluator"} if "evaluator" in optional else {}))
 
     sources = {n: str for n in (
-        "domain", "repository", "repository_tree", "repository_name", "commit", "ref", "bundle", "saved_html", "common_crawl", "collection_list",
+        "domain", "repository", "repository_tree", "repository_name", "commit", "ref", "crawl", "bundle", "saved_html", "common_crawl", "collection_list",
         "wayback", "wayback_latest")}
     command("audit", audit, "messaging", "out", **sources, archives=bool, deadline=float, model=str, store=str, evaluator=str, observed_at=str,
             retry_quarantined=bool, **{n: int for n in LIMIT_FLAGS})

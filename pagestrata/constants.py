@@ -13,7 +13,7 @@ from pagestrata.errors import AuditError
 
 @dataclass(frozen=True)
 class Limits:
-    """Caps of one audit. A run may lower them, never raise them."""
+    """Caps of one audit. A run may lower them; who wants more than the reference's values says so with ``raised``."""
 
     discovered: int = 5_000
     fetched: int = 250
@@ -30,11 +30,17 @@ class Limits:
 
     def lowered(self, **overrides: int) -> "Limits":
         for name, value in overrides.items():
-            top = getattr(DEFAULT_LIMITS, name)
+            top = getattr(self, name)
             if not 1 <= value <= top:
                 raise AuditError("USAGE", f"{name} must be between 1 and {top}.")
         return replace(self, **overrides)
 
+    def raised(self, **overrides: int) -> "Limits":
+        """Other limits, higher ones too: URLs, pages and text beyond the reference's values are then kept."""
+        if any(value < 1 for value in overrides.values()):
+            raise AuditError("USAGE", "A limit must be at least 1.")
+        return replace(self, **overrides)
+
     def as_dict(self) -> dict:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 

@@ -58,20 +58,20 @@ def run_id(spark, observed_at: str, authority: Authority, limits: Limits, scope:
 
 
 def run_audit(
-    raw: DataFrame, authority: Authority, evaluator: Evaluator, observed_at: str,
+    raw: DataFrame | None, authority: Authority, evaluator: Evaluator, observed_at: str,
     store: str | None = None, retry_quarantined: bool = False, limits: Limits = DEFAULT_LIMITS, scope: str = "pages",
-    archives: DataFrame | None = None,
+    archives: DataFrame | None = None, inventory: tuple[DataFrame, DataFrame] | None = None,
 ) -> Audit:
-    """Audit the raw pages of one or many sites.
+    """Audit the raw pages of one or many sites, or the inventory of a crawl (pages and links) in their place.
 
     ``store`` is the folder of the cache, ledger and adjudication tables; without it every page is
     evaluated and the gate does not run. ``archives`` is the source summary of the archives the pages
     come from: coverage is then measured against their index, and not at all for several archives.
     """
-    spark = raw.sparkSession
+    spark = (raw if inventory is None else inventory[0]).sparkSession
     now = F.lit(observed_at).cast("timestamp")
     progress("inventory", "started", scope=scope)
-    pages, links = build_inventory(raw, now, limits)
+    pages, links = build_inventory(raw, now, limits) if inventory is None else inventory
     pages = cut_lineage(pages.withColumn("page_id", stable_id("page", F.col("url"))))
     selected = ranked(pages)
     progress("analysis", "started", gate=store is not None)

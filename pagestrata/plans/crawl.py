@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata.constants import DEFAULT_LIMITS, Limits
+from pagestrata.errors import AuditError
 from pagestrata.functions import urls as U
 from pagestrata.functions.html import capture_html
 from pagestrata.functions.text import pinned, sections_digest
@@ -16,11 +17,29 @@ from pagestrata.operators.robots import with_robots
 from pagestrata.operators.selection import select_for_analysis, selection_scores, truncate_sections
 from pagestrata.operators.skew import key_counts, split_join
 from pagestrata.session import cut_lineage
+from pagestrata.sources.common import RAW_PAGE
 
 # Depth of a page that is linked only from pages whose own depth is unknown.
 FAR = 4
 
 
+def newest_captures(captures: DataFrame) -> DataFrame:
+    """One capture per canonical URL: the newest by ``captured_at`` or, without that, by ``page_id``."""
+    moment = next((c for c in ("captured_at", "page_id") if c in captures.columns), None)
+    read = pinned(captures, url=U.canonical_url(F.col("url"))).where(F.col("url").isNotNull())
+    order = F.struct(*([F.col(moment)] if moment else []), F.xxhash64("html"))
+    return read.groupBy("url").agg(F.max_by("html", order).alias("html")).withColumn("site", U.url_host(F.col("url")))
+
+
+def allowed_homes(primary: DataFrame, rules: DataFrame) -> DataFrame:
+    """The sites whose robots rules allow their homepage; it is an error if none does."""
+    judged = cut_lineage(with_robots(primary.withColumn("url", F.col("primary_url")), rules))
+    allowed = judged.where("robots_allowed").select(*primary.columns)
+    if allowed.isEmpty() and not judged.isEmpty():
+        raise AuditError("ROBOTS_BLOCKED", "robots.txt does not permit auditing the homepage.")
+    return allowed
+
+
 def crawl_inventory(
     captures: DataFrame, primary: DataFrame, rules: DataFrame, sitemap: DataFrame, observed_at: Column,
     limits: Limits = DEFAULT_LIMITS,
@@ -30,11 +49,11 @@ def crawl_inventory(
     ``captures`` (url, html) are rendered pages that were landed, ``primary`` (site, primary_url) the
     homepages, ``rules`` and ``sitemap`` the results of the robots and sitemap readers. Every page of
     a site that was captured contributes its links; the best candidates up to the fetch limit are the
-    crawled ones, and those among them without a capture have failed.
+    crawled ones, and those among them without a capture have failed. Sites whose rules forbid their
+    homepage are left out. Of several captures of a page the newest counts.
     """
-    read = pinned(captures, url=U.canonical_url(F.col("url"))).where(F.col("url").isNotNull())
-    read = read.withColumn("site", U.url_host(F.col("url"))).dropDuplicates(["url"])
-    read = split_join(read, primary, ["site"], "inner", ["url"])
+    primary = allowed_homes(primary, rules)
+    read = split_join(newest_captures(captures), primary, ["site"], "inner", ["url"])
     pages = cut_lineage(
         read.withColumn("_c", capture_html(F.col("html"), True))
         .select(
@@ -71,11 +90,12 @@ def crawl_inventory(
     judged = joined.withColumns({
         "status": status, "error_code": F.when(missing, "RENDER_FAILED"), "is_homepage": F.col("url") == F.col("primary_url"),
         "method": F.lit("public-crawl"), "source_name": F.col("primary_url"), "acquired_at": observed_at,
-        "source_observed_at": F.lit(None).cast("timestamp"),
+        **{c: F.lit(None).cast(RAW_PAGE[c]) for c in RAW_PAGE if c.startswith("archive_") or c in ("source_observed_at", "repository_source")},
         # Content belongs to the page that is visited first.
         "ordinal": -F.coalesce("frontier_score", F.lit(0.0)),
     }).drop("_crawled", "frontier_score")
     marked = I.mark_duplicates(I.with_classification(judged))
-    scored = cut_lineage(selection_scores(E.with_readiness(E.score_evidence(marked, observed_at))))
+    evidence = E.page_archive_sources(E.score_evidence(marked, observed_at), observed_at)
+    scored = cut_lineage(selection_scores(E.with_readiness(evidence)))
     return select_for_analysis(scored, limits.analyzed, limits.analyzed_characters), links
 

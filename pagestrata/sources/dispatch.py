@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +14,31 @@ from pagestrata.constants import DEFAULT_LIMITS, Limits
 from pagestrata.errors import AuditError
 from pagestrata.operators.records import require_none
 from pagestrata.operators.reconcile import best_records, source_summary, split_limits
+from pagestrata.operators.robots import robots_lines, robots_rules, sitemap_urls
 from pagestrata.operators.skew import top_k
 from pagestrata.session import cut_lineage, with_deadlines
 from pagestrata.sources import archives as A
 from pagestrata.sources import repositories as RP
 from pagestrata.sources.bundles import ingest_bundles, ingest_saved_html
 from pagestrata.sources.common import https_home, require_homepage
+from pagestrata.sources.sitemaps import discover
+from pagestrata.sources.tables import read_or_empty
 
 # Sources in order of precedence.
-ORDER = ["repository", "repository_tree", "bundle", "saved_html", "common_crawl", "wayback", "archives"]
+ORDER = ["repository", "repository_tree", "crawl", "bundle", "saved_html", "common_crawl", "wayback", "archives"]
+
+
+@dataclass
+class Acquired:
+    """Raw pages, or the inventory of a crawl (pages and links) in their place.
+
+    For archives also the summary per source and every failure (site, method, url, code).
+    """
+
+    pages: DataFrame | None
+    sources: DataFrame | None = None
+    failures: DataFrame | None = None
+    inventory: tuple[DataFrame, DataFrame] | None = None
 
 
 def _home(spark: SparkSession, domain: str) -> DataFrame:
@@ -47,6 +64,31 @@ def _repository_tree(spark, options, limits):
     )
 
 
+def _crawl(spark, options, limits) -> Acquired:
+    """``crawl`` is a folder with captures (url, html and maybe captured_at), robots.txt and sitemaps (sitemap_url, xml)."""
+    from pagestrata.plans.crawl import crawl_inventory
+
+    root = options["crawl"].rstrip("/")
+    primary = _home(spark, options["domain"])
+    home = primary.first()
+    site = F.lit(home.site).alias("site")
+    try:
+        files = cut_lineage(spark.read.text(f"{root}/robots.txt", wholetext=True).select(site, F.col("value").alias("text")))
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error.getCondition()):
+            raise
+        files = spark.createDataFrame([], "site string, text string")
+    lines = robots_lines(files)
+    rules, seeds = cut_lineage(robots_rules(lines)), sitemap_urls(lines)
+    if seeds.isEmpty():
+        seeds = spark.createDataFrame([(home.site, 0, f"https://{home.site}/sitemap.xml")], "site string, line int, sitemap_url string")
+    documents = read_or_empty(spark, f"{root}/sitemaps", "sitemap_url string, xml string").select(site, "sitemap_url", "xml")
+    sitemap = discover(documents, seeds, rules, limits.discovered - 1, limits.sitemap_documents)
+    pages, links = crawl_inventory(spark.read.parquet(f"{root}/captures"), primary, rules, sitemap["urls"].select("site", "url"),
+                                   F.lit(options["observed_at"]).cast("timestamp"), limits)
+    return Acquired(None, failures=sitemap["failures"], inventory=(pages, links))
+
+
 @dataclass
 class ArchiveRun:
     """What one archive gave: pages, failures (site, method, url, code), and the facts of its index per site."""
@@ -172,6 +214,7 @@ def _archives(spark, options, limits) -> tuple[DataFrame, DataFrame, DataFrame]:
 READERS: dict[str, Callable] = {
     "repository": _repository,
     "repository_tree": _repository_tree,
+    "crawl": _crawl,
     "bundle": lambda spark, options, limits: ingest_bundles(spark, options["bundle"]),
     "saved_html": lambda spark, options, limits: ingest_saved_html(spark, options["saved_html"], options["observed_at"]),
     "common_crawl": _common_crawl,
@@ -180,15 +223,6 @@ READERS: dict[str, Callable] = {
 }
 
 
-@dataclass
-class Acquired:
-    """Raw pages; for archives also the summary per source and every failure (site, method, url, code)."""
-
-    pages: DataFrame
-    sources: DataFrame | None = None
-    failures: DataFrame | None = None
-
-
 def acquired(spark: SparkSession, options: dict, limits: Limits = DEFAULT_LIMITS) -> Acquired:
     """What the source the options name gives; it must be exactly one."""
     named = [name for name in ORDER if options.get(name)]
@@ -197,6 +231,8 @@ def acquired(spark: SparkSession, options: dict, limits: Limits = DEFAULT_LIMITS
     if len(named) != 1:
         raise AuditError("USAGE", "Name exactly one page source: " + ", ".join(ORDER) + ".")
     given = READERS[named[0]](spark, options, limits)
+    if isinstance(given, Acquired):
+        return given
     if isinstance(given, tuple):
         given = Acquired(*given)
     elif isinstance(given, ArchiveRun):

@@ -53,6 +53,26 @@ def test_commands(spark, tmp_path, capsys):
     assert run("audit", "--messaging", path("m.md"), "--out", path("o2"))["code"] == "USAGE"
 
 
+def test_audit_of_a_landed_crawl(spark, tmp_path, capsys):
+    """Captures, robots file and sitemaps on disk; the newest capture of a page counts; forbidden homepages stop the run."""
+    page = "<html><title>{0}</title><nav><a href='/pricing'>P</a></nav><main><h1>{0}</h1><p>Legacy copy of {0}.</p></main></html>"
+    rows = [("https://example.com/", page.format("Old"), 1), ("https://example.com/?utm_source=x", page.format("Home"), 2), ("https://example.com/pricing", page.format("Plans"), 1)]
+    spark.createDataFrame(rows, "url string, html string, captured_at int").write.parquet(str(tmp_path / "crawl/captures"))
+    listed = "<urlset><url><loc>https://example.com/listed</loc></url></urlset>"
+    spark.createDataFrame([("https://example.com/map.xml", listed)], "sitemap_url string, xml string").write.parquet(str(tmp_path / "crawl/sitemaps"))
+    (tmp_path / "crawl/robots.txt").write_text("User-agent: *\nDisallow: /no\nSitemap: https://example.com/map.xml\n")
+    (tmp_path / "m.md").write_text("# Positioning\n\nOne platform replaces fragmented workflows.")
+    args = ["audit", "--messaging", str(tmp_path / "m.md"), "--crawl", str(tmp_path / "crawl"), "--domain", "https://example.com", "--observed-at", "2026-07-01T00:00:00Z"]
+    assert cli.main([*args, "--out", str(tmp_path / "out")]) == 0
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])["out"]
+    found = {r.url: r for r in spark.read.parquet(f"{out}/inventory").collect()}
+    assert {u[19:]: r.status for u, r in found.items()} == {"/": "rendered", "/pricing": "rendered", "/listed": "failed"}
+    assert found["https://example.com/"].title == "Home" and spark.read.parquet(f"{out}/report").count() == 2
+    (tmp_path / "crawl/robots.txt").write_text("User-agent: *\nDisallow: /\n")
+    assert cli.main([*args, "--out", str(tmp_path / "out2")]) == 1
+    assert json.loads(capsys.readouterr().err.strip().splitlines()[-1])["code"] == "ROBOTS_BLOCKED"
+
+
 def test_exactly_one_source(spark):
     with pytest.raises(AuditError):
         acquire(spark, {"bundle": "x", "wayback": "y"})
