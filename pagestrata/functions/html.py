@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from pagestrata.schemas import CAPTURE
 
-# Elements without content, elements whose content is not markup, and start tags that close an open element.
+# Fixed values, from the HTML standard: void elements, raw text elements, and the start tags before which an
+# end tag may be left out; with them the elements whose text counts as copy here.
 VOID = {
     "area", "base", "basefont", "br", "col", "command", "embed", "frame", "hr", "img", "input", "isindex",
     "keygen", "link", "meta", "param", "source", "track", "wbr",

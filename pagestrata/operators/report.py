@@ -22,6 +22,10 @@ LIMITATIONS = [
 ]
 
 
+# The notices, the evidence sentences and the introductions of the queues below are part of
+# the report's contract, word for word.
+
+
 def acquisition_notice(method: Column, source_name: Column) -> Column:
     """What a reader must know about where the page copy came from."""
     return (
@@ -112,7 +116,7 @@ TABLE_HEAD = (
 
 
 def evidence_line(summary: DataFrame) -> Column:
-    """The sentence on coverage: site inventory, archive retrieval or archive union."""
+    """The sentence on coverage: site inventory, archive retrieval or archive union (fixed wording)."""
     text = lambda c: F.col(c).cast("string")
     score = F.concat(F.lit(" Average evidence quality: **"), number(F.col("average_quality_score")), F.lit("/100**."))
     union = F.concat(
