@@ -181,22 +181,54 @@ def section_guidance() -> Column:
     return F.concat(facts, F.when(F.size("affected_sections") > 0, F.array_join(sections, "")).otherwise(none))
 
 
-def _blocks(rows: DataFrame, part: int, order: Column, text: Column) -> DataFrame:
-    return rows.select("site", F.lit(part).alias("part"), order.cast("string").alias("place"), text.alias("text"))
+def _blocks(rows: DataFrame, part: int, order: Column, text: Column, tight: bool = False) -> DataFrame:
+    """Pieces of text with their place in the document of their site; a tight one follows without a blank line."""
+    return rows.select("site", F.lit(part).alias("part"), order.cast("string").alias("place"), text.alias("text"), F.lit(tight).alias("tight"))
+
+
+def _lines(rows: DataFrame, part: int, head: Column, order: Column, line: Column) -> DataFrame:
+    """A head and a line per row below it; sites without rows have neither. No line waits for another."""
+    top = _blocks(rows.select("site").distinct(), part, F.lit(""), head)
+    return top.unionByName(_blocks(rows, part, order, line, True))
+
+
+def _rank() -> Column:
+    return F.lpad(F.col("report_rank").cast("string"), 12, "0")
 
 
 def _table(rows: DataFrame, part: int, title: str, intro: Column | None = None) -> DataFrame:
-    lines = rows.groupBy("site").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("report_rank", "_row"))), lambda r: r["_row"]), "\n").alias("_t")
-    )
     head = F.lit(f"## {title}\n\n") if intro is None else F.concat(F.lit(f"## {title}\n\n"), intro, F.lit("\n\n"))
-    return _blocks(lines, part, F.lit(""), F.concat(head, F.lit(TABLE_HEAD + "\n"), F.col("_t")))
+    return _lines(rows, part, F.concat(head, F.lit(TABLE_HEAD)), _rank(), F.col("_row"))
+
+
+def write_documents(blocks: DataFrame, path: str) -> None:
+    """The documents of all sites as text, under site=<host>, in files whose names are in order.
+
+    Blocks are dealt out by ranges of their place and sorted there, so the document of a site of any size is
+    written by as many tasks as it fills, and no task holds more of it than it writes.
+    """
+    order = ["site", "part", "place", "text"]
+    first = (F.col("part") == 0) | F.col("tight")
+    line = F.when(first, F.col("text")).otherwise(F.concat(F.lit("\n"), F.col("text")))
+    ranges = blocks.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges.select("site", line.alias("value")).write.mode("errorifexists").partitionBy("site").text(path)
 
 
 def render_markdown(pages: DataFrame, sites: DataFrame, notable: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """(site, markdown). ``pages`` are ranked report pages, ``sites`` one row per site with the
-    summary, evidence summary, inventory counts and run facts. A site has at most the analysis limit
-    of pages and the discovery limit of notable URLs, so its text is bounded."""
+    """(site, markdown): the documents as one value per site, for sites within the preset limits."""
+    return gathered(document_blocks(pages, sites, notable, taxonomy))
+
+
+def gathered(blocks: DataFrame) -> DataFrame:
+    """One text per site. With the preset limits a site has at most 150 analysed pages and 5,000 URLs."""
+    pieces = F.array_sort(F.collect_list(F.struct("part", "place", "text", "tight")))
+    body = F.array_join(F.transform(pieces, lambda b: F.concat(F.when(b["tight"], "\n").otherwise("\n\n"), b["text"])), "")
+    return blocks.groupBy("site").agg(F.concat(F.substring(body, 3, 1 << 30), F.lit("\n")).alias("markdown"))
+
+
+def document_blocks(pages: DataFrame, sites: DataFrame, notable: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """The blocks of every site's document: site, part, place, text, tight. ``pages`` are ranked report
+    pages, ``sites`` one row per site with the summary, evidence summary, inventory counts and run facts."""
     text = lambda c: F.col(c).cast("string")
     rows = pages.withColumn("_row", page_row())
     direct = F.col("method") == "public-crawl"
@@ -225,7 +257,7 @@ def render_markdown(pages: DataFrame, sites: DataFrame, notable: DataFrame, taxo
     reviews = F.array_join(F.transform("reviews", lambda r: F.concat(
         F.lit("- "), r["role"], F.lit(": **"), r["decision"], F.lit("** — "), r["rationale"],
         F.when(F.size(r["issue_codes"]) > 0, F.concat(F.lit(" ("), F.array_join(r["issue_codes"], ", "), F.lit(")"))).otherwise(""))), "\n")
-    rank = F.lpad(F.col("report_rank").cast("string"), 8, "0")
+    rank = _rank()
     parts.append(_blocks(rows.where(R.in_approval_queue()), 4, rank, F.concat(
         F.lit("### "), F.coalesce("title", "url"), F.lit("\n\n"), reviews)))
     decided = rows.where(F.col("adjudication.decision").isNotNull())
@@ -242,11 +274,9 @@ def render_markdown(pages: DataFrame, sites: DataFrame, notable: DataFrame, taxo
     parts.append(_table(rows, 7, "Complete Ranked Inventory"))
     parts.append(_blocks(sites, 8, F.lit(""), F.lit("## Page-Level Section Guidance")))
     parts.append(_blocks(rows.where(R.is_actionable()), 9, rank, section_guidance()))
-    types = taxonomy.groupBy("site").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("page_type", "pages"))),
-        lambda t: F.concat(F.lit("| "), t["page_type"], F.lit(" | "), t["pages"].cast("string"), F.lit(" |"))), "\n").alias("_t"))
-    parts.append(_blocks(types, 10, F.lit(""), F.concat(
-        F.lit("## Inferred Site Taxonomy\n\n| Page type | Discovered URLs |\n| --- | ---: |\n"), F.col("_t"))))
+    parts.append(_lines(
+        taxonomy, 10, F.lit("## Inferred Site Taxonomy\n\n| Page type | Discovered URLs |\n| --- | ---: |"), F.col("page_type"),
+        F.concat(F.lit("| "), F.col("page_type"), F.lit(" | "), text("pages"), F.lit(" |"))))
 
     def counts(pairs: list[tuple[str, str]]) -> Column:
         return F.concat_ws("\n", *[F.concat(F.lit(f"- {label}: "), text(column)) for label, column in pairs])
@@ -261,14 +291,11 @@ def render_markdown(pages: DataFrame, sites: DataFrame, notable: DataFrame, taxo
         ("Discovered", "discovered"), ("Fetched", "fetched"), ("Rendered unique pages", "rendered"),
         ("Deeply analyzed", "analyzed"), ("Excluded", "excluded"), ("Duplicate", "duplicate"), ("Failed", "failed"),
         ("Partial page captures", "partial")]))))
-    listed = notable.groupBy("site").agg(F.array_join(F.array_sort(F.collect_list(F.concat(
-        F.lit("| "), F.col("url"), F.lit(" | "), F.col("disposition"), F.lit(" | "), F.col("reason"), F.lit(" |")))), "\n").alias("_t"))
-    parts.append(_blocks(listed, 13, F.lit(""), F.concat(F.lit("| URL | Disposition | Reason |\n| --- | --- | --- |\n"), F.col("_t"))))
+    listed = F.concat(F.lit("| "), F.col("url"), F.lit(" | "), F.col("disposition"), F.lit(" | "), F.col("reason"), F.lit(" |"))
+    parts.append(_lines(notable, 13, F.lit("| URL | Disposition | Reason |\n| --- | --- | --- |"), listed, listed))
     limits = F.concat(
         F.lit("## Method and Limitations\n\n"), F.concat_ws("\n", *[F.lit(f"- {t}") for t in LIMITATIONS[:2]],
         F.concat(F.lit("- "), F.col("notice")), *[F.lit(f"- {t}") for t in LIMITATIONS[2:]]),
     )
     parts.append(_blocks(sites, 14, F.lit(""), limits))
-    blocks = reduce(DataFrame.unionByName, parts)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "place", "text"))), lambda b: b["text"]), "\n\n")
-    return blocks.groupBy("site").agg(F.concat(body, F.lit("\n")).alias("markdown"))
+    return reduce(DataFrame.unionByName, parts)

@@ -50,6 +50,7 @@ class Audit:
     counters: DataFrame
     markdown: DataFrame
     priorities: DataFrame
+    blocks: DataFrame
 
 
 def run_id(spark, observed_at: str, authority: Authority, limits: Limits, scope: str) -> str:
@@ -87,10 +88,10 @@ def run_audit(
     K.require_none(V.artifact_violations(inventory, report).where(F.col("code") == "INVALID_ARTIFACT"),
                    "INVALID_ARTIFACT", "An artifact breaks its contract.")
     progress("report", "passed", run_id=run)
-    markdown = P.render_markdown(report, sites, I.notable_rows(rows), taxonomy)
+    blocks = P.document_blocks(report, sites, I.notable_rows(rows), taxonomy)
     return Audit(
         run, pages, inventory, report, sites, taxonomy,
-        I.external_urls(links), counters, markdown, P.priority_map(report),
+        I.external_urls(links), counters, P.gathered(blocks), P.priority_map(report), blocks,
     )
 
 
@@ -276,3 +277,4 @@ def persist(audit: Audit, out: str, form: str = "parquet") -> None:
     folder = f"{out}/{audit.run_id}"
     for name in ("inventory", "report", "sites", "taxonomy", "priorities", "external_urls", "markdown"):
         T.write_once(getattr(audit, name), f"{folder}/{name}", form=form)
+    P.write_documents(audit.blocks, f"{folder}/documents")

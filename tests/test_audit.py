@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pagestrata.errors import AuditError
 from pagestrata.evaluator import RuleEvaluator
 from pagestrata.operators import records as K
+from pagestrata.operators import report
 from pagestrata.plans.audit import Authority, persist, run_audit
 from pagestrata.sources import tables as T
 from pagestrata.sources.bundles import ingest_bundles
@@ -137,3 +138,21 @@ def test_failed_pages_do_not_take_their_batch_down(spark, tmp_path):
     assert report["https://example.com/product"].status == "analysis-failed"
     assert report["https://example.com/product"].gate_status == "rejected"
     assert report["https://example.com/"].gate_status == "approved"
+
+
+def test_documents_larger_than_a_row(spark, tmp_path):
+    """Blocks written by ranges read back as the text that is gathered, over several files of a site."""
+    blocks = [("a.com", 0, "", "# A", False), ("a.com", 1, "", "## T\n\n| x |", False), *[("a.com", 1, f"{i:06}", f"| {i} |", True) for i in range(20_000)],
+              ("a.com", 2, "", "End\n\nof it", False), ("b.com", 0, "", "# B", False)]
+    frame = spark.createDataFrame(blocks[::-1], "site string, part int, place string, text string, tight boolean")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        report.write_documents(frame, str(tmp_path / "documents"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    files = sorted((tmp_path / "documents/site=a.com").glob("part-*"))
+    assert len(files) > 1
+    wanted = {r.site: r.markdown for r in report.gathered(frame).collect()}
+    assert "".join(f.read_text() for f in files) == wanted["a.com"]
+    assert "".join(f.read_text() for f in (tmp_path / "documents/site=b.com").glob("part-*")) == wanted["b.com"] == "# B\n"
