@@ -127,3 +127,11 @@ def test_components(spark, seed):
         parent[high] = low
     out = components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()
     assert {r.node: r.component for r in out} == {x: top(x) for x in parent} and len(out) == len(parent)
+
+
+def test_representatives_of_rows_without_or_with_shared_ids(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(7, one), (7, two), (8, two + " b60"), (None, one + " a60"), (None, "alone here"), (9, ""), (9, ""), (10, None)]
+    frame = spark.createDataFrame([(*r, "x", n) for n, r in enumerate(rows)], "doc_id bigint, text string, _1 string, n int")
+    kept = sorted(((r.doc_id, r.text) for r in nd.representatives(frame).collect()), key=str)
+    assert kept == sorted([(None, one + " a60"), (7, two), (None, "alone here"), (9, ""), (10, None)], key=str)
