@@ -323,3 +323,15 @@ def test_acquisition_and_index_requests(spark, tmp_path):
     assert row[0] == "https://index/1?url=a.com%2F*&output=json&filter=status%3A200&filter=mime%3Atext%2Fhtml&collapse=urlkey"
     assert "limit=250&" in row[1] and "resumeKey=" not in row[1] and row[2].endswith("limit=1000&showResumeKey=true&resumeKey=k+1")
     assert "fastLatest=true" in row[3] and (row[4], row[5]) == ("https://a.com/y", "https://a.com/")
+
+
+def test_links_alone_and_pages_parsed_once(spark, capfd):
+    from pagestrata.functions.html import links
+    from pagestrata.plans.catalogue import load
+
+    for source in (PAGE, "", '<main><section><a href="/x">one</a></section><section><a href="/y">two</a></section></main>'):
+        for rendered in (False, True):
+            assert links(source, rendered) == capture(source, rendered)["links"]
+    for name in ("rendered_placements", "html_sections"):
+        load()[name].run(spark, "/root/testdata/sf0.001").explain()
+        assert capfd.readouterr().out.count("ArrowEvalPython") == 1
