@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagestrata import constants as C
 from pagestrata.functions import urls as U
-from pagestrata.functions.html import capture_html
+from pagestrata.functions.html import html_links
 from pagestrata.functions.text import record
 from pagestrata.operators import links as L
 from pagestrata.sources.tables import read_or_empty
@@ -39,7 +39,7 @@ def capture_links(captures: DataFrame, homes: DataFrame | None = None) -> DataFr
         read = read.withColumn("is_homepage", U.url_path(F.col("url")) == "/")
     else:
         read = read.join(homes, "site").withColumn("is_homepage", F.col("url") == F.col("primary_url"))
-    return read.select("site", "url", "is_homepage", capture_html(F.col("html"), True)["links"].alias("links"))
+    return read.select("site", "url", "is_homepage", html_links(F.col("html"), True).alias("links"))
 
 
 def signals(pages: DataFrame) -> DataFrame:

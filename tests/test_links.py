@@ -100,3 +100,12 @@ def test_discovery_does_not_depend_on_batches(spark, tmp_path, cuts):
     read = D.capture_links(spark.createDataFrame(pages, schema))
     batch = L.discovered_candidates(read, L.internal_edges(L.page_links(read)))
     assert as_rows(D.known_targets(spark, target)) == as_rows(batch) and batch.count() > 20
+
+
+def test_discovery_reads_a_batch_in_many_tasks(spark, tmp_path, monkeypatch):
+    from pagestrata.plans import page_queries
+
+    monkeypatch.setattr(page_queries, "checkpoint_folder", lambda spark: str(tmp_path))
+    page_queries.incremental_discovery(spark, "/root/testdata/sf0.01").collect()
+    files, batches = list(tmp_path.glob("captures/*.parquet")), list(tmp_path.glob("targets/batch=*"))
+    assert len(batches) >= 2 and len(files) > 2 * spark.sparkContext.defaultParallelism
