@@ -28,6 +28,13 @@ So near copies give one pair each, whatever their number, and no candidate link
 lost. In a band only the documents outside its largest component meet the others, and only pairs of like
 sketches leave the join.
 
+In step 3 a band meets pair by pair only up to ``CROWD`` documents. Documents of larger bands meet by prefixes
+(AllPairs, PPJoin): with the shingles of all documents in one order, documents of sizes m and n that share at
+least ``o = similarity * (m + n) / (1 + similarity)`` shingles share one of the first ``m - o + 1`` of the one
+and ``n - o + 1`` of the other. This holds in any order, so it loses no pair at the threshold, whether it shares
+a band or not; rare shingles come first, so that unlike variants of one text, which have only its common
+shingles in common, do not meet. How common a shingle is, is counted in ``CELLS`` cells by its hash.
+
 Joins are plain equi-joins that adaptive execution splits where a band, a leader or a group of copies is
 large. Texts of candidates are gathered once. Tables between the steps are written.
 
@@ -57,6 +64,8 @@ BANDS = 24
 ROWS = 6
 SKETCHED = 128
 DEVIATIONS = 4.75
+CROWD = 16
+CELLS = 1 << 20
 SEED = 20_240_117
 # Poisson(1) quantiles, as thresholds of a uniform 64-bit number: how many darts fall in a cell of area one.
 _CUTS = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
@@ -244,16 +253,20 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return _in_component(_in_component(pairs, found, "a", "a_in"), found, "b", "b_in").where("a_in <> b_in").select("a", "b")
 
 
+def _divided(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of bands of several components: their component and the largest one of the band, ``main``."""
+    members = written(_in_component(members, found, "rid", "component"))
+    sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    bands = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    return members.join(bands.where("parts > 1").select("band", "main"), "band")
+
+
 def _across(members: DataFrame, texts: DataFrame, found: DataFrame, numbers: int, most: int) -> DataFrame:
     """Candidates of different components and like sketches: a < b, the component of each, how different they are.
 
     In every band the texts outside its largest component meet all others.
     """
-    members = written(_in_component(members, found, "rid", "component"))
-    sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    bands = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"))
-    apart = members.join(bands.where("parts > 1").select("band", "main"), "band")
-    apart = written(apart.join(texts.select("rid", "sketch"), "rid"))
+    apart = written(_divided(members, found).join(texts.select("rid", "sketch"), "rid"))
     one = apart.where("component <> main").select("band", F.col("rid").alias("x"), F.col("component").alias("x_in"), F.col("sketch").alias("x_sketch"))
     two = apart.select("band", F.col("rid").alias("y"), F.col("component").alias("y_in"), F.col("sketch").alias("y_sketch"), (F.col("component") == F.col("main")).alias("y_main"))
     like = _different("x_sketch", "y_sketch", numbers) <= most
@@ -262,11 +275,82 @@ def _across(members: DataFrame, texts: DataFrame, found: DataFrame, numbers: int
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "y_in", "far").dropDuplicates(["a", "b"])
 
 
+def _tokens(held: DataFrame, shingle: int) -> DataFrame:
+    """rid and ``tokens``, the shingles of its text; of equal ones each has its own number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                elements, n = np.unique(shingles(word_hashes(text), shingle), return_counts=True)
+                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                out.append(mix(np.repeat(elements, n) + nth.astype(np.uint64) * _BASE).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.list_(pa.int64()))], ["rid", "tokens"])
+
+    return held.select("rid", "text").mapInArrow(run, "rid long, tokens array<long>")
+
+
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return tokens.astype(np.int64) & (CELLS - 1)
+
+
+def _commonness(tokens: DataFrame) -> np.ndarray:
+    """How many tokens fall in each cell. The driver gets at most ``CELLS`` numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            counts += np.bincount(_cell(batch.column("tokens").flatten().to_numpy(zero_copy_only=False)), minlength=CELLS)
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], ["cell", "n"])
+
+    counted = tokens.select("tokens").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    common = np.ones(CELLS, np.int64)
+    common[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    return common
+
+
+def _prefixes(tokens: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
+    """rid, how many tokens it has, and of those that can be the first it shares with a like text: the place and the token."""
+    held = tokens.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, out = [], []
+            for row in batch.column("tokens"):
+                own = row.values.to_numpy(zero_copy_only=False)
+                first = np.lexsort((own, held.value[_cell(own)]))[:math.floor((1 - similarity) * len(own) + 1e-6) + 1]
+                sizes.append(len(own))
+                out.append(own[first])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["rid", "size", "first"])
+
+    first = tokens.select("rid", "tokens").mapInArrow(run, "rid long, size long, first array<long>")
+    return first.select("rid", "size", F.posexplode("first").alias("at", "token"))
+
+
+def _crowded(members: DataFrame, texts: DataFrame, held: DataFrame, found: DataFrame, shingle: int, similarity: float, numbers: int, most: int) -> DataFrame:
+    """Like ``_across``, for the members of large bands: pairs that share a token of their prefixes."""
+    outside = F.bool_or(F.col("component") != F.col("main"))
+    apart = written(_divided(members, found).groupBy("rid").agg(F.any_value("component").alias("component"), outside.alias("outside")))
+    tokens = written(_tokens(held.join(apart.select("rid"), "rid"), shingle))
+    prefixes = _prefixes(tokens, _commonness(tokens), similarity).join(apart.join(texts.select("rid", "sketch"), "rid"), "rid")
+    prefixes = written(prefixes)
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("token", F.col("rid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("at", "size", "sketch", "outside")], F.col("component").alias(f"{name}_in"))
+
+    one, two = side(prefixes.where("outside"), "x"), side(prefixes, "y")
+    shared = (F.col("x_size") + F.col("y_size")) * (similarity / (1 + similarity)) - 1e-6
+    first = (F.col("x_at") <= F.col("x_size") - shared) & (F.col("y_at") <= F.col("y_size") - shared)
+    like = _different("x_sketch", "y_sketch", numbers) <= most
+    meet = (one["token"] == two["token"]) & (F.col("x_in") != F.col("y_in")) & (~F.col("y_outside") | (F.col("x") < F.col("y"))) & first & like
+    pairs = one.join(two, meet).select("x", "x_in", "y", "y_in", _different("x_sketch", "y_sketch", numbers).alias("far"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "y_in", "far").dropDuplicates(["a", "b"])
+
+
 def _joined_bands(texts: DataFrame, bands: int, together: int) -> DataFrame:
-    """Members of several bands at once: ``together`` neighbouring bands are one."""
+    """Members of several bands at once, up to ``CROWD``: ``together`` neighbouring bands are one."""
     keys = [F.xxhash64(*[F.col("bands")[i + n] for n in range(together)]) for i in range(0, bands - together + 1, together)]
     all_keys = texts.select("rid", F.explode(F.array(*keys) if keys else F.array().cast("array<long>")).alias("band"))
-    shared = all_keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    shared = all_keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(f"n BETWEEN 2 AND {CROWD}").select("band")
     return all_keys.join(shared, "band").select("rid", "band")
 
 
@@ -303,8 +387,12 @@ def grouped(docs: DataFrame, shingle: int, similarity: float, bands: int, rows:
 
     # Near ones first: texts that share three bands at once have little else to meet, and are soon in one component.
     for together in (3, 1):
-        keys = members.select("rid", "band") if together == 1 else _joined_bands(texts, bands, together)
-        across = written(_across(keys, texts, found, numbers, most).join(checked, ["a", "b"], "left_anti"))
+        keys = members.where(f"n <= {CROWD}").select("rid", "band") if together == 1 else _joined_bands(texts, bands, together)
+        across = _across(keys, texts, found, numbers, most)
+        if together == 1:
+            crowded = members.where(f"n > {CROWD}").select("rid", "band")
+            across = across.unionByName(_crowded(crowded, texts, held, found, shingle, similarity, numbers, most)).dropDuplicates(["a", "b"])
+        across = written(across.join(checked, ["a", "b"], "left_anti"))
         best = F.min_by(F.struct("a", "b"), F.struct("far", "a", "b"))
         nearest = written(across.groupBy("x", "y_in").agg(best.alias("p")).select("p.a", "p.b").distinct())
         if nearest.isEmpty():

@@ -135,3 +135,20 @@ def test_representatives_of_rows_without_or_with_shared_ids(spark):
     frame = spark.createDataFrame([(*r, "x", n) for n, r in enumerate(rows)], "doc_id bigint, text string, _1 string, n int")
     kept = sorted(((r.doc_id, r.text) for r in nd.representatives(frame).collect()), key=str)
     assert kept == sorted([(None, one + " a60"), (7, two), (None, "alone here"), (9, ""), (10, None)], key=str)
+
+
+def test_unlike_variants_of_one_text_do_not_meet_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for place in rng.sample(range(150), rng.randrange(1, 10)):
+            copy[place] = f"x{rng.randrange(30)}"
+        rows.append((i, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen, linked = [], nd._linked
+    monkeypatch.setattr(nd, "_linked", lambda pairs, *rest: seen.append(pairs.count()) or linked(pairs, *rest))
+    got = {r.doc_id: r.class_id for r in nd.classes(frame).collect()}
+    assert got == brute_classes(rows)
+    assert sum(seen) < 12 * len(rows)
