@@ -33,7 +33,8 @@ In step 3 a band meets pair by pair only up to ``CROWD`` documents. Documents of
 least ``o = similarity * (m + n) / (1 + similarity)`` shingles share one of the first ``m - o + 1`` of the one
 and ``n - o + 1`` of the other. This holds in any order, so it loses no pair at the threshold, whether it shares
 a band or not; rare shingles come first, so that unlike variants of one text, which have only its common
-shingles in common, do not meet. How common a shingle is, is counted in ``CELLS`` cells by its hash.
+shingles in common, do not meet. How common a shingle is, is counted in ``CELLS`` cells by its hash. Shingles of
+a prefix whose cell holds none of another prefix go no further: they have nobody to meet.
 
 Joins are plain equi-joins that adaptive execution splits where a band, a leader or a group of copies is
 large. Texts of candidates are gathered once. Tables between the steps are written.
@@ -293,23 +294,28 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
     return tokens.astype(np.int64) & (CELLS - 1)
 
 
-def _commonness(tokens: DataFrame) -> np.ndarray:
-    """How many tokens fall in each cell. The driver gets at most ``CELLS`` numbers."""
+def _cell_counts(rows: DataFrame, column: str) -> DataFrame:
+    """cell and n, how many tokens of an array column fall in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
-            counts += np.bincount(_cell(batch.column("tokens").flatten().to_numpy(zero_copy_only=False)), minlength=CELLS)
+            counts += np.bincount(_cell(batch.column(column).flatten().to_numpy(zero_copy_only=False)), minlength=CELLS)
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], ["cell", "n"])
 
-    counted = tokens.select("tokens").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    return rows.select(column).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def _commonness(tokens: DataFrame) -> np.ndarray:
+    """How many tokens fall in each cell. The driver gets at most ``CELLS`` numbers."""
+    counted = _cell_counts(tokens, "tokens").where("n > 1").toPandas()
     common = np.ones(CELLS, np.int64)
     common[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     return common
 
 
 def _prefixes(tokens: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
-    """rid, how many tokens it has, and of those that can be the first it shares with a like text: the place and the token."""
+    """rid, how many tokens it has, and ``first``, those of them that can be the first it shares with a like text."""
     held = tokens.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,8 +328,35 @@ def _prefixes(tokens: DataFrame, common: np.ndarray, similarity: float) -> DataF
                 out.append(own[first])
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["rid", "size", "first"])
 
-    first = tokens.select("rid", "tokens").mapInArrow(run, "rid long, size long, first array<long>")
-    return first.select("rid", "size", F.posexplode("first").alias("at", "token"))
+    return tokens.select("rid", "tokens").mapInArrow(run, "rid long, size long, first array<long>")
+
+
+def _meeting(prefixes: DataFrame) -> DataFrame:
+    """A row for every token of ``first`` and its place ``at``, but for tokens that no other text can meet.
+
+    Two texts meet by a token that is in the prefixes of both, one of them outside its band's largest component.
+    Tokens of cells with fewer than two, or none of a text outside, stay away. The driver gets at most ``CELLS`` numbers.
+    """
+    outside = _cell_counts(prefixes.where("outside"), "first").select("cell")
+    cells = _cell_counts(prefixes, "first").where("n > 1").join(outside, "cell", "left_semi").select("cell").toPandas()["cell"].to_numpy()
+    meets = np.zeros(CELLS, bool)
+    meets[cells] = True
+    held = prefixes.sparkSession.sparkContext.broadcast(meets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("first").flatten().to_numpy(zero_copy_only=False)
+            sizes = batch.column("first").value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            at = np.arange(len(tokens)) - np.repeat(ends - sizes, sizes)
+            keep = held.value[_cell(tokens)]
+            kept = pa.StructArray.from_arrays([pa.array(at[keep], pa.int64()), pa.array(tokens[keep], pa.int64())], ["at", "token"])
+            left = np.concatenate(([0], np.concatenate(([0], np.cumsum(keep)))[ends]))
+            yield batch.drop_columns(["first"]).append_column("first", pa.ListArray.from_arrays(pa.array(left, pa.int32()), kept))
+
+    others = [c for c in prefixes.columns if c != "first"]
+    schema = ", ".join(f"{c} {prefixes.schema[c].dataType.simpleString()}" for c in others)
+    return prefixes.select(*others, "first").mapInArrow(run, f"{schema}, first array<struct<at:bigint,token:bigint>>").select(*others, F.inline("first"))
 
 
 def _crowded(members: DataFrame, texts: DataFrame, held: DataFrame, found: DataFrame, shingle: int, similarity: float, numbers: int, most: int) -> DataFrame:
@@ -331,8 +364,8 @@ def _crowded(members: DataFrame, texts: DataFrame, held: DataFrame, found: DataF
     outside = F.bool_or(F.col("component") != F.col("main"))
     apart = written(_divided(members, found).groupBy("rid").agg(F.any_value("component").alias("component"), outside.alias("outside")))
     tokens = written(_tokens(held.join(apart.select("rid"), "rid"), shingle))
-    prefixes = _prefixes(tokens, _commonness(tokens), similarity).join(apart.join(texts.select("rid", "sketch"), "rid"), "rid")
-    prefixes = written(prefixes)
+    prefixes = written(_prefixes(tokens, _commonness(tokens), similarity).join(apart.join(texts.select("rid", "sketch"), "rid"), "rid"))
+    prefixes = written(_meeting(prefixes))
 
     def side(rows: DataFrame, name: str) -> DataFrame:
         return rows.select("token", F.col("rid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("at", "size", "sketch", "outside")], F.col("component").alias(f"{name}_in"))

@@ -152,3 +152,26 @@ def test_unlike_variants_of_one_text_do_not_meet_pair_by_pair(spark, monkeypatch
     got = {r.doc_id: r.class_id for r in nd.classes(frame).collect()}
     assert got == brute_classes(rows)
     assert sum(seen) < 12 * len(rows)
+
+
+def test_shingles_of_a_single_text_are_not_dealt_out(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for place in rng.sample(range(150), 3 + i % 9):
+            copy[place] = f"x{i if i % 3 else i - i % 2}y{place // 15}"
+        rows.append((i, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    dealt, written = [], nd.written
+
+    def counted(df):
+        out = written(df)
+        if "token" in out.columns:
+            dealt.append((out.count(), out.select("rid").distinct().count()))
+        return out
+
+    monkeypatch.setattr(nd, "written", counted)
+    assert {r.doc_id: r.class_id for r in nd.classes(frame).collect()} == brute_classes(rows)
+    assert len(dealt) == 1 and dealt[0][0] < 8 * len(rows)
