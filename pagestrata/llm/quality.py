@@ -9,7 +9,8 @@ below ``MIN_WORDS`` words are too short for a histogram and only the base rules
 All of it is DataFrame functions inside one row: windows of eight words are hashed, sorted and
 compared in an array, so no text is shuffled. References are sums over all documents. They are
 broadcast: one row for each of the ``LANGUAGES`` largest languages, with ``COMMON`` words each; every
-other language is held against the reference over all documents.
+other language is held against the reference over all documents. Only their words, at most so many each, pass
+the driver.
 
 Defined cases: a null text has no words and fails the base rules; a null language is held against
 the reference over all documents; repeated rows are judged alike; an empty table gives no rows.
@@ -162,7 +163,10 @@ def _held(df: DataFrame, refs: DataFrame, min_words: int, max_class: float, max_
     df = pin(df, _q_ref=F.coalesce(F.when(F.col("_q_lang").isNotNull(), F.struct(*parts)), pooled),
              _q_own=_classes(F.col("_q_joined")))
     # Places of a text's words among the common ones; what taking one out shortens the list by is its count.
-    places = F.transform("_q_words", lambda w: F.array_position("_q_ref._q_ref_words", F.lower(w)))
+    # Most words are common in no language: one look into a set of all common words spares them the search.
+    common = [r[0] for r in refs.select(F.explode("_q_ref_words")).distinct().collect()]
+    found = F.filter(F.transform("_q_words", F.lower), lambda w: w.isin(common))
+    places = F.transform(found, lambda w: F.array_position("_q_ref._q_ref_words", w))
     df = pin(df, _q_at=F.when(F.col("_q_n") >= min_words, F.filter(places, lambda p: p > 0)))
 
     def times(_: Column, i: Column) -> Column:
