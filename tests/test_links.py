@@ -72,6 +72,21 @@ def test_a_round_moves_neither_edges_nor_reached_nodes(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_a_round_does_not_sort_the_edges(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = [("s", "a", "b"), ("s", "a", "b"), ("s", "b", "c")]
+        graph = L.LinkGraph(spark.createDataFrame(edges, "site string, source string, target string"))
+        assert sorted((r.node, r.target) for r in graph.edges.rows().collect()) == [("a", "b"), ("b", "c")]
+        found = graph.following(spark.createDataFrame([("s", "a")], "site string, node string"))
+        assert [tuple(r) for r in found.collect()] == [("s", "b")]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def site_pages(n=40, seed=3):
     rng = random.Random(seed)
     out = []
